@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAYS_PER_YEAR = 365.25
-# Text formats tried after ISO dates and ISO timestamps.
-OTHER_FORMATS = ("dd/MM/yyyy",)
+# Text format of dates with slashes; other text is read as an ISO date or timestamp.
+SLASH_FORMAT = "dd/MM/yyyy"
 # A cast would also read a bare year or a year and month; those are not dates here.
 _SHORTEST_DATE = 8
 
@@ -21,8 +21,10 @@ def parse_date(df: DataFrame, name: str) -> Column:
         return column
     if not isinstance(kind, T.StringType):
         return column.cast("date")
-    iso = F.when(F.length(F.trim(column)) >= _SHORTEST_DATE, column.try_cast("date"))
-    return F.coalesce(iso, *[F.try_to_date(column, fmt) for fmt in OTHER_FORMATS])
+    # The formatted parser is slow on text it cannot read, so it only gets text with slashes.
+    return F.when(column.contains("/"), F.try_to_date(F.trim(column), SLASH_FORMAT)).when(
+        F.length(F.trim(column)) >= _SHORTEST_DATE, column.try_cast("date")
+    )
 
 
 def parse_dates(df: DataFrame, *names: str) -> DataFrame:

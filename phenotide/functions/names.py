@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 FIELD_COLUMN = r"^p{field}(_i\d+)?(_a\d+)?$"
 
 
+def literal_name(name: str) -> str:
+    """A column name that Spark takes as it is, also when it holds dots or spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def literal_col(name: str) -> Column:
-    """The column of exactly this name, also when it holds dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(literal_name(name))
 
 
 def field_pattern(field: str) -> str:

@@ -27,15 +27,19 @@ def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
     return reduce(lambda total, c: total * x + c, coefficients[1:], F.lit(coefficients[0]))
 
 
-def normal_cdf(x: Column) -> Column:
-    """P(Z <= x) for a standard normal Z."""
+def normal_cdf(name: str) -> Column:
+    """P(Z <= x) for a standard normal Z, x being the column ``name``.
+
+    It takes a column name, not an expression, as x occurs in many places of the formula.
+    """
+    x = F.col(name)
     size = F.abs(x)
     density = F.exp(-size * size / 2)
     centre = density * _polynomial(NUMERATOR, size) / _polynomial(DENOMINATOR, size)
-    fraction = reduce(lambda tail, k: size + F.lit(float(k)) / tail, (4, 3, 2, 1), size + FRACTION_END)
+    fraction = reduce(lambda rest, k: size + F.lit(float(k)) / rest, (4, 3, 2, 1), size + FRACTION_END)
     tail = (
         F.when(size > FAR_TAIL, 0.0)
         .when(size < SPLIT, centre)
         .otherwise(density / fraction / ROOT_TWO_PI)
     )
-    return F.when(x > 0, 1 - tail).otherwise(tail)
+    return F.when(x > 0, 1.0).otherwise(0.0) + F.when(x > 0, -1.0).otherwise(1.0) * tail

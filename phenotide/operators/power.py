@@ -68,14 +68,15 @@ def association_power(
     ratio = F.col("odds_ratio")
     spread = F.sqrt(2 * maf * (1 - maf))
     size = F.log(ratio) / spread if effect == "divide" else F.log(ratio) * spread
-    statistic = size * F.sqrt(cases * (n - cases) / n)
-    power = normal_cdf(statistic - critical) + normal_cdf(-critical - statistic)
     defined = (cases > 0) & (cases < n) & (maf > 0) & (maf < 1)
+    statistic = F.when(defined, size * F.sqrt(cases * (n - cases) / n))
     return (
         variants.select("*", F.inline(_as_array(sources)))
         .select("*", F.explode(F.array(*[F.lit(float(r)) for r in odds_ratios])).alias("odds_ratio"))
-        .withColumn("power", F.when(defined, power))
-        .drop("cases", "n")
+        .withColumn("statistic", statistic)
+        .withColumns({"upper": F.col("statistic") - critical, "lower": -critical - F.col("statistic")})
+        .withColumn("power", normal_cdf("upper") + normal_cdf("lower"))
+        .drop("cases", "n", "statistic", "upper", "lower")
     )
 
 

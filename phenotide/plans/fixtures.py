@@ -160,17 +160,33 @@ def _tables(text: str) -> list[str]:
     return sorted({field for _, field, _, _ in Formatter().parse(text) if field})
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Tables:
+    """The test tables of one folder and the record tables derived from them, each built once.
 
+    ``tables.read("orders")`` is a test table, ``tables.hesin`` the record table ``fx_hesin``.
+    """
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The record table ``name`` over the test tables of ``sf_dir``."""
-    text = FIXTURES[name]
-    return spark.sql(text, **{table: read_table(spark, sf_dir, table) for table in _tables(text)})
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._known: dict[str, DataFrame] = {}
+
+    def read(self, table: str) -> DataFrame:
+        if table not in self._known:
+            self._known[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self._known[table]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        fixture = f"fx_{name}"
+        if fixture not in FIXTURES:
+            raise AttributeError(name)
+        if fixture not in self._known:
+            text = FIXTURES[fixture]
+            self._known[fixture] = self.spark.sql(text, **{table: self.read(table) for table in _tables(text)})
+        return self._known[fixture]
 
 
 def fixture_sql(name: str) -> str:
-    """The same table as SQL over the plain table names."""
+    """A record table as SQL over the plain table names."""
     text = FIXTURES[name]
     return text.format(**{table: table for table in _tables(text)})

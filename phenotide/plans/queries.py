@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phenotide.functions.dates import years_between
 from phenotide.operators import fields, genetics, participant, power, records, registries, timeline
-from phenotide.plans.fixtures import fixture
+from phenotide.plans.fixtures import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,16 +32,6 @@ TITLES = {
 NAMES = {"eid": "participant", "p31": "segment", "p20002_i0_a0": "illness_0_0"}
 
 
-class Tables:
-    """The derived record tables of one folder of test tables."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return fixture(self.spark, self.sf_dir, f"fx_{name}")
-
-
 def gp_by_codes(t: Tables) -> DataFrame:
     return records.gp_records(t.gp_clinical, FROZEN_SHOULDER_GP)
 
