@@ -1,0 +1,212 @@
+"""Readers of coded events: matching, dates, flags."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from pyspark.errors import NumberFormatException
+from pyspark.sql import functions as F
+
+from phenotide.functions.codes import as_code_list, match_codes
+from phenotide.functions.dates import parse_date
+from phenotide.operators import records
+
+GP = "eid long, data_provider int, event_dt string, read_2 string, read_3 string, value1 string, value2 string, value3 string"
+OPER = (
+    "dnx_hesin_oper_id string, eid string, ins_index string, arr_index string, opdate string, level int, "
+    "oper3 string, oper3_nb string, oper4 string, oper4_nb string, posopdur string, preopdur string"
+)
+DIAG = (
+    "dnx_hesin_diag_id string, eid long, ins_index long, arr_index long, level int, diag_icd9 string, "
+    "diag_icd9_nb string, diag_icd10 string, diag_icd10_nb string"
+)
+EPISODE = "dnx_hesin_id string, eid string, ins_index string, epistart string, epiend string, epidur string, bedyear string"
+
+
+def gp(spark, *rows):
+    return spark.createDataFrame([(*row, *[None] * (8 - len(row))) for row in rows], GP)
+
+
+def diagnoses(spark, *codes):
+    return spark.createDataFrame(
+        [(f"D{i}", 1, i, 0, 1, code9, None, code10, None) for i, (code9, code10) in enumerate(codes)], DIAG
+    )
+
+
+def episodes(spark, *dates):
+    return spark.createDataFrame(
+        [(f"H{i}", "1", str(i), start, end, days, "3") for i, (start, end, days) in enumerate(dates)], EPISODE
+    )
+
+
+def column(df, name):
+    return [row[name] for row in df.select(name).collect()]
+
+
+def test_code_lists():
+    assert as_code_list(None) == as_code_list("") == as_code_list([]) == []
+    assert as_code_list("M75.0") == ["M75.0"]
+    assert as_code_list([2, "17"]) == ["2", "17"]
+
+
+@pytest.mark.parametrize(
+    ("match", "codes", "hits"),
+    [
+        ("regex", ["E10"], ["E109", "XE109"]),  # unanchored
+        ("regex", ["E10", "^I2"], ["E109", "XE109", "I21"]),  # a real pattern
+        ("regex", ["E1.9"], ["E109", "XE109", "E119"]),  # a dot is a wildcard
+        ("regex", ["E11.9"], []),  # so it does not match a dotless sub-code
+        ("prefix", ["E11.9"], ["E119"]),  # but a prefix does
+        ("prefix", ["E1"], ["E109", "E119"]),
+        ("exact", ["E10", "I21"], ["I21"]),
+    ],
+)
+def test_match_modes(spark, match, codes, hits):
+    values = ["E109", "XE109", "E119", "I21", None]
+    df = spark.createDataFrame([(v,) for v in values], "code string")
+    assert column(df.where(match_codes(["code"], codes, match)), "code") == hits
+
+
+def test_many_plain_codes_equal_few(spark):
+    df = spark.createDataFrame([(f"A{i:02d}",) for i in range(60)], "code string")
+    codes = [f"A{i:02d}" for i in range(0, 60, 2)]
+    assert column(df.where(match_codes(["code"], codes)), "code") == codes
+
+
+def test_unknown_match_mode(spark):
+    with pytest.raises(ValueError, match="fuzzy"):
+        match_codes(["code"], ["E10"], "fuzzy")
+
+
+def test_dates(spark):
+    cases = {
+        "1994-02-03": date(1994, 2, 3),
+        "1994-02-03T10:00:00": date(1994, 2, 3),
+        " 1994-02-03 ": date(1994, 2, 3),
+        "03/02/1994": date(1994, 2, 3),
+        "1994-02-30": None,
+        "31/02/1994": None,
+        "1994": None,
+        "1994-02": None,
+        "": None,
+        "soon": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(text,) for text in cases], "d string")
+    assert column(df.select(parse_date(df, "d").alias("d")), "d") == list(cases.values())
+
+
+def test_dates_that_are_typed(spark):
+    df = spark.sql("SELECT date'1994-02-03' AS d, timestamp_ntz'1994-02-03 10:00:00' AS t")
+    assert df.select(parse_date(df, "d"), parse_date(df, "t")).first() == (date(1994, 2, 3), date(1994, 2, 3))
+
+
+def test_gp_codes_are_exact_in_either_column(spark):
+    events = gp(
+        spark, (1, 1, "2001-01-01", "N210.", None), (2, 1, "2001-01-01", None, "N210."), (3, 1, None, "N210", None)
+    )
+    assert column(records.gp_records(events, ["N210."]), "eid") == [1, 2]
+
+
+def test_gp_without_codes_keeps_all_and_repeats(spark):
+    events = gp(spark, (1, 1, "2001-01-01", "22K.."), (1, 2, "2002-01-01", "22K.."), (1, 3, None, None))
+    assert records.gp_records(events).count() == 3
+    assert records.gp_records(events, None, "data_provider", [1, 3]).count() == 2
+
+
+def test_gp_flags_and_values(spark):
+    events = gp(spark, (1, 1, "bad", "a", None, "1.5", "OPR", ""), (2, 1, "2001-01-01", "a", None, None, "2", "x"))
+    rows = records.gp_records(events, "a").orderBy("eid").collect()
+    assert [(r.exclude, r.exclude_reason) for r in rows] == [(True, "Missing event_dt"), (False, "")]
+    assert [(r.value1, r.value2, r.value3) for r in rows] == [(1.5, None, None), (None, 2.0, None)]
+    assert {r.source for r in rows} == {"GP"}
+
+
+def test_empty_result_has_the_same_schema(spark):
+    events = gp(spark, (1, 1, "2001-01-01", "a"))
+    assert records.gp_records(events, ["none"]).schema == records.gp_records(events, ["a"]).schema
+    assert records.gp_records(events, ["none"]).count() == 0
+
+
+def test_opcs(spark):
+    df = spark.createDataFrame(
+        [
+            ("O1", "1", "2", "0", "x", 1, None, None, "W781", None, "3", "1"),
+            ("O2", "2", "2", "0", "2001-05-06", 1, "810", None, None, None, None, "1"),
+            ("O3", "3", "2", "0", "2001-05-06", 1, "999", None, "Z1", None, "3", "1"),
+        ],
+        OPER,
+    )
+    rows = records.opcs_records(df, ["W78", "81"]).orderBy("eid").collect()
+    assert [(r.eid, r.opdate, r.exclude, r.exclude_reason, r.posopdur) for r in rows] == [
+        (1, None, True, "Missing opdate", 3),
+        (2, date(2001, 5, 6), False, "", None),
+    ]
+    assert "dnx_hesin_oper_id" not in rows[0] and rows[0].source == "OPCS"
+
+
+def test_opcs_numbers_are_strict(spark):
+    df = spark.createDataFrame([("O", "1", "two", "0", None, 1, "8", None, None, None, "3", "1")], OPER)
+    with pytest.raises(NumberFormatException):
+        records.opcs_records(df, ["8"]).collect()
+
+
+DATES = [
+    ("2001-01-10", "2001-01-12", "9"),  # both known: the duration is not used
+    (None, "2001-01-12", "2"),  # start from end
+    ("2001-01-10", "2001-02-30", "3"),  # end from start
+    (None, "2001-01-12", "x"),  # no duration
+    (None, None, "4"),  # nothing known
+]
+
+
+def test_back_calculation(spark):
+    diag = diagnoses(spark, *[("250", "E10")] * len(DATES))
+    rows = records.icd10_records(diag, episodes(spark, *DATES), ["E10"]).orderBy("ins_index").collect()
+    assert [(r.epistart, r.epiend, r.epidur) for r in rows] == [
+        (date(2001, 1, 10), date(2001, 1, 12), 9),
+        (date(2001, 1, 10), date(2001, 1, 12), 2),
+        (date(2001, 1, 10), date(2001, 1, 13), 3),
+        (None, date(2001, 1, 12), None),
+        (None, None, 4),
+    ]
+
+
+def test_icd10_never_excludes(spark):
+    diag = diagnoses(spark, *[("250", "E10")] * len(DATES))
+    rows = records.icd10_records(diag, episodes(spark, *DATES), ["E10"]).orderBy("ins_index").collect()
+    assert [r.exclude for r in rows] == [False] * 5
+    assert [r.exclude_reason for r in rows] == [" (back-calculated)"] * 4 + [""]
+    assert {r.source for r in rows} == {"HES_ICD10"}
+
+
+def test_icd9_excludes_without_dates(spark):
+    diag = diagnoses(spark, *[("250", "E10")] * len(DATES))
+    rows = records.icd9_records(diag, episodes(spark, *DATES), ["250"]).orderBy("ins_index").collect()
+    assert [r.exclude for r in rows] == [False] * 4 + [True]
+    assert [r.exclude_reason for r in rows] == ["Invalid epistart and epiend (back-calculated)"] * 4 + [
+        "Invalid epistart and epiend"
+    ]
+    assert "classification" in rows[0] and "level" not in rows[0]
+
+
+def test_icd9_needs_nine_columns(spark):
+    with pytest.raises(Exception, match="(?i)number of columns|mismatch"):
+        records.icd9_records(diagnoses(spark, ("250", None)).drop("level"), episodes(spark, DATES[0]), ["250"])
+
+
+def test_episode_without_dates_and_with_extra_columns(spark):
+    ep = episodes(spark, DATES[0]).drop("epistart", "epiend").withColumn("ward", F.lit("A")).withColumn("level", F.lit(9))
+    row = records.icd10_records(diagnoses(spark, (None, "E10")), ep, ["E10"]).first()
+    assert (row.epistart, row.epiend, row.ward, row.level) == (None, None, "A", 1)
+
+
+def test_diagnosis_without_episode_is_dropped(spark):
+    result = records.icd10_records(diagnoses(spark, (None, "E10"), (None, "E11")), episodes(spark, DATES[0]), ["E1"])
+    assert column(result, "diag_icd10") == ["E10"]
+
+
+def test_filter_on_an_episode_column(spark):
+    diag, ep = diagnoses(spark, (None, "E10"), (None, "E10")), episodes(spark, DATES[0], DATES[1])
+    assert records.icd10_records(diag, ep, ["E10"], "epistart", ["2001-01-10"]).count() == 1

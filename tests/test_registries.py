@@ -1,0 +1,103 @@
+"""Prescriptions, deaths, cancer registrations."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+
+from phenotide.operators import registries
+
+SCRIPTS = "eid long, data_provider int, issue_date string, read_2 string, dmd_code string, bnf_code string, drug_name string, quantity string"
+
+
+@pytest.fixture(scope="module")
+def scripts(spark):
+    return spark.createDataFrame(
+        [
+            (1, 1, "2001-01-01", "f4..", "300", None, "a", "1"),
+            (2, 1, "bad", None, "300", "06.01", "b", "1"),
+            (3, 1, "2001-01-01", "f5..", None, None, "c", "1"),
+        ],
+        SCRIPTS,
+    )
+
+
+@pytest.fixture(scope="module")
+def baseline(spark):
+    return spark.createDataFrame(
+        [(1, "1950-01-01", "2000-01-01"), (2, "1960-01-01", "2010-01-01")], "eid long, dob string, assess_date string"
+    )
+
+
+def ids(df):
+    return sorted(row.eid for row in df.collect())
+
+
+def test_a_script_appears_once_per_match(scripts):
+    assert ids(registries.gp_scripts(scripts, ["300", "f4.."])) == [1, 1, 2]
+    assert ids(registries.gp_scripts(scripts, ["06.01", "f5.."])) == [2, 3]
+
+
+def test_a_code_listed_twice_counts_twice(scripts):
+    assert ids(registries.gp_scripts(scripts, ["300", "300", "f4.."])) == [1, 1, 1, 2, 2]
+
+
+def test_script_codes_are_exact_and_dates_lenient(scripts):
+    assert ids(registries.gp_scripts(scripts, ["30"])) == []
+    assert registries.gp_scripts(scripts, ["06.01"]).first().issue_date is None
+
+
+def test_no_codes_no_rows(spark, scripts, baseline):
+    assert registries.gp_scripts(scripts, []).count() == 0
+    assert registries.gp_scripts(scripts, []).schema == registries.gp_scripts(scripts, ["1"]).schema
+
+
+CAUSE = "dnx_death_cause_id string, eid long, ins_index int, arr_index int, level int, cause_icd10 string"
+DEATH = "dnx_death_id string, eid long, ins_index int, dsource string, source string, date_of_death string"
+
+
+def test_death(spark, baseline):
+    causes = spark.createDataFrame(
+        [("a", 1, 0, 0, 1, "E109"), ("b", 2, 0, 0, 1, "E10"), ("c", 2, 0, 1, 2, "XE10"), ("d", 3, 0, 0, 1, "E10")], CAUSE
+    )
+    deaths = spark.createDataFrame(
+        [("A", 1, 0, "E", "s", "1999-12-31"), ("B", 2, 0, "E", "s", None), ("C", 3, 0, "E", "s", "2001-01-01")], DEATH
+    )
+    rows = sorted(registries.death_records(causes, deaths, baseline, ["E10"]).collect(), key=lambda r: r.eid)
+    assert [(r.eid, r.cause_icd10, r.prev) for r in rows] == [(1, "E109", True), (2, "E10", False)]
+    assert rows[0].death_age == (date(1999, 12, 31) - date(1950, 1, 1)).days / 365.25
+    assert rows[1].death_age is None
+    assert registries.death_records(causes, deaths, baseline, []).count() == 0
+
+
+@pytest.fixture(scope="module")
+def registry(spark):
+    names = [f"p{field}_i{i}" for i in range(11) for field in (40005, 40006, 40008, 40011, 40012)]
+    first = ["1999-01-01", "C61", 49.0, "8140", "3"]
+    last = ["2005-01-01", "C619", 55.0, "8000", None]
+    rows = [
+        (1, *first, *[None] * 45, *last),
+        (2, "2001-01-01", "C50", 41.0, "9999", "3", *[None] * 50),
+    ]
+    types = ", ".join(f"{name} {'double' if '40008' in name else 'string'}" for name in names)
+    return spark.createDataFrame(rows, f"eid long, {types}")
+
+
+def test_cancer(spark, registry, baseline):
+    histologies = spark.createDataFrame([("8140", "adeno"), ("8000", "neoplasm")], "histology string, description string")
+    rows = registries.cancer_registry(registry, baseline, histologies, ["C61", "C5"]).collect()
+    found = {(r.eid, r.site): r for r in rows}
+    assert set(found) == {(1, "C61"), (1, "C619"), (2, "C50")}
+    first = found[1, "C61"]
+    assert (first.reg_date, first.age, first.code, first.description, first.prev) == (
+        date(1999, 1, 1), 49.0, "8140/3", "adeno", True,
+    )
+    assert first.diag_age == (date(1999, 1, 1) - date(1950, 1, 1)).days / 365.25
+    assert (found[1, "C619"].code, found[1, "C619"].prev) == (None, False)  # no behaviour, no code
+    assert (found[2, "C50"].code, found[2, "C50"].description) == ("9999/3", None)
+    assert registries.cancer_registry(registry, baseline, histologies, []).count() == 0
+
+
+def test_cancer_keeps_only_the_matching_registrations(registry):
+    assert [r.site for r in registries.cancer_registrations(registry, ["C619"]).collect()] == ["C619"]
