@@ -1,0 +1,202 @@
+"""Sources, sinks and the project folder."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+
+from phenotide.operators import fields
+from phenotide.sources import sinks, text
+from phenotide.sources.project import Project
+
+
+def write(folder, name, content):
+    path = folder / name
+    path.write_text(content)
+    return str(path)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_tsv(spark, tmp_path):
+    path = write(tmp_path, "coding.tsv", 'coding\tmeaning\n1\t"quoted" text, with comma\n2\tb\n')
+    assert rows(text.read_tsv(spark, path)) == [("1", '"quoted" text, with comma'), ("2", "b")]
+    assert text.read_tsv(spark, path, "coding int, meaning string").first().coding == 1
+
+
+def test_csv_with_and_without_header(spark, tmp_path):
+    path = write(tmp_path, "a.csv", 'eid,name\n1,"x, y"\n')
+    assert rows(text.read_csv(spark, path)) == [("1", "x, y")]
+    assert rows(text.read_csv(spark, path, "eid long, name string")) == [(1, "x, y")]
+    path = write(tmp_path, "b.csv", "1,2001-02-03\n2,2001-02-04\n")
+    assert rows(text.read_headerless_csv(spark, path, "eid long, day date")) == [
+        (1, date(2001, 2, 3)), (2, date(2001, 2, 4)),
+    ]
+
+
+def test_trait_lists(spark, tmp_path):
+    plain = write(tmp_path, "plain.txt", "eid\n20002\n31\n")
+    table = write(tmp_path, "table.txt", "Code\tDescription\neid\tParticipant\n31\tSex\n")
+    assert rows(text.read_trait_list(spark, plain)) == [("eid",), ("20002",), ("31",)]
+    assert rows(text.read_trait_list(spark, table).select("Code")) == [("eid",), ("31",)]
+    assert rows(text.read_trait_list(spark, write(tmp_path, "empty.txt", ""))) == []
+
+
+def test_reports(spark, tmp_path):
+    report = write(tmp_path, "score.profile", "    FID  IID  PHENO   SCORE\n  11   11  -9   0.25\n  12   12  -9  -1e-3\n")
+    assert rows(text.read_score_report(spark, report)) == [(11, 0.25), (12, -0.001)]
+    scores = write(tmp_path, "scores", "chr pos other effect weight\n1 100 A G 0.5\n22\t7  C   T -2\n")
+    assert rows(text.read_score_file(spark, scores)) == [(1, 100, "A", "G", 0.5), (22, 7, "C", "T", -2.0)]
+
+
+def test_parquet_and_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a, b", None), (2, None, 0.5)], "eid long, name string, x double")
+    sinks.write_parquet(df, f"{tmp_path}/p")
+    assert sorted(rows(spark.read.parquet(f"{tmp_path}/p"))) == rows(df)
+    sinks.write_csv(df, f"{tmp_path}/c")
+    assert sorted(rows(text.read_csv(spark, f"{tmp_path}/c", "eid long, name string, x double"))) == rows(df)
+
+
+def test_write_only_if_absent(spark, tmp_path):
+    path = f"{tmp_path}/p"
+    sinks.write_parquet(spark.range(3), path, only_if_absent=True)
+    sinks.write_parquet(spark.range(9), path, only_if_absent=True)
+    assert spark.read.parquet(path).count() == 3
+    sinks.write_parquet(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 9
+
+
+def test_column_dictionary_round_trip(spark, tmp_path):
+    titles = {"eid": "Participant", "p31": 'A "quoted" title ', "p3_i0": "b"}
+    sinks.write_column_dictionary(spark, titles, f"{tmp_path}/d.txt")
+    found = text.read_column_dictionary(spark, f"{tmp_path}/d.txt")
+    assert {r.name: r.title for r in found.collect()} == titles
+
+
+@pytest.fixture()
+def project(spark, tmp_path):
+    project = Project(spark, str(tmp_path))
+    tables = {
+        "GP_gp_clinical": spark.createDataFrame(
+            [(1, 1, "2001-01-05", "N210.", None, None, None, None), (2, 1, "2003-01-01", None, "XE1FL", "1", None, None)],
+            "eid long, data_provider int, event_dt string, read_2 string, read_3 string, value1 string, value2 string, value3 string",
+        ),
+        "HES_hesin_oper": spark.createDataFrame(
+            [("O", "1", "1", "0", "2000-01-05", 1, None, None, "W781", None, "1", "1")],
+            "dnx_hesin_oper_id string, eid string, ins_index string, arr_index string, opdate string, level int, "
+            "oper3 string, oper3_nb string, oper4 string, oper4_nb string, posopdur string, preopdur string",
+        ),
+        "HES_hesin_diag": spark.createDataFrame(
+            [("D", 2, 1, 0, 1, "250", None, "M750", None)],
+            "dnx_hesin_diag_id string, eid long, ins_index long, arr_index long, level int, diag_icd9 string, "
+            "diag_icd9_nb string, diag_icd10 string, diag_icd10_nb string",
+        ),
+        "HES_hesin": spark.createDataFrame(
+            [("H", "2", "1", "2002-01-01", None, "3", "1")],
+            "dnx_hesin_id string, eid string, ins_index string, epistart string, epiend string, epidur string, bedyear string",
+        ),
+        "selfreport_participant": spark.createDataFrame(
+            [("1", "1222", "hip op", "M"), ("2", None, None, "F")],
+            "eid string, p20002_i0_a0 string, p20004_i0_a0 string, p31 string",
+        ),
+        "cancer_participant": spark.createDataFrame(
+            [(3, "1999-01-01", "C61", 40.0, "8140", "3")],
+            "eid long, p40005_i0 string, p40006_i0 string, p40008_i0 double, p40011_i0 string, p40012_i0 string",
+        ),
+        "Baseline": spark.createDataFrame(
+            [(i, "1950-01-01", "2000-01-01") for i in (1, 2, 3)], "eid long, dob string, assess_date string"
+        ),
+        "death_death": spark.createDataFrame(
+            [("X", 1, 0, "E", "s", "2010-01-01")],
+            "dnx_death_id string, eid long, ins_index int, dsource string, source string, date_of_death string",
+        ),
+        "death_death_cause": spark.createDataFrame(
+            [("Y", 1, 0, 0, 1, "E109")],
+            "dnx_death_cause_id string, eid long, ins_index int, arr_index int, level int, cause_icd10 string",
+        ),
+        "GP_gp_scripts": spark.createDataFrame(
+            [(1, 1, "2001-01-01", "f4..", "300", None, "a", "1")],
+            "eid long, data_provider int, issue_date string, read_2 string, dmd_code string, bnf_code string, "
+            "drug_name string, quantity string",
+        ),
+        "genotypes": spark.createDataFrame(
+            [(1, 1, 100, "A", "G", 2), (2, 1, 100, "A", "G", 1)],
+            "eid long, chrom int, pos long, allele1 string, allele2 string, allele1_count int",
+        ),
+    }
+    for name, df in tables.items():
+        sinks.write_parquet(df, f"{project.data}/{name}.parquet")
+    (tmp_path / "cols_in_tables").mkdir()
+    write(tmp_path / "cols_in_tables", "selfreport_participant.txt", "Code\tDescription\neid\tParticipant ID\np31\tSex\n")
+    write(tmp_path / "data", "coding4.tsv", "coding\tmeaning\n1\tnone\n2\thip op\n")
+    write(tmp_path / "data", "ICDO3.csv", "histology\tdescription\n8140\tadeno\n")
+    return project
+
+
+def test_project_readers(project, tmp_path):
+    assert project.read_gp(["N210."]).count() == 1
+    assert project.read_opcs("W78").count() == 1
+    assert project.read_icd10("M75").first().epiend == date(2002, 1, 4)
+    assert project.read_icd9("250").first().source == "HES_ICD9"
+    assert project.read_gp_scripts(["300", "f4.."]).count() == 2
+    assert project.read_death("E10").count() == 1
+    assert project.read_cancer("C61").first().description == "adeno"
+    illness = project.read_selfreport_illness("1222")
+    assert illness.columns == ["eid", "p20002_i0_a0", "p20004_i0_a0", "Sex", "source"] and illness.count() == 1
+    assert project.read_selfreport_operation([2]).first().eid == 1
+    assert project.read_selfreport_cancer("1").count() == project.read_selfreport_treatment("1").count() == 2
+    scores = write(tmp_path, "scores.txt", "chr pos other effect weight\n1 100 G A 0.5\n")
+    assert sorted(rows(project.genetic_score(scores))) == [(1, 0.5), (2, 0.25)]
+
+
+def test_project_first_occurrence(project):
+    found = project.first_occurrence(ICD10="M75.0", GP=["N210.", "XE1FL"], OPCS="W78.1", cancer="", match="prefix")
+    assert set(rows(found)) == {(1, date(2000, 1, 5), "OPCS"), (2, date(2002, 1, 1), "ICD10")}
+    # Dots are wildcards in patterns, so the dotted codes find nothing in dotless tables.
+    found = project.first_occurrence(ICD10="M75.0", GP=["N210.", "XE1FL"], OPCS="W78.1")
+    assert set(rows(found)) == {(1, date(2001, 1, 5), "GP"), (2, date(2003, 1, 1), "GP")}
+    assert rows(project.first_occurrence(cancer=["C61"])) == [(3, date(1999, 1, 1), "cancer")]
+    with pytest.raises(ValueError, match="at least one source"):
+        project.first_occurrence(GP=[])
+
+
+def test_manifest_registers_views(spark, project, tmp_path):
+    path = write(tmp_path, "manifest.txt", "Id\tDescription\nGP_gp_clinical\tGP clinical\nHES_hesin\tHES Records\n")
+    assert project.register_manifest(path) == ["gp_clinical", "hes_records"]
+    assert spark.table("gp_clinical").count() == 2 and spark.table("hes_records").count() == 1
+
+
+@pytest.mark.parametrize("file_format", ["parquet", "csv"])
+def test_extract_store_and_extend(spark, project, tmp_path, file_format):
+    dataset = project.table("selfreport_participant")
+    dictionary = spark.createDataFrame(
+        [("eid", "ID"), ("p31", "Sex"), ("p20002_i0_a0", "Illness"), ("p20004_i0_a0", "Operation")],
+        "name string, title string",
+    )
+    write(tmp_path / "cols_in_tables", "first.txt", "eid\n31\n")
+    first = project.extract(dataset, dictionary, "first.txt", file_format=file_format)
+    assert first.columns == ["eid", "p31"] and first.count() == 2
+    assert project.column_titles("first") == {"eid": "ID", "p31": "Sex"}
+    write(tmp_path / "cols_in_tables", "more.txt", "eid\n31\n20002\n")
+    more = project.extract(
+        dataset, dictionary, "more.txt", ["operation"], use_descriptions=True, existing="first", file_format=file_format
+    )
+    assert more.columns == ["eid", "p31", "Illness", "Operation"]
+    assert sorted(rows(more)) == [("1", "M", "1222", "hip op"), ("2", "F", None, None)]
+    # Stored tables stay; the dictionary written before is a list of codes itself.
+    again = project.extract(dataset, dictionary, "first.txt", file_format=file_format)
+    assert again.columns == ["eid", "p31"]
+    with pytest.raises(ValueError, match="read and written"):
+        project.extract(dataset, dictionary, "first.txt", existing="first")
+
+
+def test_extract_equals_the_operator(spark, project, tmp_path):
+    dataset = project.table("selfreport_participant")
+    dictionary = spark.createDataFrame([("eid", "ID"), ("p31", "Sex")], "name string, title string")
+    write(tmp_path / "cols_in_tables", "one.txt", "eid\n31\n")
+    stored = project.extract(dataset, dictionary, "one.txt", use_descriptions=True)
+    direct = fields.extract_fields(dataset, dictionary, ["eid", "31"], use_descriptions=True)
+    assert stored.columns == direct.columns and sorted(rows(stored)) == sorted(rows(direct))
