@@ -22,11 +22,19 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
-    columns, found = spark_result(QUERIES[name](spark, SF_DIR))
+    df = QUERIES[name](spark, SF_DIR)
+    columns, found = spark_result(df)
     expected_columns, expected = duck_result(connection, ORACLES[name])
     assert columns == expected_columns
+    described = connection.execute(f"DESCRIBE {ORACLES[name]}").fetchall()
+    assert {column: TYPES[kind] for column, kind in df.dtypes} == {row[0]: row[1] for row in described}
     assert sum(found.values()) == sum(expected.values()) > 0
     assert found == expected
 
