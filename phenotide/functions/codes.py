@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 # A code of these characters means the same as a regular expression and as a plain text.
 _PLAIN = re.compile(r"[A-Za-z0-9_/ -]+")
 # Up to this many plain codes a chain of text searches is cheaper than one regular expression.
-_MAX_TEXT_SEARCHES = 16
+_MAX_TEXT_SEARCHES = 8
+# Up to this many prefixes are sent to the scan one by one.
+_MAX_PREFIXES = 50
 
 
 def as_code_list(codes: str | Iterable[str] | None) -> list[str]:
@@ -27,9 +29,29 @@ def as_code_list(codes: str | Iterable[str] | None) -> list[str]:
 
 def contains_any(column: Column, patterns: Sequence[str]) -> Column:
     """True where ``column`` contains a match of any of the regular expressions."""
-    if len(patterns) <= _MAX_TEXT_SEARCHES and all(_PLAIN.fullmatch(p) for p in patterns):
-        return reduce(or_, [column.contains(p) for p in patterns])
-    return column.rlike("|".join(patterns))
+    if not all(_PLAIN.fullmatch(pattern) for pattern in patterns):
+        return column.rlike("|".join(patterns))
+    if len(patterns) <= _MAX_TEXT_SEARCHES:
+        return reduce(or_, [column.contains(pattern) for pattern in patterns])
+    return column.rlike(shared_pattern(patterns))
+
+
+def shared_pattern(texts: Iterable[str]) -> str:
+    """One regular expression for many texts that spells common beginnings once.
+
+    The time to search it hardly depends on the number of texts. A text that begins with another
+    one is left out, as the shorter one finds it.
+    """
+    rests: dict[str, set[str]] = {}
+    for text in sorted(set(texts)):
+        if not text:
+            return ""
+        rests.setdefault(text[0], set()).add(text[1:])
+    heads = [re.escape(head) for head in rests]
+    if all("" in rest for rest in rests.values()):
+        return heads[0] if len(heads) == 1 else "[" + "".join(heads) + "]"
+    branches = [head + shared_pattern(rest) for head, rest in zip(heads, rests.values())]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
 def match_codes(columns: Sequence[str], codes: Sequence[str], match: str = "regex") -> Column:
@@ -44,7 +66,11 @@ def match_codes(columns: Sequence[str], codes: Sequence[str], match: str = "rege
     elif match == "exact":
         hits = [F.col(name).isin(list(codes)) for name in columns]
     elif match == "prefix":
-        hits = [F.col(name).startswith(code.replace(".", "")) for name in columns for code in codes]
+        prefixes = [code.replace(".", "") for code in codes]
+        if len(prefixes) > _MAX_PREFIXES:
+            hits = [F.col(name).rlike("^" + shared_pattern(prefixes)) for name in columns]
+        else:
+            hits = [F.col(name).startswith(prefix) for name in columns for prefix in prefixes]
     else:
         raise ValueError(f"match must be 'regex', 'exact' or 'prefix', not {match!r}")
     return reduce(or_, hits)

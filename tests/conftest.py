@@ -12,6 +12,7 @@ def spark():
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import re
 from datetime import date
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.errors import NumberFormatException
 from pyspark.sql import functions as F
 
-from phenotide.functions.codes import as_code_list, match_codes
+from phenotide.functions.codes import as_code_list, match_codes, shared_pattern
 from phenotide.functions.dates import parse_date
 from phenotide.operators import records
 
@@ -68,10 +72,26 @@ def test_match_modes(spark, match, codes, hits):
     assert column(df.where(match_codes(["code"], codes, match)), "code") == hits
 
 
-def test_many_plain_codes_equal_few(spark):
-    df = spark.createDataFrame([(f"A{i:02d}",) for i in range(60)], "code string")
-    codes = [f"A{i:02d}" for i in range(0, 60, 2)]
-    assert column(df.where(match_codes(["code"], codes)), "code") == codes
+@given(
+    st.sets(st.text("ab-/ 1[.^", min_size=1, max_size=4), min_size=1, max_size=12),
+    st.lists(st.text("ab-/ 1[.^", max_size=6), max_size=20),
+)
+def test_shared_pattern_finds_what_the_texts_find(texts, values):
+    pattern = re.compile(shared_pattern(texts))
+    assert [bool(pattern.search(v)) for v in values] == [any(t in v for t in texts) for v in values]
+
+
+@pytest.mark.parametrize("match", ["regex", "prefix"])
+def test_many_plain_codes(spark, match):
+    rng = random.Random(5)
+    values = sorted({"".join(rng.choices("AB1-/ _", k=5)) for _ in range(400)})
+    codes = sorted({"".join(rng.choices("AB1-/ _", k=3)) for _ in range(80)})
+    df = spark.createDataFrame([(v,) for v in values], "code string")
+    found = column(df.where(match_codes(["code"], codes, match)), "code")
+    if match == "regex":
+        assert found == [v for v in values if any(c in v for c in codes)]
+    else:
+        assert found == [v for v in values if v.startswith(tuple(codes))]
 
 
 def test_unknown_match_mode(spark):
