@@ -54,26 +54,28 @@ def shared_pattern(texts: Iterable[str]) -> str:
     return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
-def match_codes(columns: Sequence[str], codes: Sequence[str], match: str = "regex") -> Column:
-    """True where any of ``columns`` matches any of ``codes``.
+def match_column(column: Column, codes: Sequence[str], match: str = "regex") -> Column:
+    """True where ``column`` matches any of ``codes``.
 
     ``regex``   unanchored regular expressions: ``E10`` also hits ``XE109``
     ``exact``   equality; reaches the Parquet scan as an IN filter
     ``prefix``  code and sub-codes, dots in the code ignored; reaches the scan as a prefix filter
     """
     if match == "regex":
-        hits = [contains_any(F.col(name), codes) for name in columns]
-    elif match == "exact":
-        hits = [F.col(name).isin(list(codes)) for name in columns]
-    elif match == "prefix":
+        return contains_any(column, codes)
+    if match == "exact":
+        return column.isin(list(codes))
+    if match == "prefix":
         prefixes = [code.replace(".", "") for code in codes]
         if len(prefixes) > _MAX_PREFIXES:
-            hits = [F.col(name).rlike("^" + shared_pattern(prefixes)) for name in columns]
-        else:
-            hits = [F.col(name).startswith(prefix) for name in columns for prefix in prefixes]
-    else:
-        raise ValueError(f"match must be 'regex', 'exact' or 'prefix', not {match!r}")
-    return reduce(or_, hits)
+            return column.rlike("^" + shared_pattern(prefixes))
+        return reduce(or_, [column.startswith(prefix) for prefix in prefixes])
+    raise ValueError(f"match must be 'regex', 'exact' or 'prefix', not {match!r}")
+
+
+def match_codes(columns: Sequence[str], codes: Sequence[str], match: str = "regex") -> Column:
+    """True where any of ``columns`` matches any of ``codes``; see ``match_column``."""
+    return reduce(or_, [match_column(F.col(name), codes, match) for name in columns])
 
 
 def keep_codes(

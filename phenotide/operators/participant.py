@@ -19,13 +19,26 @@ CANCER = "p20001_i"
 ILLNESS = "p20002_i"
 TREATMENT = "p20003_i"
 OPERATION = "p20004_i"
+_PATTERN = "_pattern"
+
+
+# Beyond this many columns one loop over an array is cheaper than a chain of conditions; up to it the
+# chain may reach the Parquet scan.
+_MAX_CHAIN = 8
 
 
 def any_instance(
     df: DataFrame, base: str, condition: Callable[[Column], Column], exact_field: bool = False
 ) -> Column | None:
     """``condition`` on any column of ``base``; ``None`` if there is no such column."""
-    hits = [condition(literal_col(name)) for name in instance_columns(df, base, exact_field)]
+    names = instance_columns(df, base, exact_field)
+    if len(names) <= _MAX_CHAIN:
+        hits = [condition(literal_col(name)) for name in names]
+    else:
+        by_type: dict[str, list[Column]] = {}
+        for name in names:
+            by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(literal_col(name))
+        hits = [F.exists(F.array(*columns), condition) for columns in by_type.values()]
     return reduce(or_, hits) if hits else None
 
 
@@ -94,9 +107,10 @@ def selfreport_operation(
     )
     one_of = F.array_join(F.collect_list(F.concat(F.lit("(?:"), "meaning", F.lit(")"))), "|")
     pattern = meanings.agg(F.nullif(one_of, F.lit(""))).scalar()
+    searched = participants.withColumn(_PATTERN, pattern)
     # regexp_instr keeps the compiled pattern between rows; rlike compiles a non-literal one per row.
-    hit = any_instance(participants, OPERATION, lambda column: F.regexp_instr(column, pattern) > 0)
-    return _selected(participants, hit, True, **options)
+    hit = any_instance(searched, OPERATION, lambda column: F.regexp_instr(column, F.col(_PATTERN)) > 0)
+    return _selected(searched, hit, True, **options).drop(_PATTERN)
 
 
 def _selected(

@@ -9,8 +9,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenotide.functions.codes import as_code_list, keep_codes
+from phenotide.functions.codes import as_code_list, keep_codes, match_column
 from phenotide.functions.dates import is_before, parse_dates, years_between
+from phenotide.operators.participant import any_instance
 from phenotide.operators.records import Codes
 
 # Result column -> prefix of its instance columns in the wide cancer table.
@@ -60,21 +61,21 @@ def death_records(
 def cancer_registrations(registry: DataFrame, codes: Codes, match: str = "regex") -> DataFrame:
     """The wide cancer table as one row per registration whose site matches ``codes``."""
     codes = as_code_list(codes)
-    instances = sorted(
-        int(name.removeprefix(CANCER_FIELDS["site"]))
-        for name in registry.columns
-        if name.startswith(CANCER_FIELDS["site"])
-    )
+    sites = CANCER_FIELDS["site"]
+    instances = sorted(int(name.removeprefix(sites)) for name in registry.columns if name.startswith(sites))
     rows = F.array(
         *[
             F.struct(*[F.col(f"{prefix}{i}").alias(name) for name, prefix in CANCER_FIELDS.items()])
             for i in instances
         ]
     )
+
+    def matches(column: Column) -> Column:
+        return match_column(column, codes, match) if codes else F.lit(False)
+
     # Participants without a matching site leave before their row is multiplied.
-    any_site = [f"{CANCER_FIELDS['site']}{i}" for i in instances]
-    long = keep_codes(registry, any_site, codes, match, on_empty="none").select("eid", F.inline(rows))
-    return parse_dates(keep_codes(long, ["site"], codes, match, on_empty="none"), "reg_date")
+    some = registry.where(any_instance(registry, sites, matches))
+    return parse_dates(some.select("eid", F.inline(rows)).where(matches(F.col("site"))), "reg_date")
 
 
 def cancer_registry(

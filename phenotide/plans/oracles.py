@@ -152,6 +152,13 @@ FROM spine s LEFT JOIN ages a ON a.age >= s.lo AND a.age < s.lo + {bin_size}
 GROUP BY s.lo ORDER BY s.lo"""
 
 
+def _age_at_first(records: str) -> str:
+    """Age at the first of ``records`` (eid, diag_date); none for a participant with an undated record."""
+    return f"""SELECT r.eid, CASE WHEN count(*) = count(diag_date)
+    THEN round(datediff('day', min(b.dob), min(diag_date)) / CAST(365.25 AS DOUBLE)) END AS age
+  FROM ({records}) r LEFT JOIN fx_baseline b ON b.eid = r.eid GROUP BY r.eid"""
+
+
 _FIRST_GP = f"""
 SELECT eid, event_dt AS diag_date, source, read_2, read_3, data_provider, event_dt, value1, value2, value3, exclude,
   exclude_reason, min_diag_date, dob, round(datediff('day', dob, event_dt) / CAST(365.25 AS DOUBLE)) AS "Diagnosis Age"
@@ -235,10 +242,15 @@ WHERE regexp_matches(c.site, 'C61|C5')""",
         "SELECT eid, round(datediff('day', dob, assess_date) / CAST(365.25 AS DOUBLE)) AS age FROM fx_baseline", 10
     ),
     "diagnosis_age_groups": _age_groups(
-        f"""SELECT r.eid, CASE WHEN count(*) = count(epistart)
-    THEN round(datediff('day', min(b.dob), min(epistart)) / CAST(365.25 AS DOUBLE)) END AS age
-  FROM ({_icd10("regexp_matches(d.diag_icd10, 'E10|E11')")}) r LEFT JOIN fx_baseline b ON b.eid = r.eid GROUP BY r.eid""",
-        5,
+        _age_at_first(f"""SELECT eid, epistart AS diag_date FROM ({_icd10("regexp_matches(d.diag_icd10, 'E10|E11')")}) h"""), 5
+    ),
+    "timeline_age_groups": _age_groups(
+        _age_at_first(
+            f"""SELECT eid, event_dt AS diag_date FROM ({_GP.format(where=_FROZEN_SHOULDER)}) g
+    UNION ALL SELECT eid, opdate FROM ({_OPCS.format(where="oper3 LIKE '%W78%' OR oper4 LIKE '%W78%'")}) o
+    UNION ALL SELECT eid, epistart FROM ({_icd10("d.diag_icd10 LIKE '%M750%'")}) h"""
+        ),
+        10,
     ),
     "genetic_score": f"""
 WITH calls AS ({_CALLS}),

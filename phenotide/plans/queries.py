@@ -135,6 +135,16 @@ def diagnosis_age_groups(t: Tables) -> DataFrame:
     return timeline.age_group_counts(timeline.first_record(diabetes, t.baseline), bin_size=5)
 
 
+def timeline_age_groups(t: Tables) -> DataFrame:
+    merged = timeline.order_participant_records(
+        records.gp_records(t.gp_clinical, FROZEN_SHOULDER_GP),
+        records.opcs_records(t.hesin_oper, ["W78"]),
+        records.icd10_records(t.hesin_diag, t.hesin, ["M750"]),
+        sort=False,
+    )
+    return timeline.age_group_counts(timeline.first_record(merged, t.baseline))
+
+
 def genetic_score(t: Tables) -> DataFrame:
     scores = genetics.genetic_score(t.genotypes, t.score_file)
     return scores.withColumn("score", F.round("score", 9))
@@ -204,8 +214,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         gp_by_codes, gp_all, gp_longitudinal, opcs_by_codes, icd10_by_codes, icd10_by_prefix, icd9_by_codes,
         selfreport_illness, selfreport_no_match, selfreport_cancer, selfreport_treatment, selfreport_operation,
         criteria_any_all, gp_scripts_by_codes, death_by_codes, cancer_registry, ordered_records,
-        first_occurrence_records, first_occurrence_sources, age_groups, diagnosis_age_groups, genetic_score,
-        genetic_score_drop_missing, source_case_rates, association_power, association_power_multiplied,
+        first_occurrence_records, first_occurrence_sources, age_groups, diagnosis_age_groups,
+        timeline_age_groups, genetic_score, genetic_score_drop_missing, source_case_rates, association_power, association_power_multiplied,
         extract_fields, append_fields, fields_for_id, fields_by_keyword, null_profile, drop_all_null,
     )
 }

@@ -109,3 +109,27 @@ def test_more_codes_never_remove_rows(people, code):
     assert set(ids(participant.selfreport_illness(people, [code]))) <= set(
         ids(participant.selfreport_illness(people, [code, "1223"]))
     )
+
+
+@pytest.fixture(scope="module")
+def many_instances(spark):
+    """Twelve text and two number columns of one field; participant i has code 100 + i in column i."""
+    rows = [(str(i), *[str(100 + i) if c == i else None for c in range(12)], 100 + i, None) for i in range(14)]
+    names = [f"p20002_i0_a{c}" for c in range(12)] + [f"p20004_i0_a{c}" for c in range(12)]
+    columns = ", ".join(f"{name} string" for name in names)
+    wide = [(row[0], *row[1:13], *row[1:13], *row[13:]) for row in rows]
+    return spark.createDataFrame(wide, f"eid string, {columns}, p20002_i1_a0 long, p20002_i1_a1 long")
+
+
+def test_many_instances_of_several_types(many_instances):
+    assert ids(participant.selfreport_illness(many_instances.drop("p20002_i1_a0", "p20002_i1_a1"), ["103", "111"])) == [3, 11]
+    hit = [("p20002_i", lambda column: column.cast("string") == "113")]
+    assert ids(participant.filter_by_criteria(many_instances, hit)) == ["13"]
+    missing = [("p20002_i", lambda column: column.isNotNull() & (column.cast("long") > 110))]
+    assert ids(participant.filter_by_criteria(many_instances, missing)) == ["11", "12", "13"]
+
+
+def test_operation_in_many_instances(spark, many_instances):
+    coding = spark.createDataFrame([(2, "104"), (3, "10[79]")], "coding int, meaning string")
+    assert ids(participant.selfreport_operation(many_instances, coding, [2, 3])) == [4, 7, 9]
+    assert len(ids(participant.selfreport_operation(many_instances, coding, [5]))) == 14
