@@ -42,9 +42,10 @@ def order_participant_records(*frames: DataFrame, sort: bool = True, hot: bool =
     ``eid`` only; ``hot=False`` saves that. ``sort=False`` saves the global sort.
     """
     dated = [with_diag_date(frame) for frame in frames]
-    ids = hot_participants(*dated) if hot else []
+    ids = hot_participants(*dated) if hot and len(dated) > 1 else []
     if ids:
-        is_hot = reduce(or_, [F.col("eid").eqNullSafe(F.lit(eid)) for eid in ids])
+        known = F.col("eid").isin([eid for eid in ids if eid is not None])
+        is_hot = F.when(F.col("eid").isNull(), None in ids).otherwise(known)
         usual = _merge([frame.where(~is_hot) for frame in dated], _full_join)
         merged = usual.unionByName(_merge([frame.where(is_hot) for frame in dated], _spread_full_join))
     else:
@@ -191,17 +192,16 @@ def age_group_counts(records: DataFrame, bin_size: int = 10, age: str = DIAGNOSI
     The last group ends at the first multiple of ``bin_size`` that is not below the oldest age, so
     an oldest age that is such a multiple is outside of it, as are negative and missing ages.
     """
-    ages = records.groupBy("eid").agg(F.min(literal_col(age)).alias("age"))
+    ages = records.groupBy("eid").agg(F.min(literal_col(age)).alias("age")).where(F.col("age").isNotNull())
     lo = (F.floor(F.col("age") / bin_size) * bin_size).cast("long")
-    counts = ages.groupBy(lo.alias("lo")).agg(F.count("age").alias("n"), F.max("age").alias("oldest"))
-    groups = (
-        counts.agg(F.max("oldest").cast("long").alias("top"))
-        .where(F.col("top") >= 1)
-        .select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top") - 1, F.lit(bin_size).cast("long"))).alias("lo"))
-    )
+    counts = ages.groupBy(lo.alias("lo")).agg(F.count("*").alias("n"), F.max("age").alias("oldest"))
+    # One row with a count per occurring group: a few entries, as ages span a few decades.
+    summary = counts.agg(
+        F.map_from_entries(F.collect_list(F.struct("lo", "n"))).alias("counts"),
+        F.max("oldest").cast("long").alias("top"),
+    ).where(F.col("top") >= 1)
+    first, step = F.lit(0).cast("long"), F.lit(bin_size).cast("long")
+    groups = summary.select("counts", F.explode(F.sequence(first, F.col("top") - 1, step)).alias("lo"))
     label = F.concat(F.col("lo").cast("string"), F.lit("-"), (F.col("lo") + bin_size - 1).cast("string"))
-    return (
-        groups.join(counts.select("lo", "n"), "lo", "left")
-        .select(label.alias("age_group"), "lo", F.coalesce("n", F.lit(0)).alias("n"))
-        .orderBy("lo")
-    )
+    n = F.coalesce(F.col("counts")[F.col("lo")], F.lit(0))
+    return groups.select(label.alias("age_group"), "lo", n.alias("n")).orderBy("lo")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from phenotide.functions.names import literal_col
@@ -29,7 +30,7 @@ class Project:
         return self.spark.read.parquet(f"{self.data}/{name}.parquet")
 
     def coding(self, file: str) -> DataFrame:
-        return text.read_tsv(self.spark, f"{self.data}/{file}").selectExpr("cast(coding AS int) AS coding", "meaning")
+        return text.read_tsv(self.spark, f"{self.data}/{file}").selectExpr("try_cast(coding AS int) AS coding", "meaning")
 
     def column_titles(self, table: str) -> dict[str, str]:
         """Column name -> title of a stored table (schema metadata, one row per column)."""
@@ -167,7 +168,7 @@ class Project:
         after it. The dictionary is itself a list of codes, and takes the place of a list of its name.
         ``existing`` names a stored table to extend by the columns it lacks. That has to be
         another table, as Spark does not overwrite what it reads. A table already stored under the
-        target name stays as it is.
+        target name stays as it is; that it lacks a requested column is an error.
         """
         name = columns_file.split(".")[0]
         if existing == name:
@@ -175,7 +176,6 @@ class Project:
         listed = text.read_trait_list(self.spark, f"{self.columns}/{columns_file}").select(text.CODE)
         codes = [row[0] for row in listed.collect()]
         wanted = fields.resolve_fields(dictionary, dataset.columns, codes, search_terms)
-        sinks.write_column_dictionary(self.spark, wanted, f"{self.columns}/{name}.txt")
         if existing:
             chosen = fields.append_fields(
                 self._read(existing, file_format), dataset, list(wanted), wanted if use_descriptions else None
@@ -183,11 +183,26 @@ class Project:
         else:
             chosen = dataset.select(*[literal_col(column) for column in wanted])
             chosen = fields.rename_to_titles(chosen, wanted) if use_descriptions else chosen
-        write = sinks.write_csv if file_format == "csv" else sinks.write_parquet
-        write(chosen, f"{self.data}/{name}.{file_format}", only_if_absent=True)
-        return self._read(name, file_format)
+        stored = self._read_if_stored(name, file_format)
+        if stored is None:
+            write = sinks.write_csv if file_format == "csv" else sinks.write_parquet
+            write(chosen, f"{self.data}/{name}.{file_format}", only_if_absent=True)
+            sinks.write_column_dictionary(self.spark, wanted, f"{self.columns}/{name}.txt")
+            return self._read(name, file_format)
+        lacking = [column for column in chosen.columns if column not in stored.columns]
+        if lacking:
+            raise ValueError(f"{name!r} is stored without {lacking}; extend it under a new name with existing={name!r}")
+        return stored
 
     def _read(self, name: str, file_format: str) -> DataFrame:
         if file_format == "csv":
             return text.read_csv(self.spark, f"{self.data}/{name}.csv")
         return self.table(name)
+
+    def _read_if_stored(self, name: str, file_format: str) -> DataFrame | None:
+        try:
+            return self._read(name, file_format)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise

@@ -189,6 +189,9 @@ def test_extract_store_and_extend(spark, project, tmp_path, file_format):
     # Stored tables stay; the dictionary written before is a list of codes itself.
     again = project.extract(dataset, dictionary, "first.txt", file_format=file_format)
     assert again.columns == ["eid", "p31"]
+    write(tmp_path / "cols_in_tables", "first.list", "eid\n20002\n")
+    with pytest.raises(ValueError, match="stored without .*p20002_i0_a0"):
+        project.extract(dataset, dictionary, "first.list", file_format=file_format)
     with pytest.raises(ValueError, match="read and written"):
         project.extract(dataset, dictionary, "first.txt", existing="first")
 

@@ -53,7 +53,7 @@ def records(rng, n, column, dated):
     return rows
 
 
-@pytest.mark.parametrize("ids", [[], [1], [1, None]])
+@pytest.mark.parametrize("ids", [[], [1], [1, None], [None]])
 @pytest.mark.parametrize("dated", [(True, True, True), (True, True, False), (False, True, True), (False, False, False)])
 def test_merge_equals_brute_force(spark, monkeypatch, ids, dated):
     """With and without participants joined the other way, dated and undated frames in any order."""
