@@ -255,10 +255,10 @@ WHERE regexp_matches(c.site, 'C61|C5')""",
     "genetic_score": f"""
 WITH calls AS ({_CALLS}),
 means AS (SELECT chrom, pos, avg(calls) AS mean FROM calls GROUP BY chrom, pos)
-SELECT eid, round(sum(weight * COALESCE(calls, mean, 0)) / (2 * count(*)), 9) AS score
+SELECT eid, floor(sum(weight * COALESCE(calls, mean, 0)) / (2 * count(*)) * 1e9 + 0.3) / 1e9 AS score
 FROM calls JOIN means USING (chrom, pos) GROUP BY eid""",
     "genetic_score_drop_missing": f"""
-SELECT eid, round(sum(weight * calls) / (2 * count(*)), 9) AS score
+SELECT eid, sum(weight * calls) / (2 * count(*)) AS score
 FROM ({_CALLS}) c WHERE calls IS NOT NULL GROUP BY eid""",
     "source_case_rates": _RATES,
     # The quantiles are those of alpha = 1e-9 and 0.05, two-sided.
