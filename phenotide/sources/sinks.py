@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_parquet(df: DataFrame, path: str, only_if_absent: bool = False) -> None:
-    """Write Parquet; with ``only_if_absent`` data already stored at ``path`` stays as it is."""
-    df.write.mode(_mode(only_if_absent)).parquet(path)
+def write_parquet(
+    df: DataFrame, path: str, only_if_absent: bool = False, partition_by: Sequence[str] = ()
+) -> None:
+    """Write Parquet; with ``only_if_absent`` data already stored at ``path`` stays as it is.
+
+    ``partition_by`` stores one folder per value, such as ``["chrom"]`` for genotypes.
+    """
+    df.write.mode(_mode(only_if_absent)).partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, only_if_absent: bool = False) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from phenotide.operators import genetics, records, timeline
 from phenotide.plans.fixtures import Tables
+from phenotide.sources.sinks import write_parquet
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = contract.queries()
@@ -80,6 +81,13 @@ def test_genotypes_are_not_shuffled_for_the_join(spark, tables, tmp_path):
     assert "allele1_count" in schema
 
 
+def test_only_autosomes_of_partitioned_genotypes_are_read(spark, tables, tmp_path):
+    write_parquet(tables.genotypes, f"{tmp_path}/genotypes", partition_by=["chrom"])
+    text = plan(genetics.genetic_score(spark.read.parquet(f"{tmp_path}/genotypes"), tables.score_file))
+    pruned = [filters for filters in re.findall(r"PartitionFilters: \[([^\]]*)", text) if "chrom" in filters]
+    assert len(pruned) >= 2 and all("<= 22" in filters for filters in pruned)
+
+
 def test_merge_shuffles_each_frame_once(tables, monkeypatch):
     monkeypatch.setattr(timeline, "hot_participants", lambda *frames: [])
     gp = records.gp_records(tables.gp_clinical)
