@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,29 @@ def test_hot_participants_are_joined_with_an_inner_join(tables, monkeypatch):
     gp = records.gp_records(tables.gp_clinical)
     text = plan(timeline.order_participant_records(gp, records.opcs_records(tables.hesin_oper), sort=False))
     assert text.count("FullOuter") == 1 and "Inner" in text
+
+
+@pytest.fixture()
+def no_automatic_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_rare_codes_are_sent_to_the_episodes(spark, tables, tmp_path, no_automatic_broadcast):
+    diagnoses = stored(spark, tmp_path, "diag", tables.hesin_diag)
+    episodes = stored(spark, tmp_path, "episodes", tables.hesin)
+
+    def read(limit):
+        return records.icd10_records(diagnoses, episodes, ["C54"], broadcast_up_to=limit)
+
+    usual, few, many = read(None), read(100_000), read(1)
+    assert "Exchange hashpartitioning" not in plan(few) and "BroadcastHashJoin" in plan(few)
+    for df in (usual, many):
+        assert plan(df).count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan(df)
+    assert Counter(few.collect()) == Counter(usual.collect()) == Counter(many.collect()) != Counter()
+    old = records.icd9_records(diagnoses, episodes, ["2500"], broadcast_up_to=100_000)
+    assert "BroadcastHashJoin" in plan(old)
+    assert old.count() == records.icd9_records(diagnoses, episodes, ["2500"]).count() > 0
