@@ -93,12 +93,17 @@ def rename_to_titles(df: DataFrame, titles: Mapping[str, str]) -> DataFrame:
 def append_fields(
     existing: DataFrame, df: DataFrame, names: Sequence[str], titles: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """``existing`` plus those columns ``names`` of ``df`` it does not hold, matched by participant."""
-    new = [name for name in dict.fromkeys(names) if name not in existing.columns]
+    """``existing`` plus those columns ``names`` of ``df`` it does not hold, matched by participant.
+
+    With ``titles`` the added columns get their titles, and a column held under its title counts as held.
+    """
+    titles = titles or {}
+    held = set(existing.columns)
+    new = [name for name in dict.fromkeys(names) if name not in held and titles.get(name) not in held]
     if not new:
         return existing
     added = df.select(KEY, *[literal_col(name) for name in new])
-    return existing.join(rename_to_titles(added, titles or {}), KEY, "left")
+    return existing.join(rename_to_titles(added, titles), KEY, "left")
 
 
 def column_null_profile(df: DataFrame) -> DataFrame:

@@ -213,12 +213,39 @@ def drop_all_null(t: Tables) -> DataFrame:
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     query.__name__: query
     for query in (
-        gp_by_codes, gp_all, gp_longitudinal, opcs_by_codes, icd10_by_codes, icd10_by_prefix, icd9_by_codes,
-        selfreport_illness, selfreport_no_match, selfreport_cancer, selfreport_treatment, selfreport_operation,
-        criteria_any_all, gp_scripts_by_codes, death_by_codes, cancer_registry, ordered_records,
-        first_occurrence_records, first_occurrence_sources, age_groups, diagnosis_age_groups,
-        timeline_age_groups, genetic_score, genetic_score_drop_missing, source_case_rates, association_power, association_power_multiplied,
-        extract_fields, append_fields, fields_for_id, fields_by_keyword, null_profile, drop_all_null,
+        gp_by_codes,
+        gp_all,
+        gp_longitudinal,
+        opcs_by_codes,
+        icd10_by_codes,
+        icd10_by_prefix,
+        icd9_by_codes,
+        selfreport_illness,
+        selfreport_no_match,
+        selfreport_cancer,
+        selfreport_treatment,
+        selfreport_operation,
+        criteria_any_all,
+        gp_scripts_by_codes,
+        death_by_codes,
+        cancer_registry,
+        ordered_records,
+        first_occurrence_records,
+        first_occurrence_sources,
+        age_groups,
+        diagnosis_age_groups,
+        timeline_age_groups,
+        genetic_score,
+        genetic_score_drop_missing,
+        source_case_rates,
+        association_power,
+        association_power_multiplied,
+        extract_fields,
+        append_fields,
+        fields_for_id,
+        fields_by_keyword,
+        null_profile,
+        drop_all_null,
     )
 }
 

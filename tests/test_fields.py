@@ -70,6 +70,8 @@ def test_append_only_new_fields_by_participant(spark, wide):
     assert result.columns == ["eid", "p31", "Weight", "p310"]
     assert {(r.eid, r.p31, r.p310) for r in result.collect()} == {(1, "old", None), (2, "old", "x"), (3, "old", None)}
     assert fields.append_fields(stored, wide, ["p31"]) is stored
+    titled = stored.withColumnRenamed("p31", "Sex")
+    assert fields.append_fields(titled, wide, ["p31", "p310"], {"p31": "Sex"}).columns == ["eid", "Sex", "p310"]
 
 
 def test_null_profile(wide):
