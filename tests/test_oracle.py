@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as contract
 from oracle import duck, duck_result, spark_result
+from phenotide.plans import oracles, queries
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = queries.registered()
+ORACLES = oracles.registered()
 
 
 @pytest.fixture(scope="module")
