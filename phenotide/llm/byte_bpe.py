@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenotide.llm.common import slices, text_of
 from phenotide.llm.tokens import Remembering, flat, lists, spaced_chunks
@@ -153,7 +154,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         return pa.concat_arrays(out) if out else lists([])
 
     ids_of.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return docs.withColumn("ids", F.arrow_udf(ids_of, "array<int>")(text_of(text)))
+    return docs.withColumn("ids", F.arrow_udf(ids_of, T.ArrayType(T.IntegerType()))(text_of(text)))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -166,4 +167,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     bytes_of.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return encoded.withColumn("decoded", F.arrow_udf(bytes_of, "binary")(F.col(ids)))
+    return encoded.withColumn("decoded", F.arrow_udf(bytes_of, T.BinaryType())(F.col(ids)))

@@ -8,8 +8,8 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenotide.llm import byte_bpe, packing, token_counts, token_files
-from phenotide.llm.common import shared_folder, table
+from phenotide.llm import byte_bpe, packing, quality_rules, simhash, text_statistics, token_counts, token_files
+from phenotide.llm.common import shared_folder, stored, table
 
 WORDS = vocabularies.path("word_bpe_49k.json")
 BYTES = vocabularies.path("byte_bpe_50k.json")
@@ -29,6 +29,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counted = stored(text_statistics.with_statistics(docs).drop("text"), "statistics")
+    return quality_rules.with_verdict(counted).select("doc_id", *text_statistics.COUNTS, "base_failed", "distance", "kept")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of three words; fingerprints link at two or fewer differing bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    printed = stored(simhash.with_fingerprint(docs, width=3).drop("text"), "fingerprints")
+    found = simhash.with_component(printed, distance=2)
+    return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, vocabularies.PATTERN), RANKS, vocabularies.PATTERN)
@@ -48,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_token_counts, op8_byte_bpe, op10_token_files)}
+    return {f.__name__: f for f in (op2_packing, op3_token_counts, op4_quality_rules, op5_simhash, op8_byte_bpe, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

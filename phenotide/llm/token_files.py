@@ -96,7 +96,7 @@ def crc32_of_ids(ids):
     return _crc32(ids)
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _crc32(column: pa.Array) -> pa.Array:
     ends, ids = flat(column)
     raw = memoryview(np.ascontiguousarray(ids, "<i4").view(np.uint8))
