@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
-import heapq
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,11 @@ from phenotide.llm.common import slices, text_of
 from phenotide.llm.tokens import Remembering, flat, lists, spaced_chunks
 
 #: Keys per bucket of the perfect hash, on average.
-BUCKET = 4
+BUCKET = 3
 
 
 class PerfectHash:
-    """Minimal perfect hash by hashing and displacing: each bucket of keys has the first displacement that sends its keys to free slots."""
+    """Minimal perfect hash by hashing and displacing: a bucket of keys has the first displacement that sends all to free slots, a lone key any free slot."""
 
     def __init__(self, keys: list[bytes]) -> None:
         self.n, self.buckets = max(1, len(keys)), max(1, -(-len(keys) // BUCKET))
@@ -36,16 +37,24 @@ class PerfectHash:
         taken = bytearray(self.n)
         for bucket in sorted(range(self.buckets), key=lambda b: -len(members[b])):
             own = [hashes[i] for i in members[bucket]]
+            if len(own) < 2:
+                break
             d = 0
-            while own:
-                slots = {self._slot(h, d) for h in own}
-                if len(slots) == len(own) and not any(taken[s] for s in slots):
+            while True:
+                slots = [self._slot(h, d) for h in own]
+                if not any(map(taken.__getitem__, slots)) and len(set(slots)) == len(own):
                     break
                 d += 1
             self.shift[bucket] = d
-            for i in members[bucket]:
-                taken[s := self._slot(hashes[i], d)] = 1
+            for i, s in zip(members[bucket], slots):
+                taken[s] = 1
                 self.key_at[s] = keys[i]
+        free = (s for s in range(self.n) if not taken[s])
+        for bucket in range(self.buckets):  # a lone key names its slot
+            if len(members[bucket]) == 1:
+                s = next(free)
+                self.shift[bucket] = ~s
+                self.key_at[s] = keys[members[bucket][0]]
 
     def _slot(self, h: int, d: int) -> int:
         return ((h ^ d * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 >> 24 & 0xFFFFFFFFFF) % self.n
@@ -53,7 +62,8 @@ class PerfectHash:
     def slot(self, key: bytes) -> int:
         """The slot of the key, or -1 if it is none of the keys."""
         h = xxhash.xxh64_intdigest(key)
-        s = self._slot(h, self.shift[(h >> 32) % self.buckets])
+        d = self.shift[(h >> 32) % self.buckets]
+        s = self._slot(h, d) if d >= 0 else ~d
         return s if self.key_at[s] == key else -1
 
 
@@ -66,8 +76,10 @@ class ByteBpe:
         self._pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self._hash = PerfectHash(list(ranks))
         self._id_at = [ranks[k] if k is not None else -1 for k in self._hash.key_at]
-        self._bare = Remembering(lambda chunks: [self.encode_chunk(x) for x in chunks])
-        self._spaced = Remembering(lambda chunks: [self.encode_chunk(x if x[:1] == "\n" else " " + x) for x in chunks])
+        self._ranks = ranks
+        self._pieces = Remembering(self._encode_pieces)
+        self._bare = Remembering(self._encode_chunks)
+        self._spaced = Remembering(lambda chunks: self._encode_chunks([x if x[:1] == "\n" else " " + x for x in chunks]))
         top = max(ranks.values(), default=-1) + 1
         self._bytes = [b""] * top
         for k, i in ranks.items():
@@ -82,38 +94,42 @@ class ByteBpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Join the pair of lowest rank, the leftmost of equals, until no pair has a rank."""
-        n, rank = len(piece), self.rank
+        n, rank = len(piece), self._ranks.get
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # end of the part that starts here; start of the part before it
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
-        heapq.heapify(heap)
-        alive = bytearray(b"\x01") * n
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != stop:
+            _, i, stop = heappop(heap)
+            middle = end[i]
+            if not 0 < middle < n or end[middle] != stop:  # parts that are gone have end 0
                 continue
-            alive[end[i]] = 0
-            end[i] = stop
+            end[i], end[middle] = stop, 0
             if stop < n:
                 before[stop] = i
-                if (r := rank(piece[i : end[stop]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) >= 0:
-                heapq.heappush(heap, (r, p, stop))
+                last = end[stop]
+                if (r := rank(piece[i:last])) is not None:
+                    heappush(heap, (r, i, last))
+            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
+                heappush(heap, (r, p, stop))
         out, i = [], 0
         while i < n:
             out.append(rank(piece[i : end[i]]))
             i = end[i]
         return out
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for match in self._pattern.finditer(chunk):
-            piece = match[0].encode()
-            if (i := self.rank(piece)) >= 0:
-                ids.append(i)
-            else:
-                ids += self.merge(piece)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for piece in map(str.encode, pieces):
+            i = self.rank(piece)
+            ids = [i] if i >= 0 else self.merge(piece)
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The matches of all chunks at once, each distinct one encoded once."""
+        split = [self._pattern.findall(x) for x in chunks]
+        values = self._pieces.values([x for pieces in split for x in pieces])
+        return [b"".join(islice(values, len(pieces))) for pieces in split]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
