@@ -8,7 +8,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenotide.llm import byte_bpe, packing, quality_rules, simhash, text_statistics, token_counts, token_files
+from phenotide.llm import byte_bpe, packing, quality_rules, simhash, suffix_dedup, text_statistics, token_counts, token_files
 from phenotide.llm.common import shared_folder, stored, table
 
 WORDS = vocabularies.path("word_bpe_49k.json")
@@ -43,6 +43,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return found.select("doc_id", "removed.n_bytes", "removed.n_removed", "removed.n_spans", F.sha2("removed.kept", 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, vocabularies.PATTERN), RANKS, vocabularies.PATTERN)
@@ -62,7 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_token_counts, op4_quality_rules, op5_simhash, op8_byte_bpe, op10_token_files)}
+    return {f.__name__: f for f in (op2_packing, op3_token_counts, op4_quality_rules, op5_simhash, op6_suffix_dedup, op8_byte_bpe, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,95 @@
+"""Repeated passages against a window-by-window brute force."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from phenotide.llm import suffix_dedup as S
+
+
+def brute(texts: list[str], length: int) -> list[tuple[int, int, int, bytes]]:
+    raws = [(x or "").encode() for x in texts]
+    often = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if often[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        runs = sum(1 for i in range(len(r)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((len(r), sum(gone), runs, bytes(b for b, g in zip(r, gone) if not g)))
+    return out
+
+
+def found(spark, texts, length, gram, **more):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    rows = S.remove_repeats(docs, length=length, gram=gram, **more).orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == list(range(len(texts)))
+    assert {r.key for r in rows} <= {"x"}
+    return [(r.removed.n_bytes, r.removed.n_removed, r.removed.n_spans, bytes(r.removed.kept)) for r in rows]
+
+
+def sample(seed: int) -> list[str]:
+    rng = random.Random(seed)
+    letters = rng.choice(["ab", "abc", "abcdefgh", "aé日"])
+    fresh = lambda n: "".join(rng.choices(letters, k=n))
+    passages = [fresh(rng.randint(5, 40)) for _ in range(6)]
+    texts = ["".join(rng.choice(passages) if rng.random() < 0.4 else fresh(rng.randint(1, 12)) for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    return [*texts, texts[3], texts[3], texts[5] + "x", None, "", "a" * 200, "ab" * 60]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_removed_bytes(spark, seed):
+    length, gram = [(12, 4), (20, 6), (9, 9), (16, 1), (30, 8), (12, 4)][seed]
+    texts = sample(seed)
+    assert found(spark, texts, length, gram) == brute(texts, length)
+
+
+def test_removed_bytes_where_every_array_is_large(spark):
+    texts = sample(9)
+    assert found(spark, texts, 12, 4, most=2) == brute(texts, 12)
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdef", k=300_000))
+    texts = ["x" + passage + "y" * 10, "".join(rng.choices("abcdef", k=900_000)) + passage, "z" * 1_200_000 + "é"]
+    assert found(spark, texts, 200, 48) == brute(texts, 200)
+
+
+def test_nothing(spark):
+    assert found(spark, [], 200, 48) == []
+    assert found(spark, [None, ""], 200, 48) == [(0, 0, 0, b"")] * 2
+
+
+def test_maximal_repeats_of_an_array():
+    entries = [(b"xxab", b"cdef1"), (b"yyab", b"cdef2"), (b"yyab", b"cdzz"), (b"q", b"cdef3")]
+    groups = {(b, a, tuple(sorted(m))) for b, a, m in S.maximal_repeats(entries, 4)}
+    assert groups == {(2, 4, (0, 1)), (2, 2, (0, 1, 2)), (4, 2, (1, 2)), (0, 4, (0, 1, 3))}
+
+
+def test_intervals_of_common_prefixes():
+    assert sorted(S.intervals([2, 0, 3, 3, 1])) == [(0, 0, 5), (1, 2, 5), (2, 0, 1), (3, 2, 4)]
+    assert list(S.intervals([])) == []
+
+
+def test_groups_name_every_occurrence(spark):
+    texts = sample(2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    by_digest = {hashlib.md5((t or "").encode()).hexdigest(): (t or "").encode() for t in texts}
+    groups = defaultdict(set)
+    for r in S.repeat_groups(docs, length=20, gram=6).collect():
+        groups[r.group].add((by_digest[r.text_md5][r.start : r.start + r.n_bytes], r.text_md5, r.start))
+    copies = Counter(hashlib.md5((t or "").encode()).hexdigest() for t in texts)
+    assert groups
+    for places in groups.values():
+        assert len({p[0] for p in places}) == 1
+        assert len(places) > 1 or copies[next(iter(places))[1]] > 1
+    covered = defaultdict(set)
+    for places in groups.values():
+        for string, digest, start in places:
+            covered[digest].update(range(start, start + len(string)))
+    for text, (n, removed, _, _) in zip(texts, brute(texts, 20)):
+        assert len(covered[hashlib.md5((text or "").encode()).hexdigest()]) == removed
