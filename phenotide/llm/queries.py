@@ -8,7 +8,19 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenotide.llm import byte_bpe, packing, quality_rules, simhash, suffix_dedup, text_statistics, token_counts, token_files
+from phenotide.llm import (
+    byte_bpe,
+    kd_search,
+    lookup_sharding,
+    packing,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    text_statistics,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from phenotide.llm.common import shared_folder, stored, table
 
 WORDS = vocabularies.path("word_bpe_49k.json")
@@ -16,6 +28,15 @@ BYTES = vocabularies.path("byte_bpe_50k.json")
 RANKS = vocabularies.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: Shards of the sharding query.
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
+
+def op1_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", kd_search.scaled(F.col("embedding")).alias("vector"))
+    return kd_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORDS, end_id=1)
     crc = token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32")
@@ -49,6 +70,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "removed.n_bytes", "removed.n_removed", "removed.n_spans", F.sha2("removed.kept", 256).alias("kept_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return lookup_sharding.place(docs, SHARDS).select("doc_id", "source", "slot", "shard")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, vocabularies.PATTERN), RANKS, vocabularies.PATTERN)
@@ -60,6 +86,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_severity(docs, model).select("doc_id", "expected_severity", "p_toxic", "grade", "kept")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), folder, WORDS, end_id=2)
@@ -67,9 +99,52 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32"))
 
 
+def op7_sql() -> str:
+    """Placement in SQL. The lookup table is part of the text: one number per slot."""
+    owners = ", ".join(map(str, lookup_sharding.lookup_table(SHARDS)))
+    hexed = "('0x' || substr(md5('=' || doc_id), 1, 15))::BIGINT"
+    return f"""
+        WITH owners AS (SELECT unnest([{owners}]) AS owner, generate_subscripts([{owners}], 1) - 1 AS slot),
+        placed AS (SELECT doc_id, source, CAST({hexed} % {lookup_sharding.SLOTS} AS INTEGER) AS slot FROM documents)
+        SELECT doc_id, source, slot, 'shard-' || lpad(CAST(owner AS VARCHAR), 2, '0') AS shard
+        FROM placed JOIN owners USING (slot)
+    """
+
+
+OP1_SQL = """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+               CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 50 = 0
+    ),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_token_counts, op4_quality_rules, op5_simhash, op6_suffix_dedup, op8_byte_bpe, op10_token_files)}
+    every = (
+        op1_kd_search,
+        op2_packing,
+        op3_token_counts,
+        op4_quality_rules,
+        op5_simhash,
+        op6_suffix_dedup,
+        op7_sharding,
+        op8_byte_bpe,
+        op9_toxicity,
+        op10_token_files,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those queries that SQL expresses over whole tables; the others are tested against brute force."""
+    return {"op1_kd_search": OP1_SQL, "op7_sharding": op7_sql()}
