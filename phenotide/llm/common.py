@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
@@ -48,6 +48,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(at, rows)
 
 
-def plain(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that other columns of the caller cannot clash with working names."""
-    return df.select(*columns)
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but the needed ones under a working name, and the way back to their columns.
+
+    An operator between the two cannot clash with the names of columns that are none of its business.
+    """
+    working = {c: c if c in needed else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    apart = docs.select(*(F.col(f"`{c}`").alias(w) for c, w in working.items()))
+    return apart, lambda found: found.select(*(F.col(w).alias(c) for c, w in working.items()))

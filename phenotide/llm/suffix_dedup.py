@@ -350,6 +350,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     return joined.withColumn("removed", F.arrow_udf(_remove, _REMOVED)(text_of(text), F.col("_spans"))).drop("_key", "_spans")
 
 
+@F.arrow_udf(T.StringType())
+def whole_characters(column: pa.Array) -> pa.Array:
+    """UTF-8 bytes as text, without characters that lack some of their bytes."""
+    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
+
+
 def repeat_groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Maximal repeats with all their occurrences: group, n_bytes, text_md5 and start.
 
