@@ -29,6 +29,8 @@ LENGTH = 200
 GRAM = 48
 #: Bytes that are hashed at a time; longer texts are taken in overlapping parts.
 PART = 1 << 20
+#: Parts that places known to repeat are dealt to, so that a passage of many texts does not meet in one task.
+SALTS = 64
 #: Entries of a suffix array that one task sorts; more are counted window by window instead.
 ENTRIES = 20_000
 
@@ -84,15 +86,27 @@ def anchors(parts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
     return part, low - base, high - base, anchor - base, grams[anchor], around
 
 
+def _salts(grams: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """0 for the first two places with the same surroundings; further ones, which repeat for certain, are dealt out from 1 on."""
+    order = np.lexsort((around, grams))
+    new = np.concatenate([[True], (grams[order][1:] != grams[order][:-1]) | (around[order][1:] != around[order][:-1])])[: len(order)]
+    at = np.arange(len(order))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    out = np.zeros(len(order), np.int32)
+    out[order] = np.where(nth < 2, 0, 1 + at % SALTS)
+    return out
+
+
 def _finder(length: int, gram: int):
-    names = ["key", "gram", "around", "low", "high", "anchor"]
+    names = ["key", "gram", "around", "salt", "low", "high", "anchor"]
 
     def emit(held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
         part, low, high, anchor, grams, around = anchors([x[2] for x in held], length, gram)
         base = np.array([x[1] for x in held], np.int64)[part]
         keys = pa.array([x[0] for x in held], pa.binary()).take(pa.array(part))
         places = [pa.array(x + base) for x in (low, high, anchor)]
-        return pa.RecordBatch.from_arrays([keys, pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), *places], names)
+        salt = pa.array(_salts(grams, around))
+        return pa.RecordBatch.from_arrays([keys, pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), salt, *places], names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = defaultdict(int)
@@ -258,16 +272,17 @@ def _places(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     """Anchors whose gram occurs elsewhere: with twice (so do their whole surroundings), first (the entry of equal surroundings) and entries (of the gram)."""
     if not 0 < gram <= length:
         raise ValueError("the gram lies within the length")
-    schema = "key binary, gram long, around long, low long, high long, anchor long"
-    found = _keyed(docs, text).mapInArrow(_finder(length, gram), schema).repartition("gram")
-    same = Window.partitionBy("gram", "around")
-    whole = Window.partitionBy("gram")
+    schema = "key binary, gram long, around long, salt int, low long, high long, anchor long"
+    found = _keyed(docs, text).mapInArrow(_finder(length, gram), schema).repartition("gram", "salt")
+    same = Window.partitionBy("gram", "salt", "around")
+    whole = Window.partitionBy("gram", "salt")
+    sure = F.col("salt") > 0
     found = found.select(
         "*",
         F.count(F.lit(1)).over(whole).alias("_n"),
-        (F.count(F.lit(1)).over(same) > 1).alias("twice"),
-        (F.row_number().over(same.orderBy("key", "anchor")) == 1).alias("first"),
-    ).where("_n > 1")
+        ((F.count(F.lit(1)).over(same) > 1) | sure).alias("twice"),
+        ((F.row_number().over(same.orderBy("key", "anchor")) == 1) & ~sure).alias("first"),
+    ).where("_n > 1 OR salt > 0")
     entries = F.sum(F.col("first").cast("int")).over(whole).alias("entries")
     return stored(found.select("key", "gram", "around", "low", "high", "anchor", "twice", "first", entries), "places")
 
