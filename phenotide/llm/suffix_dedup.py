@@ -28,7 +28,7 @@ from phenotide.llm.common import slices, stored, text_of
 LENGTH = 200
 GRAM = 48
 #: Bytes that are hashed at a time; longer texts are taken in overlapping parts.
-PART = 1 << 20
+PART = 1 << 19
 #: Parts that places known to repeat are dealt to, so that a passage of many texts does not meet in one task.
 SALTS = 64
 #: Entries of a suffix array that one task sorts; more are counted window by window instead.

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Chunks that a worker remembers; beyond, it starts anew. Longer chunks are not remembered.
 REMEMBERED = 700_000
+#: Of a word tokenizer, which remembers words with and without the marks behind them.
+REMEMBERED_WORDS = 300_000
 LONGEST = 64
 
 _ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
@@ -35,14 +37,14 @@ def spaced_chunks(text: str) -> tuple[str, list[str]]:
 class Remembering:
     """Maps chunks to values and remembers the values of short ones."""
 
-    def __init__(self, compute) -> None:
-        self._compute = compute
+    def __init__(self, compute, most: int = REMEMBERED) -> None:
+        self._compute, self._most = compute, most
         self.known: dict[str, object] = {}
 
     def values(self, chunks: list[str]):
         """The value of each chunk, in order."""
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self._most:
             known.clear()
         new = [x for x in set(chunks).difference(known)]
         if not new:
@@ -71,9 +73,9 @@ class Tokenizer:
         self.drops_space = self._library.model.end_of_word_suffix is not None
         added = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
-        self._bare = Remembering(self._ids_of)
+        self._bare = Remembering(self._ids_of, REMEMBERED_WORDS)
         self._spaced = Remembering(lambda chunks: self._ids_of([x if x[:1] == "\n" else " " + x for x in chunks]))
-        self._cores = Remembering(self._core_ids)
+        self._cores = Remembering(self._core_ids, REMEMBERED_WORDS)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)

@@ -28,7 +28,7 @@ from phenotide.llm.tokens import Remembering
 BUCKETS = 1 << 22
 PREFIXES = (4, 5)
 #: Labelled texts that the model is fitted on, at most: those whose ids hash lowest.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Counts are divided by this power of the number of words.
 POWER = 0.35
 
@@ -85,20 +85,37 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+class Features:
+    """Sparse rows: where each begins and ends, and the buckets and values of all."""
+
+    def __init__(self, ids: list, values: list) -> None:
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        self.ids = np.concatenate([np.asarray(x, np.int32) for x in ids]) if len(ids) else np.zeros(0, np.int32)
+        self.values = np.concatenate([np.asarray(x, np.float32) for x in values]) if len(ids) else np.zeros(0, np.float32)
+
+    @staticmethod
+    def of_column(column: pa.StructArray) -> Features:
+        found = Features([], [])
+        ids, values = column.field("ids"), column.field("values")
+        found.ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]).astype(np.int64)
+        found.ids, found.values = np.asarray(ids.flatten()), np.asarray(values.flatten())
+        return found
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ends) - 1, dtype=np.int32), np.diff(self.ends))
+
+
 class _Rows:
-    """Sparse rows with the buckets that occur in more than one, but in at most a quarter of them."""
-
-    def __init__(self, ids: list[np.ndarray], values: list[np.ndarray]) -> None:
-        lengths = [len(x) for x in ids]
-        columns = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(len(ids)), lengths)
-        often = np.bincount(columns, minlength=BUCKETS)
-        used = (often > 1) & (often <= max(2, len(ids) // 4))
+    """The buckets that occur in more than one row, but in at most a quarter of them."""
+
+    def __init__(self, features: Features) -> None:
+        self.n = len(features.ends) - 1
+        often = np.bincount(features.ids, minlength=BUCKETS)
+        used = (often > 1) & (often <= max(2, self.n // 4))
         self.buckets = np.flatnonzero(used)
-        kept = used[columns]
-        self.rows, self.n = rows[kept], len(ids)
-        self.columns = np.searchsorted(self.buckets, columns[kept])
-        self.values = np.concatenate(values)[kept].astype(np.float64) if values else np.zeros(0)
+        kept = used[features.ids]
+        self.rows, self.values = features.rows()[kept], features.values[kept]
+        self.columns = np.searchsorted(self.buckets, features.ids[kept]).astype(np.int32)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.values * weights[self.columns], self.n)
@@ -107,7 +124,7 @@ class _Rows:
         return np.bincount(self.columns, self.values * slopes[self.rows], len(self.buckets))
 
 
-def fit(ids: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, penalty: float = 1e-4, rounds: int = 120) -> Model:
+def fit(features: Features, grades: np.ndarray, penalty: float = 1e-4, rounds: int = 120) -> Model:
     """Proximal gradient steps with momentum on the mean negative log-likelihood; grades are 0, 1, 2 and so on.
 
     With fewer than two grades there is nothing to tell apart: the model has no thresholds and gives 0.
@@ -115,7 +132,7 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, pen
     top = int(grades.max(initial=0))
     if not top or not len(grades[grades < top]):
         return Model()
-    x = _Rows(ids, values)
+    x = _Rows(features)
     share = [np.clip((grades >= k).mean(), 1e-6, 1 - 1e-6) for k in range(1, top + 1)]
     thresholds = np.array([np.log((1 - p) / p) for p in share]) + 1e-3 * np.arange(top)
     step = 1 / (0.3 * x.back(x.scores(np.ones(len(x.buckets)))) / x.n + 1e-9)  # of each weight; their bounds majorise the curvature
@@ -143,15 +160,16 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, pen
     return Model(thresholds.tolist(), dict(zip(x.buckets[some].tolist(), weights[some].tolist())))
 
 
-def grades_from_flags(ids: list[np.ndarray], values: list[np.ndarray], flags: np.ndarray, grades: int = 3) -> np.ndarray:
+def grades_from_flags(features: Features, flags: np.ndarray, grades: int = 3) -> np.ndarray:
     """Grades of texts that are only flagged: 0 without the flag; flagged ones in `grades` equal parts by how much of them are features typical of flagged texts."""
     flags = flags.astype(bool)
     if not flags.any():
         return np.zeros(len(flags), np.int64)
-    counts = [np.bincount(np.concatenate([ids[i] for i in np.flatnonzero(own)] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for own in (flags, ~flags)]
-    odds = np.log((counts[0] + 0.5) / (flags.sum() + 1)) - np.log((counts[1] + 0.5) / ((~flags).sum() + 1))
-    typical = (odds > 3) & (counts[0] >= 5)
-    load = np.array([v[typical[i]].sum() for i, v in zip(ids, values)])
+    rows = features.rows()
+    with_flag, without = (np.bincount(features.ids[own[rows]], minlength=BUCKETS) for own in (flags, ~flags))
+    odds = np.log((with_flag + 0.5) / (flags.sum() + 1)) - np.log((without + 0.5) / ((~flags).sum() + 1))
+    typical = (odds > 3) & (with_flag >= 5)
+    load = np.bincount(rows, features.values * typical[features.ids], len(flags))
     cuts = np.quantile(load[flags], np.arange(1, grades) / grades)
     return np.where(flags, 1 + np.searchsorted(cuts, load, side="right"), 0)
 
@@ -167,11 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "_key").select("_key", "_flag", F.arrow_udf(_sparse, _SPARSE)("_text").alias("_x"))
     found = rows.toArrow().sort_by("_key")
-    features = found.column("_x").combine_chunks()
-    ids = [np.asarray(x, np.int64) for x in features.field("ids").to_numpy(zero_copy_only=False)]
-    values = [np.asarray(x, np.float64) for x in features.field("values").to_numpy(zero_copy_only=False)]
-    flags = np.asarray(found.column("_flag"))
-    return fit(ids, values, grades_from_flags(ids, values, flags))
+    if not found.num_rows:
+        return Model()
+    features = Features.of_column(found.column("_x").combine_chunks())
+    return fit(features, grades_from_flags(features, np.asarray(found.column("_flag"))))
 
 
 def with_severity(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.2) -> DataFrame:

@@ -393,16 +393,20 @@ def test_toxicity_of_awkward_rows(spark, docs):
     assert toxicity.train(docs, labels.limit(0)).thresholds == []
 
 
-def test_ordinal_fit_orders_the_grades():
+def test_ordinal_fit_recovers_weights_and_ordered_thresholds():
     rng = np.random.default_rng(0)
-    grades = rng.integers(0, 4, 800)
-    ids = [np.array([1, 2 + i % 300]) for i in range(800)]
-    values = [np.array([g + rng.normal(0, 0.3), 1.0]) for g in grades]
-    values = [np.abs(v) for v in values]
-    keep = np.array([g > 0 or i % 3 == 0 for i, g in enumerate(grades)])
-    ids = [x if g else x[1:] for x, g in zip(ids, grades)]
-    values = [v if g else v[1:] for v, g in zip(values, grades)]
-    chosen = np.flatnonzero(keep & (rng.random(800) < 0.32))
-    rows = [ids[i] for i in chosen]
-    model = toxicity.fit(rows, [values[i] for i in chosen], grades[chosen], penalty=1e-5, rounds=400)
-    assert model.thresholds == sorted(model.thresholds)
+    ids, values, grades = [], [], []
+    for _ in range(3000):
+        own = np.sort(rng.choice(np.arange(1, 25), 3, replace=False))
+        load = rng.random(3)
+        score = 6 * sum(load[own <= 6]) + rng.logistic(0, 0.5)
+        ids.append(own)
+        values.append(load)
+        grades.append(int(np.searchsorted([2, 4, 6], score)))
+    grades = np.array(grades)
+    model = toxicity.fit(toxicity.Features(ids[:2000], values[:2000]), grades[:2000], penalty=1e-4, rounds=300)
+    assert len(model.thresholds) == 3 and model.thresholds == sorted(model.thresholds)
+    assert min(model.weights.get(i, 0) for i in range(1, 7)) > 2 * max(abs(model.weights.get(i, 0)) for i in range(7, 25))
+    scores = np.array([sum(model.weights.get(int(i), 0) * v for i, v in zip(a, b)) for a, b in zip(ids[2000:], values[2000:])])
+    expected = model.severity(scores)
+    assert np.corrcoef(expected, grades[2000:])[0, 1] > 0.85
