@@ -22,7 +22,11 @@ LONGEST = 64
 
 _ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_CORE = re.compile(r"([a-z]+)([.,;:!?]*)", re.ASCII)
+_CORE = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+
+#: Byte-level vocabularies name a byte by its character if that is printable, else by one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = dict(zip((b for b in range(256) if b not in set(_PRINTABLE)), range(256, 512)))
 
 
 def spaced_chunks(text: str) -> tuple[str, list[str]]:
@@ -82,8 +86,9 @@ class Tokenizer:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
     def _core_ids(self, cores: list[str]) -> list[bytes]:
-        tokenize = self._library.model.tokenize
-        return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in map(tokenize, cores)]
+        """A lower-case word is one pre-token, which goes to the library's model at once."""
+        named = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_NAMES) for x in cores]
+        return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in map(self._library.model.tokenize, named)]
 
     def _ids_of(self, chunks: list[str]) -> list[bytes]:
         """Words in plain letters, with or without marks behind them, share the ids of the bare word."""
@@ -92,7 +97,7 @@ class Tokenizer:
         out: list[bytes | None] = [None] * len(chunks)
         cores, tails, at, odd = [], [], [], []
         for i, chunk in enumerate(chunks):
-            if chunk.isascii() and (m := _CORE.fullmatch(chunk.lower())):
+            if m := _CORE.fullmatch(chunk.lower()):
                 cores.append(m[1])
                 tails.append(m[2])
                 at.append(i)
@@ -113,6 +118,11 @@ class Tokenizer:
         if self._added is not None and self._added.search(text):
             return self._whole([text])[0]
         if self.drops_space:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # here as the library does, which puts upper case into lower case itself
+            except UnicodeEncodeError:
+                pass
             return b"".join(self._bare.values(text.replace("\n", " ").split(" ")))
         first, rest = spaced_chunks(text)
         return b"".join(self._bare.values([first])) + b"".join(self._spaced.values(rest))
