@@ -316,9 +316,6 @@ def _spans(docs: DataFrame, text: str, length: int, gram: int, most: int) -> Dat
     return spans.unionByName(often.groupBy("key", "anchor").agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).drop("anchor"))
 
 
-_REMOVED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
-
-
 def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """Removed bytes, removed runs, and what is left."""
     kept, removed, runs, at = [], 0, 0, 0
@@ -336,39 +333,39 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, byte
     return removed, runs, b"".join(kept)
 
 
-def _remove(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    sizes, removed, runs, kept = [], [], [], []
-    for at in range(0, len(texts), 256):
-        for text, own in zip(texts.slice(at, 256).to_pylist(), spans.slice(at, 256).to_pylist()):
-            raw = text.encode()
-            n, r, left = kept_bytes(raw, [(x["start"], x["stop"]) for x in own]) if own else (0, 0, raw)
-            for column, value in zip((sizes, removed, runs, kept), (len(raw), n, r, left)):
-                column.append(value)
-    numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)]
-    return pa.StructArray.from_arrays([*numbers, pa.array(kept, pa.binary())], _REMOVED.fieldNames())
+def _remover(as_text: bool):
+    kind = pa.string() if as_text else pa.binary()
 
+    def remove(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        sizes, removed, runs, kept = [], [], [], []
+        for at in range(0, len(texts), 256):
+            for text, own in zip(texts.slice(at, 256).to_pylist(), spans.slice(at, 256).to_pylist()):
+                raw = text.encode()
+                n, r, left = kept_bytes(raw, [(x["start"], x["stop"]) for x in own]) if own else (0, 0, raw)
+                left = left.decode("utf-8", "ignore") if as_text else left
+                for column, value in zip((sizes, removed, runs, kept), (len(raw), n, r, left)):
+                    column.append(value)
+        numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)]
+        return pa.StructArray.from_arrays([*numbers, pa.array(kept, kind)], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-_remove.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
+    remove.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
+    numbers = [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
+    return F.arrow_udf(remove, T.StructType([*numbers, T.StructField("kept", T.StringType() if as_text else T.BinaryType())]))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = ENTRIES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = ENTRIES, as_text: bool = False) -> DataFrame:
     """Every row of docs with removed: n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that are left).
 
     A byte goes if a string of `length` bytes over it starts anywhere else in the texts, in the same
     one or another, each row being a text of its own; strings are judged on the texts as given. Texts
     are UTF-8 bytes, a null text is empty; shorter texts stay as they are. All copies of a text go, also
-    where rows repeat. A column called removed is replaced.
+    where rows repeat. A column called removed is replaced. With as_text, kept is text
+    without the characters that lost some of their bytes.
     """
     spans = _spans(docs, text, length, gram, most).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     rows = docs.drop("removed", "_spans", "_key").withColumn("_key", F.unhex(F.md5(text_of(text))))
     joined = rows.join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.withColumn("removed", F.arrow_udf(_remove, _REMOVED)(text_of(text), F.col("_spans"))).drop("_key", "_spans")
-
-
-@F.arrow_udf(T.StringType())
-def whole_characters(column: pa.Array) -> pa.Array:
-    """UTF-8 bytes as text, without characters that lack some of their bytes."""
-    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
+    return joined.withColumn("removed", _remover(as_text)(text_of(text), F.col("_spans"))).drop("_key", "_spans")
 
 
 def repeat_groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 #: Chunks that a worker remembers; beyond, it starts anew. Longer chunks are not remembered.
 REMEMBERED = 700_000
 #: Of a word tokenizer, which remembers words with and without the marks behind them.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 250_000
 LONGEST = 64
 
 _ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
