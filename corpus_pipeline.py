@@ -41,9 +41,9 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     document of which nothing is left stays, with an empty text, and so does a null text.
     """
     rows, back = set_aside(docs, "text", "n_chars")
-    found = suffix_dedup.remove_repeats(rows, length=200)
+    found = suffix_dedup.remove_repeats(rows, length=200, as_text=True)
     cut = F.col("removed.n_removed") > 0
-    found = found.withColumn("text", F.when(cut, suffix_dedup.whole_characters(F.col("removed.kept"))).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(cut, F.col("removed.kept")).otherwise(F.col("text")))
     kind = docs.schema["n_chars"].dataType
     return back(found.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars"))))
 
