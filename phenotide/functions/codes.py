@@ -4,18 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phenotide.functions.logic import any_of
+
 # A code of these characters means the same as a regular expression and as a plain text.
 _PLAIN = re.compile(r"[A-Za-z0-9_/ -]+")
-# Up to this many plain codes a chain of text searches is cheaper than one regular expression.
-_MAX_TEXT_SEARCHES = 8
-# Up to this many prefixes are sent to the scan one by one.
-_MAX_PREFIXES = 50
 
 
 def as_code_list(codes: str | Iterable[str] | None) -> list[str]:
@@ -28,14 +24,24 @@ def as_code_list(codes: str | Iterable[str] | None) -> list[str]:
 
 
 def contains_any(column: Column, patterns: Sequence[str]) -> Column:
-    """True where ``column`` contains a match of any of the regular expressions."""
+    """True where ``column`` contains a match of any of the regular expressions.
+
+    One search, whose time hardly depends on the number of plain codes.
+    """
     if not all(_PLAIN.fullmatch(pattern) for pattern in patterns):
         return column.rlike("|".join(patterns))
-    if len(patterns) <= _MAX_TEXT_SEARCHES:
-        return reduce(or_, [column.contains(pattern) for pattern in patterns])
     return column.rlike(shared_pattern(patterns))
 
 
+def shortest_prefixes(prefixes: Iterable[str]) -> list[str]:
+    """The prefixes that do not begin with another one of them, sorted."""
+    kept: list[str] = []
+    for prefix in sorted(set(prefixes)):
+        if not kept or not prefix.startswith(kept[-1]):
+            kept.append(prefix)
+    return kept
+
+
 def shared_pattern(texts: Iterable[str]) -> str:
     """One regular expression for many texts that spells common beginnings once.
 
@@ -66,16 +72,14 @@ def match_column(column: Column, codes: Sequence[str], match: str = "regex") ->
     if match == "exact":
         return column.isin(list(codes))
     if match == "prefix":
-        prefixes = [code.replace(".", "") for code in codes]
-        if len(prefixes) > _MAX_PREFIXES:
-            return column.rlike("^" + shared_pattern(prefixes))
-        return reduce(or_, [column.startswith(prefix) for prefix in prefixes])
+        prefixes = shortest_prefixes(code.replace(".", "") for code in codes)
+        return any_of(column.startswith(prefix) for prefix in prefixes)
     raise ValueError(f"match must be 'regex', 'exact' or 'prefix', not {match!r}")
 
 
 def match_codes(columns: Sequence[str], codes: Sequence[str], match: str = "regex") -> Column:
     """True where any of ``columns`` matches any of ``codes``; see ``match_column``."""
-    return reduce(or_, [match_column(F.col(name), codes, match) for name in columns])
+    return any_of(match_column(F.col(name), codes, match) for name in columns)
 
 
 def keep_codes(

@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAYS_PER_YEAR = 365.25
-# Text format of dates with slashes; other text is read as an ISO date or timestamp.
-SLASH_FORMAT = "dd/MM/yyyy"
+# Dates that start with the day, and dates with slashes that start with the year; a time may follow.
+_DAY_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?=$|[ T])"
+_YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})(?=$|[ T])"
 # A cast would also read a bare year or a year and month; those are not dates here.
 _SHORTEST_DATE = 8
 
 
 def parse_date(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as a date; text that is no date becomes null."""
+    """Column ``name`` as a date; text that is no date becomes null.
+
+    Text is an ISO date or timestamp, or has slashes for dashes, or starts with the day
+    (``03/05/2001`` and ``03-05-2001`` are the third of May), with or without a time behind it.
+    """
     column = F.col(name)
     kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
         return column
     if not isinstance(kind, T.StringType):
         return column.cast("date")
-    # The formatted parser is slow on text it cannot read, so it only gets text with slashes.
-    return F.when(column.contains("/"), F.try_to_date(F.trim(column), SLASH_FORMAT)).when(
-        F.length(F.trim(column)) >= _SHORTEST_DATE, column.try_cast("date")
-    )
+    text = F.trim(column)
+    iso = F.regexp_replace(F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3"), _DAY_FIRST, "$3-$2-$1")
+    # Usual text is not searched: its first dash is behind the year.
+    text = F.when(F.instr(text, "-") == 5, text).otherwise(iso)
+    return F.when(F.length(text) >= _SHORTEST_DATE, text.try_cast("date"))
 
 
 def parse_dates(df: DataFrame, *names: str) -> DataFrame:

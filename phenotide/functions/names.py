@@ -24,6 +24,11 @@ def field_pattern(field: str) -> str:
     return FIELD_COLUMN.format(field=field)
 
 
+def base_field(name: Column) -> Column:
+    """The field of an instance or array column (``31`` of ``p31_i0``), empty for other names."""
+    return F.regexp_extract(name, field_pattern(r"(\d+)"), 1)
+
+
 def instance_columns(df: DataFrame, base: str, exact_field: bool = False) -> list[str]:
     """Columns that start with ``base``; with ``exact_field`` only those of that field (p31, not p310)."""
     if exact_field:

@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
 
-# A row of a lookup table (two keys, an allele, a weight, a mean) takes well below 200 bytes, so a
-# broadcast of this many rows stays below 100 MB per executor.
-MAX_BROADCAST_ROWS = 500_000
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# A broadcast of this size fits every executor; a row counts with what a hash table adds to it.
+MAX_BROADCAST_BYTES = 256 << 20
+_ROW, _FIELD = 48, 8
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; counts them at once."""
-    return df.count() <= max_rows
+
+def table_bytes(df: DataFrame) -> Column:
+    """Aggregate: the bytes that rows of ``df`` take in a hash table, one more number per row allowed for."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return F.sum(sum(texts, F.lit(_ROW + _FIELD * (len(df.columns) + 1)))).cast("long")
+
+
+def groups_below(sizes: Mapping[int, int], limit: int) -> list[tuple[list[int], bool]]:
+    """Keys dealt in order into as few groups as keep below ``limit``; a key above it has a group of its own, marked False."""
+    groups: list[tuple[list[int], bool]] = []
+    room = -1
+    for key, size in sorted(sizes.items()):
+        if size > limit:
+            groups.append(([key], False))
+            room = -1
+        elif size <= room:
+            groups[-1][0].append(key)
+            room -= size
+        else:
+            groups.append(([key], True))
+            room = limit - size
+    return groups

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from phenotide.functions.names import field_pattern, literal_col, natural_keys
+from phenotide.functions.logic import any_of
+from phenotide.functions.names import base_field, field_pattern, literal_col, natural_keys
 
 KEY = "eid"
 
@@ -57,12 +57,12 @@ def resolve_fields(
     A code is a column name or a field number, which stands for all its instance and array columns.
     This is schema metadata: at most one dictionary row per column reaches the driver.
     """
-    wanted = [F.col("name").isin(list(codes))] if codes else []
-    wanted += [F.col("name").rlike(field_pattern(str(code))) for code in codes]
+    listed = [str(code) for code in codes]
+    wanted = [F.col("name").isin(listed), base_field(F.col("name")).isin(listed)] if listed else []
     wanted += [_title_contains(term) for term in search_terms]
     if not wanted:
         return {}
-    present = dictionary.where(F.col("name").isin(list(columns)) & reduce(or_, wanted))
+    present = dictionary.where(F.col("name").isin(list(columns)) & any_of(wanted))
     titles = {row.name: row.title for row in present.groupBy("name").agg(F.min("title").alias("title")).collect()}
     return {name: titles[name] for name in columns if name in titles}
 
@@ -107,27 +107,41 @@ def append_fields(
 
 
 def column_null_profile(df: DataFrame) -> DataFrame:
-    """Nulls (and NaN) per column: ``column``, ``nulls``; one pass over the table."""
-    counts = df.agg(*[F.count(F.when(_is_missing(df, name), 1)).alias(f"c{i}") for i, name in enumerate(df.columns)])
-    pairs = [
-        F.struct(F.lit(name).alias("column"), F.col(f"c{i}").alias("nulls")) for i, name in enumerate(df.columns)
-    ]
-    return counts.select(F.inline(F.array(*pairs)))
+    """Nulls (and NaN) per column: ``column``, ``nulls``; one pass over the table.
+
+    They are counted on columnar batches, so that the plan has the same size at any width: expressions
+    per column take minutes to compile from some thousand columns on. Columns of a table without rows
+    have 0 nulls.
+    """
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position int, column string")
+    return names.join(_null_counts(df), "position", "left").select("column", F.coalesce("nulls", F.lit(0)).alias("nulls"))
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
     """Without the columns that hold no value at all.
 
-    The schema depends on the data, so this runs one aggregate; its single row reaches the driver.
-    A table without rows loses every column, as each of them has as many nulls as rows.
+    The schema depends on the data, so this runs at once; one small row per column reaches the driver. A
+    table without rows loses every column, as each of them has as many nulls as rows.
     """
-    flags = [F.coalesce(F.bool_or(~_is_missing(df, name)), F.lit(False)) for name in df.columns]
-    has_value = df.agg(*[flag.alias(f"c{i}") for i, flag in enumerate(flags)]).first()
-    return df.select(*[literal_col(name) for name, keep in zip(df.columns, has_value) if keep])
-
-
-def _is_missing(df: DataFrame, name: str) -> Column:
-    column = literal_col(name)
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return column.isNull() | F.isnan(column)
-    return column.isNull()
+    found = _null_counts(df).where(F.col("nulls") < F.col("entries")).select("position")
+    kept = {row.position for row in found.collect()}
+    return df.select(*[literal_col(name) for i, name in enumerate(df.columns) if i in kept])
+
+
+def _null_counts(df: DataFrame) -> DataFrame:
+    """For each position of a column its missing entries and all its entries; none for a table without rows."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    counts = plain.mapInArrow(_count_nulls, "position int, nulls long, entries long")
+    return counts.groupBy("position").agg(F.sum("nulls").alias("nulls"), F.sum("entries").alias("entries"))
+
+
+def _count_nulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per column for all batches of a task."""
+    nulls, entries = None, 0
+    for batch in batches:
+        own = [pc.sum(pc.is_null(x, nan_is_null=True)).as_py() or 0 for x in batch.columns]
+        nulls = own if nulls is None else [a + b for a, b in zip(nulls, own)]
+        entries += batch.num_rows
+    if entries:
+        columns = [pa.array(range(len(nulls)), pa.int32()), pa.array(nulls, pa.int64()), pa.array([entries] * len(nulls), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["position", "nulls", "entries"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenotide.functions.sizes import MAX_BROADCAST_ROWS, fits_broadcast
+from phenotide.functions.sizes import MAX_BROADCAST_BYTES, groups_below, table_bytes
 
 # Fixed value: autosomes only.
 LAST_AUTOSOME = 22
@@ -16,7 +18,7 @@ def genetic_score(
     genotypes: DataFrame,
     scores: DataFrame,
     missing: str = "impute",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Average weight of the effect alleles a participant carries: ``eid``, ``score``.
 
@@ -25,33 +27,44 @@ def genetic_score(
     ``scores``     chrom, pos, effect_allele, weight; one row per variant
     ``missing``    ``'impute'`` counts a missing call as the variant's mean, ``'drop'`` leaves it out
 
-    A variant whose effect allele is neither allele is left out. The score table is broadcast if it
-    has at most ``max_broadcast_rows`` rows, so the genotype table is not shuffled; a larger one is
-    joined by whatever Spark picks from its size. Imputation reads the genotype table twice rather
-    than keep every call of a variant or a participant together.
+    A variant whose effect allele is neither allele, or whose chromosome is no number from 1 to 22, is
+    left out. The score table is measured at once and broadcast in as few sets of chromosomes as
+    keep below ``max_broadcast_bytes``, so that genotypes are not shuffled; a single chromosome above
+    that is joined by whatever Spark picks. Imputation reads the genotype table twice rather than keep
+    every call of a variant or a participant together.
     """
     if missing not in ("impute", "drop"):
         raise ValueError(f"missing must be 'impute' or 'drop', not {missing!r}")
-    weights = scores.where(F.col("chrom").between(1, LAST_AUTOSOME)).select(*_VARIANT, "effect_allele", "weight")
-    small = fits_broadcast(weights, max_broadcast_rows)
-    calls = _effect_counts(genotypes, weights, small)
+    weights = _autosomes(scores).select(*_VARIANT, "effect_allele", "weight")
+    sizes = {row.chrom: row.bytes for row in weights.groupBy("chrom").agg(table_bytes(weights).alias("bytes")).collect()}
+    sets = groups_below(sizes, max_broadcast_bytes)
+    calls = _effect_counts(genotypes, weights, sets)
     if missing == "drop":
         scored = calls.where(F.col("count").isNotNull())
     else:
-        # At most one row per row of ``weights``, so the same size check holds.
+        # One number more per row of ``weights`` at most, which the sizes allow for.
         means = calls.groupBy(*_VARIANT, "effect_allele", "weight").agg(F.avg("count").alias("mean"))
-        scored = _effect_counts(genotypes, means, small).withColumn("count", F.coalesce("count", "mean", F.lit(0.0)))
+        scored = _effect_counts(genotypes, means, sets).withColumn("count", F.coalesce("count", "mean", F.lit(0.0)))
     return scored.groupBy("eid").agg(
         (F.sum(F.col("weight") * F.col("count")) / (2 * F.count("*"))).alias("score")
     )
 
 
-def _effect_counts(genotypes: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
+def _autosomes(df: DataFrame) -> DataFrame:
+    """Rows of the numbered chromosomes; the scan sees the filter if chromosomes are stored as numbers."""
+    return df.withColumn("chrom", F.col("chrom").try_cast("int")).where(F.col("chrom").between(1, LAST_AUTOSOME))
+
+
+def _effect_counts(genotypes: DataFrame, weights: DataFrame, sets: list[tuple[list[int], bool]]) -> DataFrame:
     """Genotype rows of the weighted variants with the number of effect alleles as ``count``."""
-    effect = F.col("effect_allele")
+    effect, calls = F.col("effect_allele"), _autosomes(genotypes)
+    parts = []
+    for chromosomes, small in sets or [([], True)]:
+        own = F.col("chrom").isin(chromosomes)
+        some = weights.where(own)
+        parts.append(calls.where(own).join(F.broadcast(some) if small else some, _VARIANT))
     return (
-        genotypes.where(F.col("chrom").between(1, LAST_AUTOSOME))
-        .join(F.broadcast(weights) if small else weights, _VARIANT)
+        reduce(DataFrame.unionByName, parts)
         .where(effect.isin(F.col("allele1"), F.col("allele2")))
         .withColumn(
             "count",

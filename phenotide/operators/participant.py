@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenotide.functions.codes import as_code_list, contains_any, keep_values
+from phenotide.functions.logic import any_of, balanced
 from phenotide.functions.names import instance_columns, literal_col
 from phenotide.operators.records import Codes
 
@@ -22,24 +22,12 @@ OPERATION = "p20004_i"
 _PATTERN = "_pattern"
 
 
-# Beyond this many columns one loop over an array is cheaper than a chain of conditions; up to it the
-# chain may reach the Parquet scan.
-_MAX_CHAIN = 8
-
-
 def any_instance(
     df: DataFrame, base: str, condition: Callable[[Column], Column], exact_field: bool = False
 ) -> Column | None:
     """``condition`` on any column of ``base``; ``None`` if there is no such column."""
     names = instance_columns(df, base, exact_field)
-    if len(names) <= _MAX_CHAIN:
-        hits = [condition(literal_col(name)) for name in names]
-    else:
-        by_type: dict[str, list[Column]] = {}
-        for name in names:
-            by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(literal_col(name))
-        hits = [F.exists(F.array(*columns), condition) for columns in by_type.values()]
-    return reduce(or_, hits) if hits else None
+    return any_of(condition(literal_col(name)) for name in names) if names else None
 
 
 def filter_by_criteria(
@@ -58,7 +46,7 @@ def filter_by_criteria(
             warnings.warn(f"no column starts with {base!r}", stacklevel=2)
         else:
             hits.append(hit)
-    return df.where(reduce(and_, hits)) if hits else df
+    return df.where(balanced(and_, hits)) if hits else df
 
 
 def selfreport_illness(participants: DataFrame, codes: Codes = None, **options) -> DataFrame:

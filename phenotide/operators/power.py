@@ -14,15 +14,14 @@ from phenotide.functions.normal import normal_cdf
 # Significance level and odds ratios of the standard grid.
 ALPHA = 1e-9
 ODDS_RATIOS = (1.5, 2.0, 3.0)
-# Record sources are a handful; more rows than this is a mistaken argument.
-MAX_SOURCES = 1000
 
 
 def source_case_rates(sources: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Cases, cohort size and case rate of each source, from its (cases, cohort) frames.
 
     Participants are made distinct per source and participant before anything is counted per
-    source, so a source that holds most rows is still spread over all tasks.
+    source, so a source that holds most rows is still spread over all tasks. A source without
+    participants has no cases, a cohort of 0 and no rate.
     """
     parts = []
     for name, (cases, cohort) in sources.items():
@@ -35,7 +34,9 @@ def source_case_rates(sources: Mapping[str, tuple[DataFrame, DataFrame]]) -> Dat
                     F.lit(int(flag == "in_cohort")).alias("in_cohort"),
                 )
             )
-    stacked = reduce(DataFrame.unionByName, parts).where(F.col("eid").isNotNull())
+    spark = parts[0].sparkSession
+    named = spark.createDataFrame([(name, None, 0, 0) for name in sources], "source string, eid long, is_case int, in_cohort int")
+    stacked = reduce(DataFrame.unionByName, parts).where(F.col("eid").isNotNull()).unionByName(named)
     distinct = stacked.groupBy("source", "eid").agg(
         F.max("is_case").alias("is_case"), F.max("in_cohort").alias("in_cohort")
     )
@@ -60,6 +61,7 @@ def association_power(
     controls, or a frequency outside (0, 1).
 
     Every variant row carries the list of sources and odds ratios and is expanded in place: no join.
+    The list has one entry per record source, as many as the plan of ``source_case_rates`` names.
     """
     if effect not in ("divide", "multiply"):
         raise ValueError(f"effect must be 'divide' or 'multiply', not {effect!r}")
@@ -81,8 +83,4 @@ def association_power(
 
 
 def _as_array(sources: DataFrame):
-    rows = F.collect_list(F.struct("source", "cases", "n"))
-    checked = F.when(F.size(rows) <= MAX_SOURCES, rows).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_SOURCES} record sources"))
-    )
-    return sources.limit(MAX_SOURCES + 1).agg(checked.alias("sources")).scalar()
+    return sources.agg(F.collect_list(F.struct("source", "cases", "n")).alias("sources")).scalar()

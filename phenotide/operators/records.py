@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from phenotide.functions.codes import keep_codes, keep_values
 from phenotide.functions.dates import add_days, parse_date, parse_dates, subtract_days
-from phenotide.functions.sizes import fits_broadcast
 
 Codes = str | Iterable[str] | None
 
@@ -19,6 +18,7 @@ ICD9_COLUMNS = (
     "dnx_hesin_diag_id", "eid", "ins_index", "arr_index", "classification",
     "diag_icd9", "diag_icd9_add", "diag_icd10", "diag_icd10_add",
 )
+EPISODE_KEYS = ("eid", "ins_index")
 NO_EPISODE_DATES = "Invalid epistart and epiend"
 BACK_CALCULATED = " (back-calculated)"
 
@@ -66,18 +66,16 @@ def icd10_records(
     filter_column: str | None = None,
     filter_values: Sequence | None = None,
     match: str = "regex",
-    broadcast_up_to: int | None = None,
 ) -> DataFrame:
     """Hospital diagnoses by ICD-10 code with the dates of their episode.
 
     No row is marked for exclusion, also when both episode dates are missing.
 
-    For rare codes, ``broadcast_up_to`` counts the selected diagnoses at once and, if they are at
-    most that many, sends them to the episodes, which are then not shuffled. Size estimates do not
-    show how few rows a code selects, so Spark does not find this out before it shuffles both sides.
+    Tables stored by ``sinks.write_bucketed`` are joined without a shuffle. Otherwise the settings of
+    ``build_session`` let Spark filter large episode tables by the selected keys before it shuffles them.
     """
     kept = keep_codes(diagnoses, ["diag_icd10"], codes, match).select(*DIAGNOSIS_COLUMNS)
-    joined = keep_values(_with_episode(kept, episodes, broadcast_up_to), filter_column, filter_values)
+    joined = keep_values(_with_episode(kept, episodes), filter_column, filter_values)
     return _hospital_dates(joined, "HES_ICD10", exclude=False, reason="")
 
 
@@ -88,15 +86,14 @@ def icd9_records(
     filter_column: str | None = None,
     filter_values: Sequence | None = None,
     match: str = "regex",
-    broadcast_up_to: int | None = None,
 ) -> DataFrame:
     """Hospital diagnoses by ICD-9 code; rows without any episode date are marked for exclusion.
 
-    The nine diagnosis columns are named by position. ``broadcast_up_to`` as for ``icd10_records``.
+    The nine diagnosis columns are named by position.
     """
     named = diagnoses.toDF(*ICD9_COLUMNS).drop("diag_icd9_add", "diag_icd10_add")
     kept = keep_codes(named, ["diag_icd9"], codes, match)
-    joined = keep_values(_with_episode(kept, episodes, broadcast_up_to), filter_column, filter_values)
+    joined = keep_values(_with_episode(kept, episodes), filter_column, filter_values)
     return _hospital_dates(joined, "HES_ICD9", exclude=True, reason=NO_EPISODE_DATES)
 
 
@@ -107,16 +104,12 @@ def _flag_missing(df: DataFrame, date: str) -> DataFrame:
     )
 
 
-def _with_episode(diagnoses: DataFrame, episodes: DataFrame, broadcast_up_to: int | None) -> DataFrame:
+def _with_episode(diagnoses: DataFrame, episodes: DataFrame) -> DataFrame:
     """Diagnoses joined to their episode; a column both sides have is taken from the diagnosis."""
-    keys = ["eid", "ins_index"]
-    as_long = {key: F.col(key).cast("long") for key in keys}
+    as_long = {key: F.col(key).cast("long") for key in EPISODE_KEYS}
     extra = [name for name in episodes.columns if name not in diagnoses.columns]
-    if broadcast_up_to is not None and fits_broadcast(diagnoses, broadcast_up_to):
-        diagnoses = F.broadcast(diagnoses.withColumns(as_long))
-    else:
-        diagnoses = diagnoses.withColumns(as_long)
-    return diagnoses.join(episodes.withColumns(as_long).select(*keys, *extra), keys)
+    numbered = episodes.withColumns(as_long).select(*EPISODE_KEYS, *extra)
+    return diagnoses.withColumns(as_long).join(numbered, list(EPISODE_KEYS))
 
 
 def _hospital_dates(df: DataFrame, source: str, exclude: bool, reason: str) -> DataFrame:

@@ -81,7 +81,12 @@ def cancer_registrations(registry: DataFrame, codes: Codes, match: str = "regex"
 def cancer_registry(
     registry: DataFrame, baseline: DataFrame, histologies: DataFrame, codes: Codes, match: str = "regex"
 ) -> DataFrame:
-    """Cancer registrations with the age at diagnosis, the ICD-O-3 code and its description."""
+    """Cancer registrations with the age at diagnosis, the ICD-O-3 code and its description.
+
+    ``histologies`` has a text ``histology`` for each ``code``, which is histology and behaviour; of a
+    code with several texts the smallest counts, an unknown one has none.
+    """
+    texts = histologies.groupBy("code").agg(F.min("histology").alias("description"))
     return (
         cancer_registrations(registry, codes, match)
         .join(_baseline_dates(baseline), "eid")
@@ -92,7 +97,7 @@ def cancer_registry(
                 "code": F.concat("histology", F.lit("/"), "behaviour"),
             }
         )
-        .join(histologies, "histology", "left")
+        .join(texts, "code", "left")
     )
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from functools import reduce
-from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenotide.functions.dates import parse_date, years_between
@@ -15,9 +14,6 @@ from phenotide.functions.names import literal_col
 # Columns that can date a record, the first one present counts; result column.
 DATE_COLUMNS = ("event_dt", "date", "opdate", "epistart")
 DIAGNOSIS_AGE = "Diagnosis Age"
-# Beyond both, the records of one participant are too many for a single task to join.
-HOT_SHARE = 0.001
-HOT_ROWS = 1_000_000
 # Order that decides between records of the same day; the remaining columns follow in frame order.
 TIE_BREAK = ("source", "read_2", "read_3", "diag_icd10", "diag_icd9", "oper4", "oper3")
 
@@ -30,26 +26,26 @@ def with_diag_date(records: DataFrame) -> DataFrame:
     return records
 
 
-def order_participant_records(*frames: DataFrame, sort: bool = True, hot: bool = True) -> DataFrame:
+def order_participant_records(*frames: DataFrame, sort: bool = True) -> DataFrame:
     """Full outer join of record frames, first on participant and date, else on participant only.
 
     Of a column that several frames have, the first frame's values stay. A missing date equals no
     other. A day with several records in both frames yields every combination of them, so for "what
     came first" over many large sources ``first_occurrence`` is the cheaper question.
 
-    Spark cannot split a key of a full outer join, so participants that hold a large share of all
-    records are joined in another way. Finding them counts records per participant at once, over
-    ``eid`` only; ``hot=False`` saves that. ``sort=False`` saves the global sort.
+    Spark cannot split a key of a full outer join. So a left outer join, which it can split, is
+    followed by the right rows without a partner; their keys are compared with the distinct keys of the
+    frames on the left, not with the merged rows. ``sort=False`` saves the global sort.
     """
     dated = [with_diag_date(frame) for frame in frames]
-    ids = hot_participants(*dated) if hot and len(dated) > 1 else []
-    if ids:
-        known = F.col("eid").isin([eid for eid in ids if eid is not None])
-        is_hot = F.when(F.col("eid").isNull(), None in ids).otherwise(known)
-        usual = _merge([frame.where(~is_hot) for frame in dated], _full_join)
-        merged = usual.unionByName(_merge([frame.where(is_hot) for frame in dated], _spread_full_join))
-    else:
-        merged = _merge(dated, _full_join)
+    merged = dated[0]
+    for position, right in enumerate(dated[1:], start=1):
+        both_dated = "diag_date" in merged.columns and "diag_date" in right.columns
+        keys = ["eid", "diag_date"] if both_dated else ["eid"]
+        new = [literal_col(name) for name in right.columns if name not in merged.columns]
+        right = right.select(*keys, *new)
+        alone = right.join(_distinct_keys(dated[:position], keys), keys, "left_anti")
+        merged = merged.join(right, keys, "left").unionByName(alone, allowMissingColumns=True)
     if not sort:
         return merged
     order = [name for name in ("eid", "diag_date") if name in merged.columns]
@@ -58,73 +54,10 @@ def order_participant_records(*frames: DataFrame, sort: bool = True, hot: bool =
     return merged.orderBy(*order, rest)
 
 
-def hot_participants(*frames: DataFrame, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
-    """Participants with more than ``share`` of all records and more than ``min_rows`` of them.
-
-    There are never more than ``1 / share`` of them.
-    """
-    records = reduce(DataFrame.unionByName, [frame.select("eid") for frame in frames])
-    counts = records.groupBy("eid").agg(F.count("*").alias("records"))
-    limit = F.greatest(F.lit(min_rows), share * counts.agg(F.sum("records")).scalar())
-    return [row.eid for row in counts.where(F.col("records") > limit).collect()]
-
-
-def _merge(frames: list[DataFrame], join: Callable[..., DataFrame]) -> DataFrame:
-    merged = frames[0]
-    for position, right in enumerate(frames[1:], start=1):
-        both_dated = "diag_date" in merged.columns and "diag_date" in right.columns
-        keys = ["eid", "diag_date"] if both_dated else ["eid"]
-        new = [literal_col(name) for name in right.columns if name not in merged.columns]
-        merged = join(merged, right.select(*keys, *new), keys, frames[:position])
-    return merged
-
-
-def _full_join(left: DataFrame, right: DataFrame, keys: list[str], _: list[DataFrame]) -> DataFrame:
-    return left.join(right, keys, "full")
-
-
-def _spread_full_join(
-    left: DataFrame, right: DataFrame, keys: list[str], inputs: list[DataFrame]
-) -> DataFrame:
-    """Full outer join as an inner join, which Spark can split within a key.
-
-    Each side gets one empty row for every key only the other side has, so that every row finds a
-    partner. ``inputs`` are the frames ``left`` was made of: their keys are its keys, and reading
-    them from there does not compute ``left`` twice.
-    """
-    left_keys, right_keys = _distinct_keys(inputs, keys, "left"), _distinct_keys([right], keys, "right")
-    left = left.withColumn(_OWNER, _owner(keys, "left")).unionByName(
-        _same_keys(right_keys, left_keys, [*keys, _OWNER], "left_anti"), allowMissingColumns=True
-    )
-    right = right.withColumn(_OWNER, _owner(keys, "right")).unionByName(
-        _same_keys(left_keys, right_keys, [*keys, _OWNER], "left_anti"), allowMissingColumns=True
-    )
-    return _same_keys(left, right, [*keys, _OWNER], "inner").drop(_OWNER)
-
-
-# Who a row belongs to if one of its keys is missing; only such rows keep to their own side.
-_OWNER = "_owner"
-
-
-def _owner(keys: list[str], side: str) -> Column:
-    missing = reduce(or_, [F.col(key).isNull() for key in keys])
-    return F.when(missing, side).otherwise("both")
-
-
-def _distinct_keys(frames: list[DataFrame], keys: list[str], side: str) -> DataFrame:
-    """The keys of ``frames``; a frame without dates has its participants with a missing date."""
-    rows = [
-        frame.select(*[key if key in frame.columns else F.lit(None).cast("date").alias(key) for key in keys])
-        for frame in frames
-    ]
-    return reduce(DataFrame.unionByName, rows).distinct().withColumn(_OWNER, _owner(keys, side))
-
-
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on ``keys``, where two missing keys are the same; the keys come from ``left``."""
-    others = {key: f"_other_{key}" for key in keys}
-    same = [F.col(key).eqNullSafe(F.col(other)) for key, other in others.items()]
-    return left.join(right.withColumnsRenamed(others), reduce(and_, same), how).drop(*others.values())
+def _distinct_keys(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The keys that rows of ``frames`` can be matched by: those without a missing part."""
+    rows = [frame.select(*keys) for frame in frames if set(keys) <= set(frame.columns)]
+    return reduce(DataFrame.unionByName, rows).dropna().distinct()
 
 
 def first_record(records: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
@@ -134,7 +67,8 @@ def first_record(records: DataFrame, baseline: DataFrame | None = None) -> DataF
     known date. ``baseline`` supplies ``dob`` unless the records hold it.
 
     The minimum of a row struct is combined before the shuffle, so a participant with very many
-    records sends one row per input partition.
+    records sends one row per input partition. Rows are sorted by participant for that, on both
+    sides; select the columns you need beforehand.
     """
     if "diag_date" not in records.columns:
         records = with_diag_date(records)

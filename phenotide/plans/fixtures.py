@@ -10,6 +10,38 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Instances of a cancer registration; the first is always filled, the others for some participants.
+CANCER_INSTANCES = 22
+
+
+def _cancer_columns() -> str:
+    filled = ["TRUE", *(f"c_custkey % {i + 3} = 0" for i in range(1, CANCER_INSTANCES))]
+    values = {
+        "p40005": "CAST(date'1990-01-01' + CAST((c_custkey * 17 + {i} * 397) % 4000 AS INT) AS STRING)",
+        "p40006": "concat('C', CAST(50 + (c_custkey + {i} * 11) % 40 AS STRING))",
+        "p40008": "CAST(40 + (c_custkey + {i}) % 30 AS DOUBLE)",
+        "p40011": "CAST(8000 + (c_nationkey + {i}) % 25 AS STRING)",
+        "p40012": "CASE WHEN (c_custkey + {i}) % 13 <> 0 THEN CAST((c_custkey + {i}) % 4 AS STRING) END",
+    }
+    return ",\n          ".join(
+        f"CASE WHEN {filled[i]} THEN {value.format(i=i)} END AS {field}_i{i}"
+        for field, value in values.items()
+        for i in range(CANCER_INSTANCES)
+    )
+
+
+# Further illness columns of the wide table, as (instance, array).
+MORE_ILLNESSES = [(2, a) for a in range(5)] + [(3, a) for a in range(4)]
+
+
+def _illness_columns() -> str:
+    return "".join(
+        f"""
+          CASE WHEN c_custkey % {19 + 4 * i + a} = 0 THEN CAST(1220 + (c_custkey + {a}) % 9 AS STRING) END AS p20002_i{i}_a{a},"""
+        for i, a in MORE_ILLNESSES
+    )
+
+
 FIXTURES = {
     # One row per participant.
     "fx_baseline": """
@@ -42,13 +74,18 @@ FIXTURES = {
             WHEN 4 THEN concat('C', CAST(50 + l_partkey % 40 AS STRING)) WHEN 5 THEN 'XE109' END AS diag_icd10,
           CAST(NULL AS STRING) AS diag_icd10_nb
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # Operations, with dates in several formats.
     "fx_hesin_oper": """
         SELECT concat('O', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
             CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS dnx_hesin_oper_id,
           CAST(o_custkey AS STRING) AS eid, CAST(l_orderkey AS STRING) AS ins_index,
           CAST(l_linenumber AS STRING) AS arr_index,
           CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_orderkey % 12 = 0 THEN 'not a date'
-            ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS opdate,
+            WHEN l_linenumber = 2 THEN replace(shipped, '-', '/')
+            WHEN l_linenumber = 3 THEN concat(substr(shipped, 9, 2), '-', substr(shipped, 6, 2), '-', substr(shipped, 1, 4))
+            WHEN l_linenumber = 4
+              THEN concat(substr(shipped, 9, 2), '/', substr(shipped, 6, 2), '/', substr(shipped, 1, 4), ' 10:11:12')
+            ELSE shipped END AS opdate,
           CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END AS level,
           CASE WHEN l_suppkey % 5 = 0 THEN concat('81', CAST(l_suppkey % 10 AS STRING)) END AS oper3,
           CAST(NULL AS STRING) AS oper3_nb,
@@ -56,7 +93,8 @@ FIXTURES = {
             ELSE concat('W', CAST(70 + l_suppkey % 20 AS STRING), CAST(l_partkey % 10 AS STRING)) END AS oper4,
           CAST(NULL AS STRING) AS oper4_nb, CAST(l_partkey % 9 AS STRING) AS posopdur,
           CAST(l_partkey % 4 AS STRING) AS preopdur
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+        FROM (SELECT *, CAST(CAST(l_shipdate AS DATE) AS STRING) AS shipped FROM {lineitem}) dated
+        JOIN {orders} ON l_orderkey = o_orderkey""",
     # Primary-care events: one of read_2 and read_3, values that are no numbers.
     "fx_gp_clinical": """
         SELECT user_id AS eid, CAST(event_id % 4 + 1 AS INT) AS data_provider,
@@ -83,7 +121,9 @@ FIXTURES = {
     "fx_selfreport_participant": """
         SELECT CAST(c_custkey AS STRING) AS eid, CAST(1220 + c_custkey % 7 AS STRING) AS p20002_i0_a0,
           CASE WHEN c_custkey % 3 = 0 THEN CAST(1220 + c_custkey % 5 AS STRING) END AS p20002_i0_a1,
-          CASE WHEN c_custkey % 4 = 0 THEN CAST(1222 + c_custkey % 11 AS STRING) END AS p20002_i1_a0,
+          CASE WHEN c_custkey % 4 = 0 THEN CAST(1222 + c_custkey % 11 AS STRING) END AS p20002_i1_a0,"""
+    + _illness_columns()
+    + """
           CASE WHEN c_custkey % 8 = 0 THEN CAST(1001 + c_custkey % 6 AS STRING) END AS p20001_i0_a0,
           CASE WHEN c_custkey % 16 = 0 THEN CAST(1002 + c_custkey % 6 AS STRING) END AS p20001_i1_a0,
           CASE WHEN c_custkey % 2 = 0 THEN CAST(2000 + c_nationkey AS STRING) END AS p20003_i0_a0,
@@ -108,32 +148,26 @@ FIXTURES = {
           concat(CASE (o_custkey + o_orderkey) % 3 WHEN 0 THEN 'E10' WHEN 1 THEN 'I21' ELSE 'C61' END,
             CAST(o_custkey % 10 AS STRING)) AS cause_icd10
         FROM {orders}""",
-    # Wide cancer registry with two instances.
-    "fx_cancer_participant": """
+    # Wide cancer registry.
+    "fx_cancer_participant": f"""
         SELECT c_custkey AS eid,
-          CAST(date'1990-01-01' + CAST((c_custkey * 17) % 4000 AS INT) AS STRING) AS p40005_i0,
-          CASE WHEN c_custkey % 4 = 0
-            THEN CAST(date'1999-01-01' + CAST(c_custkey % 900 AS INT) AS STRING) END AS p40005_i1,
-          concat('C', CAST(50 + c_custkey % 40 AS STRING)) AS p40006_i0,
-          CASE WHEN c_custkey % 4 = 0 THEN 'C619' END AS p40006_i1,
-          CAST(40 + c_custkey % 30 AS DOUBLE) AS p40008_i0,
-          CASE WHEN c_custkey % 4 = 0 THEN CAST(55 + c_custkey % 20 AS DOUBLE) END AS p40008_i1,
-          CAST(8000 + c_nationkey AS STRING) AS p40011_i0,
-          CASE WHEN c_custkey % 4 = 0 THEN '8140' END AS p40011_i1,
-          CASE WHEN c_custkey % 13 <> 0 THEN CAST(c_custkey % 4 AS STRING) END AS p40012_i0,
-          CASE WHEN c_custkey % 4 = 0 THEN '3' END AS p40012_i1
-        FROM {customer}""",
-    # Histology dictionary; the codes of some nations are unknown.
-    "fx_icdo3": """
-        SELECT CAST(CASE WHEN n_nationkey < 20 THEN 8000 ELSE 9000 END + n_nationkey AS STRING) AS histology,
-          n_name AS description
-        FROM {nation}""",
-    # Long genotypes, one row per participant and variant, with missing calls; chromosomes 1 to 23.
+          {_cancer_columns()}
+        FROM {{customer}}""",
+    # Histology dictionary: a text per histology and behaviour; some codes are unknown.
+    "fx_icdo3": " UNION ALL ".join(
+        f"""
+        SELECT concat(CAST(8000 + n_nationkey AS STRING), '/{behaviour}') AS code, concat(n_name, ', {name}') AS histology
+        FROM {{nation}} WHERE n_nationkey < 20"""
+        for behaviour, name in ((0, "benign"), (2, "in situ"), (3, "malignant"))
+    ),
+    # Long genotypes, one row per participant and variant; chromosomes 1 to 23. All calls of a variant that
+    # lacks some are equal, so that their mean is exact and the order of sums does not matter.
     "fx_genotypes": """
         SELECT o_custkey AS eid, CAST(l_partkey % 23 + 1 AS INT) AS chrom, 1000 + l_partkey * 10 AS pos,
           'A' AS allele1, 'G' AS allele2,
-          CASE WHEN (o_custkey * 31 + l_partkey * 17) % 29 = 0 THEN NULL
-            ELSE CAST((o_custkey * 7 + l_partkey * 5) % 3 AS INT) END AS allele1_count
+          CASE WHEN l_partkey % 4 <> 0 THEN CAST((o_custkey * 7 + l_partkey * 5) % 3 AS INT)
+            WHEN (o_custkey * 31 + l_partkey * 17) % 7 = 0 THEN NULL
+            ELSE CAST(l_partkey * 5 % 3 AS INT) END AS allele1_count
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
         GROUP BY o_custkey, l_partkey""",
     # Score weights; some alleles do not fit. Weights are n/64, so that sums are exact.
@@ -152,7 +186,7 @@ FIXTURES = {
             CAST(CAST(floor(p_partkey / 50) AS BIGINT) % 8 AS STRING), '_a',
             CAST(CAST(floor(p_partkey / 400) AS BIGINT) AS STRING)) AS name,
           concat('Field ', p_name, ' array ', CAST(CAST(floor(p_partkey / 400) AS BIGINT) AS STRING)) AS title
-        FROM {part}""",
+        FROM {part} UNION ALL SELECT 'eid' AS name, 'Participant' AS title FROM {part} WHERE p_partkey = 0""",
 }
 
 

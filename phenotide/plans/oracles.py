@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from phenotide.functions.normal import DENOMINATOR, FAR_TAIL, FRACTION_END, NUMERATOR, ROOT_TWO_PI, SPLIT
-from phenotide.plans.fixtures import FIXTURES, fixture_sql
+from phenotide.plans.fixtures import CANCER_INSTANCES, FIXTURES, MORE_ILLNESSES, fixture_sql
 
 _GP = """
 SELECT eid, data_provider, TRY_CAST(event_dt AS DATE) AS event_dt, read_2, read_3,
@@ -14,13 +13,16 @@ SELECT eid, data_provider, TRY_CAST(event_dt AS DATE) AS event_dt, read_2, read_
   CASE WHEN TRY_CAST(event_dt AS DATE) IS NULL THEN 'Missing event_dt' ELSE '' END AS exclude_reason, 'GP' AS source
 FROM fx_gp_clinical WHERE {where}"""
 
+_OPDATE = """CAST(COALESCE(TRY_STRPTIME(opdate, ['%Y-%m-%d', '%Y/%m/%d']),
+    TRY_STRPTIME(opdate, ['%d-%m-%Y', '%d/%m/%Y %H:%M:%S'])) AS DATE)"""
+
 _OPCS = """
 SELECT CAST(eid AS BIGINT) AS eid, CAST(ins_index AS BIGINT) AS ins_index, CAST(arr_index AS BIGINT) AS arr_index,
-  TRY_CAST(opdate AS DATE) AS opdate, level, oper3, oper3_nb, oper4, oper4_nb,
+  {opdate} AS opdate, level, oper3, oper3_nb, oper4, oper4_nb,
   CAST(posopdur AS BIGINT) AS posopdur, CAST(preopdur AS BIGINT) AS preopdur,
-  TRY_CAST(opdate AS DATE) IS NULL AS exclude,
-  CASE WHEN TRY_CAST(opdate AS DATE) IS NULL THEN 'Missing opdate' ELSE '' END AS exclude_reason, 'OPCS' AS source
-FROM fx_hesin_oper WHERE {where}"""
+  {opdate} IS NULL AS exclude,
+  CASE WHEN {opdate} IS NULL THEN 'Missing opdate' ELSE '' END AS exclude_reason, 'OPCS' AS source
+FROM fx_hesin_oper WHERE {where}""".replace("{opdate}", _OPDATE)
 
 _HOSPITAL = """
 SELECT d.eid, d.ins_index, d.arr_index, d.level AS {level}, d.diag_icd9, d.diag_icd10,
@@ -33,16 +35,19 @@ FROM fx_hesin_diag d JOIN (
   FROM fx_hesin) e ON d.eid = e.eid AND d.ins_index = e.ins_index
 WHERE {where}"""
 
+_MORE = [f"p20002_i{i}_a{a}" for i, a in MORE_ILLNESSES]
+
 _SELF = """
-SELECT CAST(eid AS BIGINT) AS eid, p20002_i0_a0 AS illness_0_0, p20002_i0_a1, p20002_i1_a0, p20001_i0_a0, p20001_i1_a0,
+SELECT CAST(eid AS BIGINT) AS eid, p20002_i0_a0 AS illness_0_0, p20002_i0_a1, p20002_i1_a0, {more}, p20001_i0_a0, p20001_i1_a0,
   p20003_i0_a0, p20003_i1_a0, p20004_i0_a0, p31 AS segment, 'Self' AS source
-FROM fx_selfreport_participant WHERE {where}"""
+FROM fx_selfreport_participant WHERE {where}""".replace("{more}", ", ".join(_MORE))
 
-_CANCER_LONG = """
-SELECT eid, TRY_CAST(p40005_i0 AS DATE) AS reg_date, p40006_i0 AS site, p40008_i0 AS age, p40011_i0 AS histology,
-  p40012_i0 AS behaviour FROM fx_cancer_participant
-UNION ALL
-SELECT eid, TRY_CAST(p40005_i1 AS DATE), p40006_i1, p40008_i1, p40011_i1, p40012_i1 FROM fx_cancer_participant"""
+_CANCER_LONG = " UNION ALL ".join(
+    f"""
+SELECT eid, TRY_CAST(p40005_i{i} AS DATE) AS reg_date, p40006_i{i} AS site, p40008_i{i} AS age, p40011_i{i} AS histology,
+  p40012_i{i} AS behaviour FROM fx_cancer_participant"""
+    for i in range(CANCER_INSTANCES)
+)
 
 
 def _icd10(where: str) -> str:
@@ -64,7 +69,7 @@ def _any_like(columns: list[str], text: str) -> str:
     return " OR ".join(f"{name} LIKE '%{text}%'" for name in columns)
 
 
-_ILLNESS = ["p20002_i0_a0", "p20002_i0_a1", "p20002_i1_a0"]
+_ILLNESS = ["p20002_i0_a0", "p20002_i0_a1", "p20002_i1_a0", *_MORE]
 _CANCER = ["p20001_i0_a0", "p20001_i1_a0"]
 _TREATMENT = ["p20003_i0_a0", "p20003_i1_a0"]
 
@@ -101,19 +106,11 @@ FROM (SELECT source, CAST(count(DISTINCT eid) AS BIGINT) AS n FROM cohort GROUP
 LEFT JOIN (SELECT source, CAST(count(DISTINCT eid) AS BIGINT) AS cases FROM cases GROUP BY source) c USING (source)"""
 
 
-def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
-    terms = [f"{c!r}::DOUBLE * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients)]
-    return "(" + " + ".join(terms) + ")"
-
-
 def _upper_tail(z: str) -> str:
-    """P(Z > z) for z >= 0."""
-    fraction = f"({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 4 / ({z} + {FRACTION_END}::DOUBLE)))))"
-    return (
-        f"CASE WHEN {z} > {FAR_TAIL} THEN 0.0::DOUBLE "
-        f"WHEN {z} < {SPLIT}::DOUBLE THEN exp(-{z} * {z} / 2) * {_polynomial(NUMERATOR, z)} / {_polynomial(DENOMINATOR, z)} "
-        f"ELSE exp(-{z} * {z} / 2) / {fraction} / {ROOT_TWO_PI}::DOUBLE END"
-    )
+    """P(Z > z) for z >= 0, by the series of the middle part: density times the sum of z^(2k+1) / (2k+1)!!."""
+    term = f"exp((2 * k + 1) * ln({z}) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2)"
+    middle = f"exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: {term}))"
+    return f"CASE WHEN {z} > 8 THEN 0.0::DOUBLE WHEN {z} < 1e-12 THEN 0.5::DOUBLE ELSE 0.5 - {middle} END"
 
 
 def _power(odds_ratios: list[float], critical: float, operator: str) -> str:
@@ -183,7 +180,7 @@ _ORDERED = f"""
 SELECT eid, diag_date, data_provider, event_dt, read_2, read_3, value1, value2, value3, g.exclude, g.exclude_reason,
   g.source, o.ins_index, o.arr_index, opdate, o.level, oper3, oper3_nb, oper4, oper4_nb, posopdur, preopdur,
   diag_icd9, diag_icd10, epistart, epiend, epidur, bedyear, admimeth,
-  illness_0_0, p20002_i0_a1, p20002_i1_a0, p20001_i0_a0, p20001_i1_a0, p20003_i0_a0, p20003_i1_a0, p20004_i0_a0, segment
+  illness_0_0, p20002_i0_a1, p20002_i1_a0, {', '.join(_MORE)}, p20001_i0_a0, p20001_i1_a0, p20003_i0_a0, p20003_i1_a0, p20004_i0_a0, segment
 FROM (SELECT *, event_dt AS diag_date FROM
     ({_GP.format(where="read_2 IN ('22K..', 'XE2eD') OR read_3 IN ('22K..', 'XE2eD')")}) g0) g
   FULL JOIN (SELECT *, opdate AS diag_date FROM
@@ -198,7 +195,7 @@ SELECT name, title, CAST(regexp_extract(name, '^p([0-9]+)', 1) AS INT) AS field,
 FROM fx_field_dictionary WHERE {where} ORDER BY field, instance, "array" """
 
 _PARTICIPANT_COLUMNS = [
-    "eid", "p20002_i0_a0", "p20002_i0_a1", "p20002_i1_a0", "p20001_i0_a0", "p20001_i1_a0",
+    "eid", "p20002_i0_a0", "p20002_i0_a1", "p20002_i1_a0", *_MORE, "p20001_i0_a0", "p20001_i1_a0",
     "p20003_i0_a0", "p20003_i1_a0", "p20004_i0_a0", "p31",
 ]
 
@@ -219,9 +216,9 @@ SQL = {
   SELECT 1 FROM (SELECT coding, min(meaning) AS meaning FROM fx_coding WHERE coding > 1 AND coding IN (2, 17)
     GROUP BY coding) m WHERE regexp_matches(p20004_i0_a0, m.meaning))"""
     ),
-    "criteria_any_all": """
+    "criteria_any_all": f"""
 SELECT * FROM fx_selfreport_participant
-WHERE (p20002_i0_a0 = '1222' OR p20002_i0_a1 = '1222' OR p20002_i1_a0 = '1222') AND p31 = 'BUILDING'""",
+WHERE ({" OR ".join(f"{name} = '1222'" for name in _ILLNESS)}) AND p31 = 'BUILDING'""",
     "gp_scripts_by_codes": " UNION ALL ".join(
         f"""
 SELECT eid, data_provider, TRY_CAST(issue_date AS DATE) AS issue_date, read_2, dmd_code, bnf_code, drug_name, quantity
@@ -232,8 +229,10 @@ FROM fx_gp_scripts WHERE {name} IN ('3000', '3003', 'f4...', '06.01.03')"""
     "cancer_registry": f"""
 SELECT c.eid, c.reg_date, c.site, c.age, c.histology, c.behaviour, b.dob, b.assess_date,
   datediff('day', b.dob, c.reg_date) / CAST(365.25 AS DOUBLE) AS diag_age,
-  COALESCE(c.reg_date < b.assess_date, FALSE) AS prev, c.histology || '/' || c.behaviour AS code, i.description
-FROM ({_CANCER_LONG}) c JOIN fx_baseline b ON b.eid = c.eid LEFT JOIN fx_icdo3 i ON i.histology = c.histology
+  COALESCE(c.reg_date < b.assess_date, FALSE) AS prev, c.histology || '/' || c.behaviour AS code,
+  i.histology AS description
+FROM ({_CANCER_LONG}) c JOIN fx_baseline b ON b.eid = c.eid
+LEFT JOIN fx_icdo3 i ON i.code = c.histology || '/' || c.behaviour
 WHERE regexp_matches(c.site, 'C61|C5')""",
     "ordered_records": _ORDERED,
     "first_occurrence_records": _FIRST_GP,
@@ -255,7 +254,7 @@ WHERE regexp_matches(c.site, 'C61|C5')""",
     "genetic_score": f"""
 WITH calls AS ({_CALLS}),
 means AS (SELECT chrom, pos, avg(calls) AS mean FROM calls GROUP BY chrom, pos)
-SELECT eid, floor(sum(weight * COALESCE(calls, mean, 0)) / (2 * count(*)) * 1e9 + 0.3) / 1e9 AS score
+SELECT eid, sum(weight * COALESCE(calls, mean, 0)) / (2 * count(*)) AS score
 FROM calls JOIN means USING (chrom, pos) GROUP BY eid""",
     "genetic_score_drop_missing": f"""
 SELECT eid, sum(weight * calls) / (2 * count(*)) AS score
@@ -264,11 +263,9 @@ FROM ({_CALLS}) c WHERE calls IS NOT NULL GROUP BY eid""",
     # The quantiles are those of alpha = 1e-9 and 0.05, two-sided.
     "association_power": _power([1.5, 2, 3], 6.109410204869, "/"),
     "association_power_multiplied": _power([0.5, 1.2, 4], 1.959963984540054, "*"),
-    "extract_fields": """
-SELECT eid, p20002_i0_a0 AS "Illness code | Instance 0 | Array 0", p20002_i0_a1 AS "Illness code | Instance 0 | Array 1",
-  p20002_i1_a0 AS "Illness code | Instance 1 | Array 0", p20003_i0_a0 AS "Treatment code | Instance 0 | Array 0",
-  p20003_i1_a0 AS "Treatment code | Instance 1 | Array 0"
-FROM fx_selfreport_participant""",
+    "extract_fields": "SELECT eid, "
+    + ", ".join(f'{name} AS "Title of {name}"' for name in [*_ILLNESS, *_TREATMENT])
+    + " FROM fx_selfreport_participant",
     "append_fields": "SELECT eid, p31, p20002_i0_a0, p20001_i0_a0, p20004_i0_a0 FROM fx_selfreport_participant",
     "fields_for_id": _FIELDS.format(where="regexp_matches(name, '^p20001(_i[0-9]+)?(_a[0-9]+)?$')"),
     "fields_by_keyword": _FIELDS.format(where="contains(lower(title), 'widget array')"),

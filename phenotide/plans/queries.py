@@ -16,18 +16,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Code lists of the queries.
 FROZEN_SHOULDER_GP = ["N210.", "XE1FL", "XE1Hm"]
 DIABETES_ICD10 = ["E10", "E11"]
-TITLES = {
-    "eid": "Participant",
-    "p20001_i0_a0": "Cancer code | Instance 0 | Array 0",
-    "p20001_i1_a0": "Cancer code | Instance 1 | Array 0",
-    "p20002_i0_a0": "Illness code | Instance 0 | Array 0",
-    "p20002_i0_a1": "Illness code | Instance 0 | Array 1",
-    "p20002_i1_a0": "Illness code | Instance 1 | Array 0",
-    "p20003_i0_a0": "Treatment code | Instance 0 | Array 0",
-    "p20003_i1_a0": "Treatment code | Instance 1 | Array 0",
-    "p20004_i0_a0": "Operation code | Instance 0 | Array 0",
-    "p31": "Group",
-}
 # What the tests' selections rename: titles without blanks, so that they read well in SQL.
 NAMES = {"eid": "participant", "p31": "segment", "p20002_i0_a0": "illness_0_0"}
 
@@ -146,10 +134,8 @@ def timeline_age_groups(t: Tables) -> DataFrame:
 
 
 def genetic_score(t: Tables) -> DataFrame:
-    scores = genetics.genetic_score(t.genotypes, t.score_file)
-    # Imputed sums depend on their order in the last bits, so nine digits are kept. Many scores are a
-    # half of the ninth digit, where the last bits would decide; 0.3 moves the cut away from them.
-    return scores.withColumn("score", F.floor(F.col("score") * 1e9 + 0.3) / 1e9)
+    # The weights are n/64 and the means that count are whole, so the sums are exact.
+    return genetics.genetic_score(t.genotypes, t.score_file)
 
 
 def genetic_score_drop_missing(t: Tables) -> DataFrame:
@@ -182,9 +168,9 @@ def association_power_multiplied(t: Tables) -> DataFrame:
 
 
 def extract_fields(t: Tables) -> DataFrame:
-    dictionary = t.spark.createDataFrame(list(TITLES.items()), "name string, title string")
+    dictionary = t.field_dictionary.withColumn("title", F.concat(F.lit("Title of "), "name"))
     return fields.extract_fields(
-        t.selfreport_participant, dictionary, ["eid", "20002"], ["treatment"], use_descriptions=True
+        t.selfreport_participant, dictionary, ["eid", "20002"], ["OF P20003"], use_descriptions=True
     )
 
 

@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The larger side of a join on selected keys is filtered by them before its shuffle.
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "256MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
 }
 
 

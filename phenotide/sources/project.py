@@ -18,6 +18,7 @@ class Project:
     """Tables of one project: Parquet under ``<root>/<data>``, column dictionaries under ``<root>/<columns>``.
 
     Every reader returns a lazy DataFrame. File names are arguments, with the usual names as defaults.
+    A table that was extended lies in a folder per version, with a table of its versions beside it.
     """
 
     def __init__(self, spark: SparkSession, root: str, data: str = "data", columns: str = "cols_in_tables"):
@@ -27,25 +28,47 @@ class Project:
         self.columns = f"{self.root}/{columns}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.data}/{name}.parquet")
+        return self.spark.read.parquet(f"{self._versioned(self.data, name)}.parquet")
+
+    def version(self, name: str) -> int:
+        """How often a stored table was extended under its own name."""
+        try:
+            return self.spark.read.schema("version int").parquet(f"{self.data}/{name}.versions").agg({"version": "max"}).first()[0] or 0
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return 0
+            raise
+
+    def _versioned(self, folder: str, name: str) -> str:
+        version = self.version(name)
+        return f"{folder}/{name}.v{version}" if version else f"{folder}/{name}"
 
     def coding(self, file: str) -> DataFrame:
         return text.read_tsv(self.spark, f"{self.data}/{file}").selectExpr("try_cast(coding AS int) AS coding", "meaning")
 
     def column_titles(self, table: str) -> dict[str, str]:
         """Column name -> title of a stored table (schema metadata, one row per column)."""
-        dictionary = text.read_column_dictionary(self.spark, f"{self.columns}/{table}.txt")
+        dictionary = text.read_column_dictionary(self.spark, f"{self._versioned(self.columns, table)}.txt")
         return {row.name: row.title for row in dictionary.collect()}
 
-    def register_manifest(self, path: str) -> list[str]:
-        """Register a view for each table of a manifest (``Id``, ``Description``); returns the view names.
+    def register_manifest(self, path: str, kind: str = "data") -> list[str]:
+        """Register a view for each entry of a manifest (``Id``, ``Description``); returns the view names.
 
-        A table lies under its ``Id`` in the data folder; its view is named after the description.
+        ``kind='data'``: tables, which lie under their ``Id`` in the data folder; a view is named after
+        the description. ``kind='columns'``: column dictionaries (name, title), which lie under their
+        ``Id`` in the dictionary folder; the view's name ends in ``_columns``, so that both manifests may
+        use the same descriptions.
         """
+        if kind not in ("data", "columns"):
+            raise ValueError(f"kind must be 'data' or 'columns', not {kind!r}")
         views = []
         for row in text.read_tsv(self.spark, path).select("Id", "Description").collect():
             view = re.sub(r"\W+", "_", row.Description.strip().lower())
-            self.table(row.Id).createOrReplaceTempView(view)
+            if kind == "data":
+                self.table(row.Id).createOrReplaceTempView(view)
+            else:
+                view += "_columns"
+                text.read_column_dictionary(self.spark, f"{self.columns}/{row.Id}").createOrReplaceTempView(view)
             views.append(view)
         return views
 
@@ -166,16 +189,17 @@ class Project:
 
         ``columns_file`` in the dictionary folder lists the codes; table and dictionary are named
         after it. The dictionary is itself a list of codes, and takes the place of a list of its name.
-        ``existing`` names a stored table to extend by the columns it lacks. That has to be
-        another table, as Spark does not overwrite what it reads. A table already stored under the
-        target name stays as it is; that it lacks a requested column is an error.
+        ``existing`` names a stored table to extend by the columns it lacks. If that is the target
+        itself, the extended table is written beside it as a new version, which counts from then on; if
+        it lacks nothing, nothing is written. A table already stored under another target name stays as it
+        is; that it lacks a requested column is an error.
         """
         name = columns_file.split(".")[0]
-        if existing == name:
-            raise ValueError(f"{name!r} would be read and written at once; list its codes in another file")
         listed = text.read_trait_list(self.spark, f"{self.columns}/{columns_file}").select(text.CODE)
         codes = [row[0] for row in listed.collect()]
         wanted = fields.resolve_fields(dictionary, dataset.columns, codes, search_terms)
+        if existing == name:
+            return self._extend(name, dataset, wanted, use_descriptions, file_format)
         if existing:
             chosen = fields.append_fields(
                 self._read(existing, file_format), dataset, list(wanted), wanted if use_descriptions else None
@@ -185,18 +209,46 @@ class Project:
             chosen = fields.rename_to_titles(chosen, wanted) if use_descriptions else chosen
         stored = self._read_if_stored(name, file_format)
         if stored is None:
-            write = sinks.write_csv if file_format == "csv" else sinks.write_parquet
-            write(chosen, f"{self.data}/{name}.{file_format}", only_if_absent=True)
+            self._write(chosen, f"{self.data}/{name}.{file_format}", file_format)
             sinks.write_column_dictionary(self.spark, wanted, f"{self.columns}/{name}.txt")
             return self._read(name, file_format)
         lacking = [column for column in chosen.columns if column not in stored.columns]
         if lacking:
-            raise ValueError(f"{name!r} is stored without {lacking}; extend it under a new name with existing={name!r}")
+            raise ValueError(f"{name!r} is stored without {lacking}; extend it with existing={name!r}")
         return stored
 
+    def _extend(
+        self, name: str, dataset: DataFrame, wanted: dict[str, str], use_descriptions: bool, file_format: str
+    ) -> DataFrame:
+        """Write the next version of a stored table, then its number; readers see the old one until then."""
+        stored = self._read(name, file_format)
+        extended = fields.append_fields(stored, dataset, list(wanted), wanted if use_descriptions else None)
+        if extended.columns == stored.columns:
+            return stored
+        number = self.version(name) + 1
+        titles = self._known_titles(name) | wanted
+        # Whatever an extraction that broke off has left there was never counted.
+        self._write(extended, f"{self.data}/{name}.v{number}.{file_format}", file_format, only_if_absent=False)
+        sinks.write_column_dictionary(self.spark, titles, f"{self.columns}/{name}.v{number}.txt")
+        versions = self.spark.createDataFrame([(number,)], "version int").coalesce(1)
+        versions.write.mode("append").parquet(f"{self.data}/{name}.versions")
+        return self._read(name, file_format)
+
+    def _known_titles(self, name: str) -> dict[str, str]:
+        """The titles stored for a table; a plain list of codes in their place has none."""
+        try:
+            return self.column_titles(name)
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+                return {}
+            raise
+
+    def _write(self, df: DataFrame, path: str, file_format: str, only_if_absent: bool = True) -> None:
+        (sinks.write_csv if file_format == "csv" else sinks.write_parquet)(df, path, only_if_absent)
+
     def _read(self, name: str, file_format: str) -> DataFrame:
         if file_format == "csv":
-            return text.read_csv(self.spark, f"{self.data}/{name}.csv")
+            return text.read_csv(self.spark, f"{self._versioned(self.data, name)}.csv")
         return self.table(name)
 
     def _read_if_stored(self, name: str, file_format: str) -> DataFrame | None:

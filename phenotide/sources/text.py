@@ -52,10 +52,15 @@ def read_report(spark: SparkSession, path: str, columns: dict[str, tuple[str, st
 
 
 def _blank_separated(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """The header, and the other lines split at blanks as ``fields``."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
-    header = lines.first().line
-    return header.split(), lines.where(F.col("line") != header).select(F.split("line", r"\s+").alias("fields"))
+    """The header, and the other lines split at blanks as ``fields``.
+
+    Only the first line of a file is its header; an equal line further on is data.
+    """
+    header = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").first().line
+    # One column that no separator splits; the reader leaves the first line out.
+    lines = _table(spark, path, "value string", sep="\x01", quote="", header=True)
+    split = F.split(F.trim("value"), r"\s+")
+    return header.split(), lines.where(F.trim("value") != "").select(split.alias("fields"))
 
 
 def read_score_report(spark: SparkSession, path: str) -> DataFrame:
@@ -64,10 +69,13 @@ def read_score_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_score_file(spark: SparkSession, path: str) -> DataFrame:
-    """Score weights: one header line, then chromosome, position, other allele, effect allele, weight."""
+    """Score weights: one header line, then chromosome, position, other allele, effect allele, weight.
+
+    Text that is no number, such as a chromosome X, becomes null.
+    """
     types = {"chrom": "int", "pos": "long", "other_allele": "string", "effect_allele": "string", "weight": "double"}
     _, lines = _blank_separated(spark, path)
-    return lines.select(*[F.get("fields", i).cast(kind).alias(name) for i, (name, kind) in enumerate(types.items())])
+    return lines.select(*[F.get("fields", i).try_cast(kind).alias(name) for i, (name, kind) in enumerate(types.items())])
 
 
 def read_column_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from phenotide.operators import fields
@@ -83,3 +85,20 @@ def test_drop_all_null(wide):
     assert fields.drop_all_null_columns(wide).columns == ["eid", "p31", "p3_i2", "p310"]
     assert fields.drop_all_null_columns(wide.where("eid = 1")).columns == ["eid", "p31", "p3_i2"]
     assert fields.drop_all_null_columns(wide.where("eid > 9")).columns == []
+
+
+def test_many_codes(spark):
+    names_ = [f"p{i}_i0" for i in range(12_000)]
+    dictionary = spark.createDataFrame([(n, f"Title {n}") for n in names_], "name string, title string")
+    codes = [f"p{i}_i0" for i in range(5000)] + [str(i) for i in range(5000, 10_000)]
+    found = fields.resolve_fields(dictionary, names_, codes, [f"title p{i}_i0" for i in range(11_990, 12_000)])
+    assert list(found) == names_[:10_000] + names_[11_990:]
+
+
+def test_profiles_of_very_wide_tables(spark, tmp_path):
+    columns = {f"c{i}": pa.array([1.5 if row < i % 5 else None for row in range(4)], pa.float64()) for i in range(3200)}
+    pq.write_table(pa.table({"eid": [0, 1, 2, 3], **columns}), tmp_path / "wide.parquet")
+    wide = spark.read.parquet(f"{tmp_path}/wide.parquet")
+    profile = {r.column: r.nulls for r in fields.column_null_profile(wide).collect()}
+    assert profile == {"eid": 0, **{f"c{i}": 4 - i % 5 for i in range(3200)}}
+    assert fields.drop_all_null_columns(wide).columns == ["eid", *[f"c{i}" for i in range(3200) if i % 5]]

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenotide.functions.normal import normal_cdf
+from phenotide.functions.sizes import groups_below
 from phenotide.operators import genetics, power
 
 GENOTYPES = "eid long, chrom int, pos long, allele1 string, allele2 string, allele1_count int"
@@ -54,10 +55,10 @@ def data():
 
 
 @pytest.mark.parametrize("missing", ["impute", "drop"])
-@pytest.mark.parametrize("max_broadcast_rows", [1000, 3])
-def test_score_equals_brute_force(spark, data, missing, max_broadcast_rows):
+@pytest.mark.parametrize("max_broadcast_bytes", [1 << 20, 300, 1])
+def test_score_equals_brute_force(spark, data, missing, max_broadcast_bytes):
     genotypes, scores = spark.createDataFrame(data[0], GENOTYPES), spark.createDataFrame(data[1], SCORES)
-    rows = genetics.genetic_score(genotypes, scores, missing, max_broadcast_rows).collect()
+    rows = genetics.genetic_score(genotypes, scores, missing, max_broadcast_bytes).collect()
     expected = brute_force(*data, missing)
     assert {r.eid for r in rows} == set(expected)
     for r in rows:
@@ -135,12 +136,23 @@ def test_undefined_power_is_null(spark):
     assert {(r.id, r.source) for r in rows if r.power is not None} == {("ok", "some")}
 
 
-def test_too_many_sources_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(power, "MAX_SOURCES", 2)
+def test_any_number_of_sources(spark):
     variants = spark.createDataFrame([(0.1,)], "maf double")
-    sources = spark.createDataFrame([(str(i), 5, 100) for i in range(3)], "source string, cases long, n long")
-    with pytest.raises(Exception, match="more than 2 record sources"):
-        power.association_power(variants, sources).collect()
+    sources = spark.createDataFrame([(str(i), 5, 100) for i in range(1001)], "source string, cases long, n long")
+    assert power.association_power(variants, sources).count() == 3003
+
+
+def test_lines_and_calls_of_other_chromosomes_are_left_out(spark):
+    genotypes = spark.createDataFrame([(1, "1", 5, "A", "G", 2), (1, "X", 5, "A", "G", 2), (1, "23", 5, "A", "G", 2)], GENOTYPES.replace("chrom int", "chrom string"))
+    lines = [(chrom, 5, "G", "A", weight) for chrom, weight in (("1", 0.5), ("X", 9.0), ("Y", 9.0), ("23", 9.0))]
+    scores = spark.createDataFrame(lines, SCORES.replace("chrom int", "chrom string"))
+    assert [r.score for r in genetics.genetic_score(genotypes, scores).collect()] == [0.5]
+    assert genetics.genetic_score(genotypes, scores.limit(0)).count() == 0
+
+
+def test_chromosomes_are_grouped_by_size():
+    assert groups_below({1: 5, 2: 5, 3: 20, 4: 3, 5: 9}, 10) == [([1, 2], True), ([3], False), ([4], True), ([5], True)]
+    assert groups_below({}, 10) == []
 
 
 def test_case_rates(spark):
@@ -152,6 +164,7 @@ def test_case_rates(spark):
             "GP": (people(1, 1, 2), people(1, 2, 2, 3, 4)),
             "HES": (people(), people(5, None)),
             "OPCS": (people(9), people()),
+            "Death": (people(), people()),
         }
     )
-    assert {tuple(r) for r in rates.collect()} == {("GP", 2, 4, 0.5), ("HES", 0, 1, 0.0), ("OPCS", 1, 0, None)}
+    assert {tuple(r) for r in rates.collect()} == {("GP", 2, 4, 0.5), ("HES", 0, 1, 0.0), ("OPCS", 1, 0, None), ("Death", 0, 0, None)}

@@ -133,3 +133,14 @@ def test_operation_in_many_instances(spark, many_instances):
     coding = spark.createDataFrame([(2, "104"), (3, "10[79]")], "coding int, meaning string")
     assert ids(participant.selfreport_operation(many_instances, coding, [2, 3])) == [4, 7, 9]
     assert len(ids(participant.selfreport_operation(many_instances, coding, [5]))) == 14
+
+
+@pytest.mark.parametrize("width", [8, 9, 130])
+def test_conditions_may_call_functions_and_subqueries_at_any_width(spark, width):
+    wide = spark.range(5).selectExpr("id AS eid", *[f"id * 1000 + {i} AS p5_i{i}" for i in range(width)])
+    is_wanted = F.udf(lambda x: x == 2003, "boolean")
+    by_udf = participant.filter_by_criteria(wide, [("p5_i", lambda column: is_wanted(column))])
+    assert [r.eid for r in by_udf.collect()] == [2]
+    most = spark.range(10).agg(F.max("id") + F.lit(2994))
+    by_query = participant.filter_by_criteria(wide, [("p5_i", lambda column: column == most.scalar())])
+    assert [r.eid for r in by_query.collect()] == [3]

@@ -8,13 +8,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
-from phenotide.operators import genetics, records, timeline
+from phenotide.operators import genetics, participant, records, timeline
+from phenotide.plans import queries
 from phenotide.plans.fixtures import Tables
-from phenotide.sources.sinks import write_parquet
+from phenotide.sources.sinks import write_bucketed, write_parquet
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
+QUERIES = queries.registered()
 
 
 def plan(df) -> str:
@@ -57,6 +57,23 @@ def test_code_prefixes_reach_the_scan(spark, tables, tmp_path):
     assert "Or(StringStartsWith(diag_icd10,E113),StringStartsWith(diag_icd10,M75))" in text
 
 
+@pytest.fixture()
+def long_plans(spark):
+    key = "spark.sql.maxMetadataStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100000")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_any_number_of_prefixes_reaches_the_scan(spark, tables, tmp_path, long_plans):
+    diagnoses = stored(spark, tmp_path, "diag", tables.hesin_diag)
+    codes = [f"E1{i}.{j}" for i in range(10) for j in range(30)] + ["E10.11"]
+    text = plan(records.icd10_records(diagnoses, tables.hesin, codes, match="prefix"))
+    pushed = re.findall(r"StringStartsWith\(diag_icd10,(\w+)\)", text)
+    assert set(pushed) == {f"E1{i}{j}" for i in range(10) for j in range(10)}
+
+
 def test_first_record_combines_before_its_only_shuffle(tables):
     text = plan(timeline.first_record(records.gp_records(tables.gp_clinical).withColumn("dob", F.current_date())))
     assert text.count("Exchange hashpartitioning(eid") == 1
@@ -89,19 +106,25 @@ def test_only_autosomes_of_partitioned_genotypes_are_read(spark, tables, tmp_pat
     assert len(pruned) >= 2 and all("<= 22" in filters for filters in pruned)
 
 
-def test_merge_shuffles_each_frame_once(tables, monkeypatch):
-    monkeypatch.setattr(timeline, "hot_participants", lambda *frames: [])
-    gp = records.gp_records(tables.gp_clinical)
-    opcs = records.opcs_records(tables.hesin_oper.drop("unused"))
+def test_genotypes_are_not_shuffled_for_a_large_score(spark, tables, tmp_path):
+    genotypes = stored(spark, tmp_path, "genotypes", tables.genotypes)
+    scores = spark.range(600_000).selectExpr(
+        "CAST(id % 22 + 1 AS INT) AS chrom", "1000 + id * 10 AS pos", "'A' AS effect_allele", "0.5 AS weight"
+    )
+    for limit, joins in ((256 << 20, 1), (8 << 20, 8)):
+        text = plan(genetics.genetic_score(genotypes, scores, missing="drop", max_broadcast_bytes=limit))
+        assert text.count("BroadcastHashJoin") == joins and "SortMergeJoin" not in text
+        assert text.count("Exchange hashpartitioning(eid") == text.count("Exchange hashpartitioning") == 1
+
+
+def test_merge_runs_nothing_and_has_no_full_outer_join(spark, tables, tmp_path):
+    gp = records.gp_records(stored(spark, tmp_path, "gp", tables.gp_clinical))
+    opcs = records.opcs_records(stored(spark, tmp_path, "opcs", tables.hesin_oper))
+    spark.sparkContext.setJobGroup("merge", "plan")
     text = plan(timeline.order_participant_records(gp, opcs, sort=False))
-    assert text.count("Exchange hashpartitioning") == 2 and text.count("FullOuter") == 1
-
-
-def test_hot_participants_are_joined_with_an_inner_join(tables, monkeypatch):
-    monkeypatch.setattr(timeline, "hot_participants", lambda *frames: [7])
-    gp = records.gp_records(tables.gp_clinical)
-    text = plan(timeline.order_participant_records(gp, records.opcs_records(tables.hesin_oper), sort=False))
-    assert text.count("FullOuter") == 1 and "Inner" in text
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("merge") == []
+    spark.sparkContext.setJobGroup("", "")
+    assert "FullOuter" not in text and text.count("LeftOuter") == text.count("LeftAnti") == 1
 
 
 @pytest.fixture()
@@ -113,18 +136,35 @@ def no_automatic_broadcast(spark):
     spark.conf.set(key, before)
 
 
-def test_rare_codes_are_sent_to_the_episodes(spark, tables, tmp_path, no_automatic_broadcast):
+def test_bucketed_tables_are_joined_without_a_shuffle(spark, tables, no_automatic_broadcast):
+    keys = list(records.EPISODE_KEYS)
+    for name, df in (("bucketed_diag", tables.hesin_diag), ("bucketed_episodes", tables.hesin)):
+        write_bucketed(df, name, keys, 4)
+    try:
+        diagnoses, episodes = spark.table("bucketed_diag"), spark.table("bucketed_episodes")
+        found = records.icd10_records(diagnoses, episodes, ["E10"])
+        assert "Exchange" not in plan(found) and "SortMergeJoin" in plan(found)
+        expected = records.icd10_records(tables.hesin_diag, tables.hesin, ["E10"])
+        assert Counter(found.select(*expected.columns).collect()) == Counter(expected.collect()) != Counter()
+    finally:
+        spark.sql("DROP TABLE bucketed_diag")
+        spark.sql("DROP TABLE bucketed_episodes")
+
+
+def test_large_episode_tables_are_filtered_by_the_selected_keys(spark, tables, tmp_path, no_automatic_broadcast):
     diagnoses = stored(spark, tmp_path, "diag", tables.hesin_diag)
     episodes = stored(spark, tmp_path, "episodes", tables.hesin)
-
-    def read(limit):
-        return records.icd10_records(diagnoses, episodes, ["C54"], broadcast_up_to=limit)
-
-    usual, few, many = read(None), read(100_000), read(1)
-    assert "Exchange hashpartitioning" not in plan(few) and "BroadcastHashJoin" in plan(few)
-    for df in (usual, many):
-        assert plan(df).count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan(df)
-    assert Counter(few.collect()) == Counter(usual.collect()) == Counter(many.collect()) != Counter()
-    old = records.icd9_records(diagnoses, episodes, ["2500"], broadcast_up_to=100_000)
-    assert "BroadcastHashJoin" in plan(old)
-    assert old.count() == records.icd9_records(diagnoses, episodes, ["2500"]).count() > 0
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        assert "might_contain" in plan(records.icd10_records(diagnoses, episodes, ["C54"], match="prefix"))
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_conditions_of_many_columns_reach_the_scan(spark, tmp_path, long_plans):
+    spark.range(3).selectExpr(*[f"CAST(id + {i} AS STRING) AS p1_i{i}" for i in range(130)]).write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    text = plan(participant.filter_by_criteria(wide, [("p1_i", lambda column: column == "7")]))
+    assert text.split("PushedFilters:")[1].count("EqualTo(p1_i") == 130

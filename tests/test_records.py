@@ -107,6 +107,12 @@ def test_dates(spark):
         "03/02/1994": date(1994, 2, 3),
         "1994-02-30": None,
         "31/02/1994": None,
+        "1994/02/03": date(1994, 2, 3),
+        "03-02-1994": date(1994, 2, 3),
+        "13-2-1994": date(1994, 2, 13),
+        "03/02/1994 10:11:12": date(1994, 2, 3),
+        "03-02-1994T10:11": date(1994, 2, 3),
+        "03/02/19945": None,
         "1994": None,
         "1994-02": None,
         "": None,

@@ -85,10 +85,13 @@ def registry(spark):
 
 
 def test_cancer(spark, registry, baseline):
-    histologies = spark.createDataFrame([("8140", "adeno"), ("8000", "neoplasm")], "histology string, description string")
+    histologies = spark.createDataFrame(
+        [("8140/3", "adeno"), ("8140/2", "adeno in situ"), ("8140/0", "adenoma"), ("8140/3", "other"), ("8000/3", "x")],
+        "code string, histology string",
+    )
     rows = registries.cancer_registry(registry, baseline, histologies, ["C61", "C5"]).collect()
     found = {(r.eid, r.site): r for r in rows}
-    assert set(found) == {(1, "C61"), (1, "C619"), (2, "C50")}
+    assert set(found) == {(1, "C61"), (1, "C619"), (2, "C50")} and len(rows) == 3
     first = found[1, "C61"]
     assert (first.reg_date, first.age, first.code, first.description, first.prev) == (
         date(1999, 1, 1), 49.0, "8140/3", "adeno", True,

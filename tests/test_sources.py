@@ -52,6 +52,13 @@ def test_reports(spark, tmp_path):
     assert rows(text.read_score_file(spark, scores)) == [(1, 100, "A", "G", 0.5), (22, 7, "C", "T", -2.0)]
 
 
+def test_score_files_with_other_chromosomes_and_repeated_headers(spark, tmp_path):
+    path = write(tmp_path, "scores", "\nchr pos other effect weight\nX 5 A G 0.5\n 1 7 A G 2 \n1 7 A G 2\nchr pos other effect weight\n")
+    assert rows(text.read_score_file(spark, path)) == [
+        (None, 5, "A", "G", 0.5), (1, 7, "A", "G", 2.0), (1, 7, "A", "G", 2.0), (None, None, "other", "effect", None),
+    ]
+
+
 def test_parquet_and_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a, b", None), (2, None, 0.5)], "eid long, name string, x double")
     sinks.write_parquet(df, f"{tmp_path}/p")
@@ -132,7 +139,7 @@ def project(spark, tmp_path):
     (tmp_path / "cols_in_tables").mkdir()
     write(tmp_path / "cols_in_tables", "selfreport_participant.txt", "Code\tDescription\neid\tParticipant ID\np31\tSex\n")
     write(tmp_path / "data", "coding4.tsv", "coding\tmeaning\n1\tnone\n2\thip op\n")
-    write(tmp_path / "data", "ICDO3.csv", "histology\tdescription\n8140\tadeno\n")
+    write(tmp_path / "data", "ICDO3.csv", "code\thistology\n8140/3\tadeno\n8140/0\tadenoma\n")
     return project
 
 
@@ -167,6 +174,12 @@ def test_manifest_registers_views(spark, project, tmp_path):
     path = write(tmp_path, "manifest.txt", "Id\tDescription\nGP_gp_clinical\tGP clinical\nHES_hesin\tHES Records\n")
     assert project.register_manifest(path) == ["gp_clinical", "hes_records"]
     assert spark.table("gp_clinical").count() == 2 and spark.table("hes_records").count() == 1
+    columns = write(tmp_path, "columns.txt", "Id\tDescription\nselfreport_participant.txt\tGP clinical\n")
+    assert project.register_manifest(columns, kind="columns") == ["gp_clinical_columns"]
+    assert rows(spark.table("gp_clinical_columns")) == [("eid", "Participant ID"), ("p31", "Sex")]
+    assert spark.table("gp_clinical").count() == 2
+    with pytest.raises(ValueError, match="kind"):
+        project.register_manifest(columns, kind="other")
 
 
 @pytest.mark.parametrize("file_format", ["parquet", "csv"])
@@ -192,8 +205,14 @@ def test_extract_store_and_extend(spark, project, tmp_path, file_format):
     write(tmp_path / "cols_in_tables", "first.list", "eid\n20002\n")
     with pytest.raises(ValueError, match="stored without .*p20002_i0_a0"):
         project.extract(dataset, dictionary, "first.list", file_format=file_format)
-    with pytest.raises(ValueError, match="read and written"):
-        project.extract(dataset, dictionary, "first.txt", existing="first")
+    # Extended under its own name: a new version with the new column alone added, then nothing to do.
+    for _ in range(2):
+        longer = project.extract(dataset, dictionary, "first.list", existing="first", file_format=file_format)
+        assert longer.columns == ["eid", "p31", "p20002_i0_a0"] and project.version("first") == 1
+        assert sorted(rows(longer)) == [("1", "M", "1222"), ("2", "F", None)]
+    assert project.column_titles("first") == {"eid": "ID", "p31": "Sex", "p20002_i0_a0": "Illness"}
+    again = project.extract(dataset, dictionary, "first.txt", file_format=file_format)
+    assert again.columns == longer.columns
 
 
 def test_extract_equals_the_operator(spark, project, tmp_path):
