@@ -10,11 +10,12 @@ import os
 import re
 import struct
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker remembers; beyond, it starts anew. Longer chunks are not remembered.
+#: Chunks that a worker remembers; beyond, it forgets the later half. Longer chunks are not remembered.
 REMEMBERED = 700_000
 #: Of a word tokenizer, which remembers words with and without the marks behind them.
 REMEMBERED_WORDS = 250_000
@@ -47,9 +48,9 @@ class Remembering:
 
     def values(self, chunks: list[str]):
         """The value of each chunk, in order."""
+        if len(self.known) > self._most:  # those met first are the frequent ones
+            self.known = dict(islice(self.known.items(), self._most // 2))
         known = self.known
-        if len(known) > self._most:
-            known.clear()
         new = [x for x in set(chunks).difference(known)]
         if not new:
             return map(known.__getitem__, chunks)
@@ -80,6 +81,7 @@ class Tokenizer:
         self._bare = Remembering(self._ids_of, REMEMBERED_WORDS)
         self._spaced = Remembering(lambda chunks: self._ids_of([x if x[:1] == "\n" else " " + x for x in chunks]))
         self._cores = Remembering(self._core_ids, REMEMBERED_WORDS)
+        self._tails = Remembering(self._whole, REMEMBERED_WORDS)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
@@ -107,10 +109,8 @@ class Tokenizer:
                 out[i] = b""
         for i, ids in zip(odd, self._whole([chunks[i] for i in odd])):
             out[i] = ids
-        kinds = list(set(tails))
-        marks = dict(zip(kinds, self._whole(kinds)))
-        for i, core, tail in zip(at, self._cores.values(cores), tails):
-            out[i] = core + marks[tail]
+        for i, core, tail in zip(at, self._cores.values(cores), self._tails.values(tails)):
+            out[i] = core + tail
         return out
 
     def packed(self, text: str) -> bytes:
