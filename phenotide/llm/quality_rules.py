@@ -113,23 +113,34 @@ def _name(*columns: str):
     return F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns))
 
 
+def _pools(named: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The group that judges each language and source (_full), and all such groups that its rows are part of.
+
+    That is the language and source itself, its language or, with an empty name, the table: the first
+    that has `least` rows that pass the fixed rules, or else the table.
+    """
+    sizes = named.groupBy("_full", "_language").agg(F.count_if(~F.col("base_failed")).alias("_n"))
+    languages = sizes.groupBy("_language").agg(F.sum("_n").alias("_of_language"))
+    group = F.when(F.col("_n") >= least, F.col("_full")).when(F.col("_of_language") >= least, F.col("_language")).otherwise("")
+    groups = stored(sizes.join(languages, "_language").select("_full", "_language", group.alias("_group")), "groups")
+    within = groups.select("_full", F.explode(F.array("_full", "_language", F.lit(""))).alias("_group"))
+    return groups, stored(within.join(groups.select("_group").distinct(), "_group", "left_semi"), "pools")
+
+
 def with_verdict(counted: DataFrame, language: str = "lang", source: str = "source", core: float = 0.75, steps: int = 4, tail: float = 1e-9, least: int = 100) -> DataFrame:
     """Every row of a stored table with statistics, with base_failed, distance and kept.
 
     kept is false if the fixed rules fail, or if the squared distance from the row's group lies beyond
     the chi-square quantile that good text passes with probability `tail`. Groups are language and
-    source, null being a value; those with fewer than `least` rows that pass the fixed rules are joined
-    per language, and where that is still too few, every row that passes the rules is kept (distance is
-    null). counted is read several times. Repeated rows count as often as they occur; columns of the
-    new names are replaced.
+    source, null being a value. One with fewer than `least` rows that pass the fixed rules is judged by
+    all such rows of its language, large sources included, and by all of the table where even those are
+    too few; distance is null only if no row of the table passes the fixed rules. counted is read several
+    times. Repeated rows count as often as they occur; columns of the new names are replaced.
     """
     rows = counted.drop("base_failed", "distance", "kept").withColumn("base_failed", base_failed())
-    fine = rows.where(~F.col("base_failed")).select(_name(language, source).alias("_full"), _name(language).alias("_language"), *_vector())
-    sizes = fine.groupBy("_full", "_language").count()
-    sizes = sizes.withColumn("_group", F.when(F.col("count") >= least, F.col("_full")).otherwise(F.col("_language")))
-    enough = F.sum("count").over(Window.partitionBy("_group")) >= least
-    groups = stored(sizes.withColumn("_enough", enough).where("_enough").select("_full", "_group"), "groups")
-    fine = fine.join(groups, "_full")
+    named = rows.select("base_failed", _name(language, source).alias("_full"), F.concat(F.lit("*"), _name(language)).alias("_language"), *_vector())
+    groups, pools = _pools(named, least)
+    fine = named.where(~F.col("base_failed")).drop("_language").join(pools, "_full")
     limit = _quantile(core, DIMENSIONS)
     consistency = core / _chi2(limit, DIMENSIONS + 2)
     estimates = _start(fine)

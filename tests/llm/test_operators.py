@@ -211,6 +211,54 @@ def test_quality_rules_find_planted_outliers_in_groups_with_nulls(spark):
     assert not verdict[1] and not verdict[2]
 
 
+def brute_verdict_of_pools(rows, least=100, core=0.75, steps=4, tail=1e-9):
+    """As brute_verdict, but small groups are judged by all fine rows of their language, or of the table."""
+    dims, floor = 4, np.diag(np.square(quality_rules.SCALES))
+    base = np.array([r[2] < 20 or 100 * r[6] > 30 * r[2] for r in rows])
+    parts = [(math.log((r[3] + 1) / max(1, r[2])), math.log1p(100 * r[4] / max(1, r[2])), math.log1p(100 * r[5] / max(1, r[2])), math.sqrt(r[6] / max(1, r[2]))) for r in rows]
+    x = np.array([[math.floor(1024 * v + 0.5) / 1024 for v in p] for p in parts])
+    q = quality_rules._quantile(core, dims)
+    factor, distance = core / quality_rules._chi2(q, dims + 2), np.zeros(len(rows))
+    for key in {r[:2] for r in rows}:
+        pools = [[i for i, r in enumerate(rows) if not base[i] and r[:n] == key[:n]] for n in (2, 1, 0)]
+        fine = x[next((p for p in pools if len(p) >= least), pools[-1])]
+        mean, (low, high) = np.median(fine, axis=0), np.quantile(fine, [0.25, 0.75], axis=0)
+        inverse = np.linalg.inv(np.diag(((high - low) / 1.349) ** 2) + floor)
+        for _ in range(steps):
+            bins = np.floor(48 * np.log2(1 + np.einsum("ni,ij,nj->n", fine - mean, inverse, fine - mean)))
+            near = fine[np.array([(bins < b).sum() < core * len(fine) for b in bins])]
+            mean, inverse = near.mean(axis=0), np.linalg.inv(factor * np.cov(near.T, bias=True) + floor)
+        for i in (i for i, r in enumerate(rows) if r[:2] == key):
+            distance[i] = (x[i] - mean) @ inverse @ (x[i] - mean)
+    return distance.tolist(), [not b and d <= quality_rules._quantile(1 - tail, dims) for b, d in zip(base, distance)]
+
+
+def test_quality_rules_equal_brute_force_of_pools(spark):
+    counted = text_statistics.with_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).drop("text")
+    for least in (100, 20, 300):
+        found = quality_rules.with_verdict(counted, least=least).orderBy("doc_id").collect()
+        distance, kept = brute_verdict_of_pools([(r.lang, r.source, *(r[c] for c in text_statistics.COUNTS)) for r in found], least=least)
+        assert [r.kept for r in found] == kept
+        assert all(math.isclose(r.distance, d, rel_tol=1e-6, abs_tol=1e-9) for r, d in zip(found, distance))
+
+
+def test_quality_rules_judge_small_groups_by_language_then_table(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 8)))
+    fine = lambda i, lang, source: row(i, " ".join(word() for _ in range(rng.integers(60, 300))), lang, source)
+    bad = lambda i, lang, source: row(i, " ".join(word() + "###" for _ in range(100)), lang, source)
+    good = [*(fine(1000 + i, "en", "large") for i in range(300)), *(fine(2000 + i, "en", "small") for i in range(5)), *(fine(3000 + i, "es", None) for i in range(5))]
+    junk = [bad(4000, "en", "small"), bad(4001, "es", None), bad(4002, "fr", "lone"), bad(4003, None, "lone")]
+    short = [row(5000, "too short", "de", "none pass")]
+    found = quality_rules.judge(spark.createDataFrame([*good, *junk, *short], SCHEMA)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in [*good, *junk, *short])
+    assert all(r.distance is not None for r in found)
+    assert {r.doc_id for r in found if not r.kept} == {4000, 4001, 4002, 4003, 5000}
+    distance = {r.doc_id: r.distance for r in found}
+    alone = {r.doc_id: r.distance for r in quality_rules.judge(spark.createDataFrame([r for r in [*good, *junk] if r[2] == "en"], SCHEMA)).collect()}
+    assert all(math.isclose(distance[i], alone[i], rel_tol=1e-9) for i in alone)  # large sources are their own group, small ones have all of the language
+
+
 def test_quality_rules_of_nothing(spark):
     assert quality_rules.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 

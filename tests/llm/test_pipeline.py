@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from test_operators import brute_components, brute_counts, brute_fingerprint, brute_verdict, library
+from test_operators import brute_components, brute_counts, brute_fingerprint, brute_verdict, brute_verdict_of_pools, library
 from test_suffix_dedup import brute as brute_removal
 
 import corpus_pipeline
@@ -56,6 +56,11 @@ def test_run_equals_brute_force(spark):
     assert found == expected and len({k[0] for k in found}) > 50
 
 
+def test_run_equals_brute_force_with_small_groups_judged(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "brute_verdict", brute_verdict_of_pools)
+    test_run_equals_brute_force(spark)
+
+
 @pytest.fixture()
 def folder(tmp_path):
     def write(rows, labels):
