@@ -106,12 +106,11 @@ class Features:
 
 
 class _Rows:
-    """The buckets that occur in more than one row, but in at most a quarter of them."""
+    """The buckets that occur in more than one row."""
 
     def __init__(self, features: Features) -> None:
         self.n = len(features.ends) - 1
-        often = np.bincount(features.ids, minlength=BUCKETS)
-        used = (often > 1) & (often <= max(2, self.n // 4))
+        used = np.bincount(features.ids, minlength=BUCKETS) > 1
         self.buckets = np.flatnonzero(used)
         kept = used[features.ids]
         self.rows, self.values = features.rows()[kept], features.values[kept]
@@ -124,10 +123,47 @@ class _Rows:
         return np.bincount(self.columns, self.values * slopes[self.rows], len(self.buckets))
 
 
-def fit(features: Features, grades: np.ndarray, penalty: float = 1e-4, rounds: int = 120) -> Model:
+def _settled(thresholds: np.ndarray, scores: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """The likeliest thresholds for these scores: Newton steps, halved until they stay in order and gain.
+
+    A row of grade k costs softplus(t(k) - score) + softplus(score - t(k + 1)) - log(1 - exp(t(k) - t(k + 1))).
+    """
+    top = len(thresholds)
+    at, over = grades[:, None] == np.arange(1, top + 1), grades[:, None] == np.arange(top)
+    between = np.maximum(np.bincount(grades, minlength=top + 1)[1:top], 1e-3)  # an empty grade still has its place
+
+    def cost(t: np.ndarray) -> float:
+        away = scores[:, None] - t
+        return (at * np.logaddexp(0, -away)).sum() + (over * np.logaddexp(0, away)).sum() - (between * np.log(-np.expm1(-np.diff(t)))).sum()
+
+    now = cost(thresholds)
+    for _ in range(20):
+        reached = _logistic(scores[:, None] - thresholds)
+        narrow = 1 / np.expm1(np.diff(thresholds))
+        pull = (at * (1 - reached) - over * reached).sum(axis=0)
+        pull[:-1] += between * narrow
+        pull[1:] -= between * narrow
+        bend = between * narrow * (1 + narrow)
+        curve = np.diag(((at | over) * reached * (1 - reached)).sum(axis=0) + 1e-6) - np.diag(bend, 1) - np.diag(bend, -1)
+        curve += np.diag(np.append(bend, 0) + np.append(0, bend))
+        move = np.linalg.solve(curve, pull)
+        for halving in range(40):
+            new = thresholds - move / 2**halving
+            if (np.diff(new) > 0).all() and (then := cost(new)) < now:
+                break
+        else:
+            break
+        thresholds, now = new, then
+        if np.abs(move).max() < 1e-6:
+            break
+    return thresholds
+
+
+def fit(features: Features, grades: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> Model:
     """Proximal gradient steps with momentum on the mean negative log-likelihood; grades are 0, 1, 2 and so on.
 
-    With fewer than two grades there is nothing to tell apart: the model has no thresholds and gives 0.
+    Thresholds are solved for at each step, whatever the share of each grade. With fewer than two grades
+    there is nothing to tell apart: the model has no thresholds and gives 0.
     """
     top = int(grades.max(initial=0))
     if not top or not len(grades[grades < top]):
@@ -135,27 +171,22 @@ def fit(features: Features, grades: np.ndarray, penalty: float = 1e-4, rounds: i
     x = _Rows(features)
     share = [np.clip((grades >= k).mean(), 1e-6, 1 - 1e-6) for k in range(1, top + 1)]
     thresholds = np.array([np.log((1 - p) / p) for p in share]) + 1e-3 * np.arange(top)
-    step = 1 / (0.3 * x.back(x.scores(np.ones(len(x.buckets)))) / x.n + 1e-9)  # of each weight; their bounds majorise the curvature
+    step = 1 / (0.5 * x.back(x.scores(np.ones(len(x.buckets)))) / x.n + 1e-9)  # of each weight; their bounds majorise the curvature
     weights = ahead = np.zeros(len(x.buckets))
     momentum, every = 1.0, np.arange(x.n)
     for _ in range(rounds):
         scores = x.scores(ahead)
+        thresholds = _settled(thresholds, scores, grades)
         above = np.ones((x.n, top + 2))
         above[:, 1:-1] = _logistic(scores[:, None] - thresholds[None, :])
         above[:, -1] = 0
-        low, high = above[every, grades], above[every, grades + 1]
-        chance = np.maximum(low - high, 1e-12)
-        slope = (low + high - 1) / x.n
+        slope = (above[every, grades] + above[every, grades + 1] - 1) / x.n
         moved = ahead - step * x.back(slope)
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
-        pull = np.zeros(top + 2)
-        np.add.at(pull, grades, low * (1 - low) / chance)
-        np.add.at(pull, grades + 1, -high * (1 - high) / chance)
-        thresholds = np.maximum.accumulate(thresholds - 4 * pull[1:-1] / x.n + 1e-9 * np.arange(top))
-        thresholds += 1e-6 * np.arange(top)
         following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         ahead = new + (momentum - 1) / following * (new - weights)
         weights, momentum = new, following
+    thresholds = _settled(thresholds, x.scores(weights), grades)
     some = np.flatnonzero(weights)
     return Model(thresholds.tolist(), dict(zip(x.buckets[some].tolist(), weights[some].tolist())))
 

@@ -431,6 +431,23 @@ def test_toxicity_on_held_out_texts(spark):
     assert mean[1] > 1 > 0.2 > mean[0]
 
 
+def test_toxicity_where_toxic_labels_are_common(spark):
+    rng = np.random.default_rng(6)
+
+    def text(toxic):
+        words = [f"{a}{b}" for a, b in zip(rng.choice(list("abcdefghijkl"), 40), rng.integers(10000, 10400, 40))]
+        telling = [w for w in ("vexgrunt", "zorkblat", "quimsnar") if rng.random() < 0.7] or ["zorkblat"]
+        return " ".join([*words, *telling] if toxic else words)
+
+    flags = [int(i % 20 < 9) for i in range(1600)]
+    docs = spark.createDataFrame([(i, text(f)) for i, f in enumerate(flags)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, f) for i, f in enumerate(flags) if i < 800], "doc_id long, toxic int"))
+    held = toxicity.with_severity(docs.where("doc_id >= 800"), model).collect()
+    caught = sum(not r.kept for r in held if flags[r.doc_id])
+    assert caught > 0.98 * sum(flags[800:])
+    assert sum(not r.kept for r in held if not flags[r.doc_id]) < 0.02 * (800 - sum(flags[800:]))
+
+
 def test_toxicity_of_awkward_rows(spark, docs):
     labels = spark.createDataFrame([(3, 1), (3, None), (None, 1), (4, 0), (4, 0), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
