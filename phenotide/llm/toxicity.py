@@ -208,14 +208,16 @@ def grades_from_flags(features: Features, flags: np.ndarray, grades: int = 3) ->
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", flag: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled texts, those whose keys hash lowest; labels are 0 or 1 in `flag`.
 
-    Rows without key or label do not count; a key labelled several times has its highest label. The
-    sample's size bounds what is sent to the texts and what comes back to the driver.
+    Rows without key or label do not count; a key labelled several times has its highest label, and one
+    of several rows or texts counts once, with the text whose hash is lowest. The sample's size bounds
+    what is sent to the texts and what comes back to the driver.
     """
     known = labels.where(F.col(flag).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(flag).cast("int")).alias("_flag"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(sample)
     texts = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_key").select("_key", "_flag", F.arrow_udf(_sparse, _SPARSE)("_text").alias("_x"))
-    found = rows.toArrow().sort_by("_key")
+    one = F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text")).alias("_one")
+    rows = texts.join(F.broadcast(chosen), "_key").groupBy("_key", "_flag").agg(one)
+    found = rows.select("_key", "_flag", F.arrow_udf(_sparse, _SPARSE)("_one._text").alias("_x")).toArrow().sort_by("_key")
     if not found.num_rows:
         return Model()
     features = Features.of_column(found.column("_x").combine_chunks())

@@ -448,6 +448,19 @@ def test_toxicity_where_toxic_labels_are_common(spark):
     assert sum(not r.kept for r in held if not flags[r.doc_id]) < 0.02 * (800 - sum(flags[800:]))
 
 
+def test_toxicity_counts_repeated_rows_of_a_key_once(spark, monkeypatch):
+    folder, sizes, fit = "/root/testdata/sf0.01", [], toxicity.fit
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "fit", lambda features, grades: (sizes.append(len(grades)), fit(features, grades))[1])
+    hot = labels.where("toxic = 1").orderBy(F.xxhash64("doc_id")).first().doc_id
+    repeats = docs.where(F.col("doc_id") == hot).crossJoin(spark.range(500)).drop("id")
+    once = toxicity.train(docs, labels, sample=150)
+    assert toxicity.train(docs.unionByName(repeats), labels, sample=150) == once and max(sizes) <= 150
+    other = docs.limit(50).withColumn("doc_id", F.lit(hot))  # several texts under a key are one row, in any order
+    both = [toxicity.train(x, labels) for x in (docs.unionByName(other), other.unionByName(docs).repartition(7))]
+    assert both[0] == both[1] and sizes[-1] == sizes[-2] == labels.where("toxic IS NOT NULL").select("doc_id").distinct().join(docs, "doc_id").count()
+
+
 def test_toxicity_of_awkward_rows(spark, docs):
     labels = spark.createDataFrame([(3, 1), (3, None), (None, 1), (4, 0), (4, 0), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
