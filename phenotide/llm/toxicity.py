@@ -28,7 +28,7 @@ from phenotide.llm.tokens import Remembering
 BUCKETS = 1 << 22
 PREFIXES = (4, 5)
 #: Labelled texts that the model is fitted on, at most: those whose ids hash lowest.
-SAMPLE = 4000
+SAMPLE = 6000
 #: Counts are divided by this power of the number of words.
 POWER = 0.35
 

@@ -461,6 +461,14 @@ def test_toxicity_counts_repeated_rows_of_a_key_once(spark, monkeypatch):
     assert both[0] == both[1] and sizes[-1] == sizes[-2] == labels.where("toxic IS NOT NULL").select("doc_id").distinct().join(docs, "doc_id").count()
 
 
+def test_toxicity_is_fitted_on_6000_labelled_texts(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda features, grades: sizes.append(len(grades)) or toxicity.Model())
+    docs = spark.range(6100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    toxicity.train(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
+    assert sizes == [6000]
+
+
 def test_toxicity_of_awkward_rows(spark, docs):
     labels = spark.createDataFrame([(3, 1), (3, None), (None, 1), (4, 0), (4, 0), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
