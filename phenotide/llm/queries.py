@@ -12,6 +12,7 @@ from phenotide.llm import (
     byte_bpe,
     kd_search,
     lookup_sharding,
+    merkle_manifest,
     packing,
     quality_rules,
     simhash,
@@ -99,6 +100,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is proven; those with an even crc32 of their key are checked without their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    values = ("doc_id", "source", "lang", "n_chars")
+    without_breaks = merkle_manifest.leaf_of(*values_of(values), F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, without_breaks)
+    leaves = docs.select("doc_id", "source", merkle_manifest.leaf_of(*values_of(values), F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    proven = merkle_manifest.prove(leaves, "doc_id", "source", "leaf", carry=("tampered",))
+    checked = proven.withColumn("folded_root", merkle_manifest.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256")
+    return checked.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def values_of(names: tuple[str, ...]) -> list:
+    return [F.col(x) for x in names]
+
+
 def op7_sql() -> str:
     """Placement in SQL. The lookup table is part of the text: one number per slot."""
     owners = ", ".join(map(str, lookup_sharding.lookup_table(SHARDS)))
@@ -128,6 +146,78 @@ OP1_SQL = """
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: A tree of digests per source and one over the sources, level by level; `sides` are a node's siblings.
+OP11_SQL = """
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, source, concat_ws('', {fields}) AS head, text, xor(list_reduce(
+            list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+        ), 4294967295) % 2 = 0 AS even
+        FROM documents
+    ),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+        FROM (SELECT *, sha256(head || {text}) AS leaf, sha256(head || {cut}) AS broken FROM docs)
+    ),
+    inner_tree AS (
+        SELECT source, 0 AS level, i, n, leaf AS h FROM leaves
+        UNION ALL
+        SELECT source, level + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM inner_tree WHERE n > 1 GROUP BY source, level, i // 3
+    ),
+    subroots AS (
+        SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, count(*) OVER () AS sources
+        FROM inner_tree WHERE n = 1
+    ),
+    outer_tree AS (
+        SELECT 0 AS level, place AS i, sources AS n, subroot AS h FROM subroots
+        UNION ALL
+        SELECT level + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM outer_tree WHERE n > 1 GROUP BY level, i // 3
+    ),
+    inner_sides AS (
+        SELECT t.source, t.level, t.i, any_value(t.n) AS n, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < t.i), '') AS l,
+               coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > t.i), '') AS r
+        FROM inner_tree t JOIN inner_tree o ON t.source IS NOT DISTINCT FROM o.source AND t.level = o.level AND t.i // 3 = o.i // 3
+        GROUP BY t.source, t.level, t.i
+    ),
+    outer_sides AS (
+        SELECT t.level, t.i, any_value(t.n) AS n, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < t.i), '') AS l,
+               coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > t.i), '') AS r
+        FROM outer_tree t JOIN outer_tree o ON t.level = o.level AND t.i // 3 = o.i // 3
+        GROUP BY t.level, t.i
+    ),
+    climb AS (
+        SELECT source, i AS row, 0 AS level, i, CASE WHEN even THEN broken ELSE leaf END AS h, '' AS proof FROM leaves
+        UNION ALL
+        SELECT c.source, c.row, c.level + 1, c.i // 3, sha256(s.l || c.h || s.r), c.proof || s.l || s.r
+        FROM climb c JOIN inner_sides s ON c.source IS NOT DISTINCT FROM s.source AND c.level = s.level AND c.i = s.i
+        WHERE s.n > 1
+    ),
+    tops AS (
+        SELECT c.source, c.row, c.h, c.proof, u.place
+        FROM climb c JOIN inner_sides s ON c.source IS NOT DISTINCT FROM s.source AND c.level = s.level AND c.i = s.i AND s.n = 1
+        JOIN subroots u ON c.source IS NOT DISTINCT FROM u.source
+    ),
+    rise AS (
+        SELECT source, row, 0 AS level, place AS i, h, proof FROM tops
+        UNION ALL
+        SELECT c.source, c.row, c.level + 1, c.i // 3, sha256(s.l || c.h || s.r), c.proof || s.l || s.r
+        FROM rise c JOIN outer_sides s ON c.level = s.level AND c.i = s.i
+        WHERE s.n > 1
+    )
+    SELECT l.doc_id, l.leaf, u.subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+    FROM leaves l JOIN subroots u ON l.source IS NOT DISTINCT FROM u.source
+    JOIN rise c ON c.source IS NOT DISTINCT FROM l.source AND c.row = l.i
+    JOIN outer_tree t ON t.n = 1 AND c.level = t.level
+"""
+
+
+def op11_sql() -> str:
+    def field(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    fields = ", ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    return OP11_SQL.format(fields=fields, text=field("text"), cut=field("replace(text, chr(10), '')"))
+
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
@@ -141,10 +231,11 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_byte_bpe,
         op9_toxicity,
         op10_token_files,
+        op11_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those queries that SQL expresses over whole tables; the others are tested against brute force."""
-    return {"op1_kd_search": OP1_SQL, "op7_sharding": op7_sql()}
+    return {"op1_kd_search": OP1_SQL, "op7_sharding": op7_sql(), "op11_merkle_manifest": op11_sql()}
