@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from phenotide.llm import (
     byte_bpe,
+    hard_negatives,
     kd_search,
+    license_scan,
     lookup_sharding,
     merkle_manifest,
     packing,
@@ -113,6 +115,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.with_licenses(docs)
+    return found.select("doc_id", *(f"licenses.{c}" for c in license_scan.RESULT.names if c != "detections"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh key are moved on by one before anything else."""
+    label = hard_negatives.relabelled(F.col("label"), "vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), kd_search.scaled(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def values_of(names: tuple[str, ...]) -> list:
     return [F.col(x) for x in names]
 
@@ -211,6 +226,32 @@ OP11_SQL = """
 """
 
 
+OP13_SQL = """
+    WITH whole AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+    ),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+               CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM whole a JOIN whole c ON a.vec_id <> c.vec_id
+        WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5
+"""
+
+
 def op11_sql() -> str:
     def field(value: str) -> str:
         return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
@@ -232,10 +273,12 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_toxicity,
         op10_token_files,
         op11_merkle_manifest,
+        op12_license_scan,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those queries that SQL expresses over whole tables; the others are tested against brute force."""
-    return {"op1_kd_search": OP1_SQL, "op7_sharding": op7_sql(), "op11_merkle_manifest": op11_sql()}
+    return {"op1_kd_search": OP1_SQL, "op7_sharding": op7_sql(), "op11_merkle_manifest": op11_sql(), "op13_hard_negatives": OP13_SQL}
