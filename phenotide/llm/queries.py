@@ -123,7 +123,7 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every seventh key are moved on by one before anything else."""
-    label = hard_negatives.relabelled(F.col("label"), "vec_id")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), kd_search.scaled(F.col("embedding")).alias("vector"))
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
