@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import product
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenotide.functions.normal import normal_cdf
+from phenotide.functions.normal import cdf_of, crossing, normal_cdf, quantile_of
 
 # Significance level and odds ratios of the standard grid.
 ALPHA = 1e-9
 ODDS_RATIOS = (1.5, 2.0, 3.0)
+POWER = 0.8
+# A far tail below this share of the power does not change it.
+NEGLIGIBLE = 1e-18
 
 
 def source_case_rates(sources: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -82,5 +86,81 @@ def association_power(
     )
 
 
-def _as_array(sources: DataFrame):
-    return sources.agg(F.collect_list(F.struct("source", "cases", "n")).alias("sources")).scalar()
+def association_solve(
+    variants: DataFrame,
+    sources: DataFrame,
+    unknown: str,
+    odds_ratios: Sequence[float] = ODDS_RATIOS,
+    alphas: Sequence[float] = (ALPHA,),
+    powers: Sequence[float] = (POWER,),
+    effect: str = "divide",
+) -> DataFrame:
+    """Any one of ``power``, ``alpha``, ``cases`` and ``odds_ratio`` of the two-sided normal test from the others.
+
+    One row for each variant (``maf`` and whatever names it), source (source, cases, n) and combination
+    of the given odds ratios, levels and powers: the columns of ``variants``, source, odds_ratio, alpha,
+    power, cases, n. The list of what is unknown is not used. Unknown cases keep the source's case rate, so
+    that n changes with them; they are the least number, not rounded, that reaches the power. An unknown
+    odds ratio is the one above 1. ``effect`` is as for ``association_power``.
+
+    The test's strength (its expected statistic) and its critical value decide everything. For unknown
+    cases and odds ratios the strength depends on level and power alone, so that the root is found once
+    per pair of these; for an unknown level it is found once per row, where the far tail counts at all.
+    What cannot be is null: frequencies, rates, levels or powers outside (0, 1), a power not above its
+    level, no effect where cases are asked for.
+    """
+    given = {"odds_ratio": odds_ratios, "alpha": alphas, "power": powers}
+    if unknown not in (*given, "cases"):
+        raise ValueError(f"unknown must be one of {sorted((*given, 'cases'))}, not {unknown!r}")
+    if effect not in ("divide", "multiply"):
+        raise ValueError(f"effect must be 'divide' or 'multiply', not {effect!r}")
+    given.pop(unknown, None)
+    rows = [tuple(map(float, row)) for row in product(*given.values())]
+    designs = variants.sparkSession.createDataFrame(rows, ", ".join(f"{name} double" for name in given))
+    if "alpha" in given:
+        designs = designs.withColumn("critical", -quantile_of(F.col("alpha") / 2))
+    if unknown in ("cases", "odds_ratio"):
+        designs = designs.withColumn("strength", _strength_for(F.col("critical"), F.col("alpha"), F.col("power")))
+    grid = variants.select("*", F.inline(_as_array(sources))).select("*", F.inline(_as_array(designs, designs.columns)))
+    maf, cases, n = F.col("maf"), F.col("cases").cast("double"), F.col("n").cast("double")
+    spread = F.sqrt(2 * maf * (1 - maf))
+    defined = (cases > 0) & (cases < n) & (maf > 0) & (maf < 1)
+    grid = grid.withColumns({"cases": F.when(defined, cases), "n": F.when(defined, n), "spread": F.when(defined, spread)})
+    effective, rate = F.col("cases") * (F.col("n") - F.col("cases")) / F.col("n"), F.col("cases") / F.col("n")
+    per_root = 1 / F.col("spread") if effect == "divide" else F.col("spread")
+    size = F.abs(F.log("odds_ratio")) * per_root
+    if unknown == "cases":
+        needed = F.pow(F.col("strength") / F.nullif(size, F.lit(0.0)), F.lit(2)) / (1 - rate)
+        solved = grid.withColumns({"cases": needed, "n": needed / rate})
+    elif unknown == "odds_ratio":
+        solved = grid.withColumn("odds_ratio", F.exp(F.col("strength") / (per_root * F.sqrt(effective))))
+    elif unknown == "power":
+        strong = grid.withColumn("strength", size * F.sqrt(effective))
+        solved = strong.withColumn("power", _two_sided(F.col("strength"), F.col("critical")))
+    else:
+        strong = grid.withColumn("strength", size * F.sqrt(effective)).withColumn("critical", _critical_for(F.col("strength"), F.col("power")))
+        solved = strong.withColumn("alpha", 2 * cdf_of(-F.col("critical")))
+    names = [*variants.columns, "source", "odds_ratio", "alpha", "power", "cases", "n"]
+    return solved.select(*names)
+
+
+def _two_sided(strength: Column, critical: Column) -> Column:
+    return cdf_of(strength - critical) + cdf_of(-critical - strength)
+
+
+def _strength_for(critical: Column, alpha: Column, power: Column) -> Column:
+    """The strength that reaches a power: the near tail alone would need more, twice the near tail less."""
+    low, high = F.greatest(critical + quantile_of(power / 2), F.lit(0.0)), critical + quantile_of(power)
+    return F.when(power > alpha, crossing(low, high, lambda x: _two_sided(x, critical) < power))
+
+
+def _critical_for(strength: Column, power: Column) -> Column:
+    """The critical value at which a strength has a power, bracketed in the same way."""
+    near = strength - quantile_of(power)
+    low, high = F.greatest(near, F.lit(0.0)), strength - quantile_of(power / 2)
+    whole = crossing(low, high, lambda x: _two_sided(strength, x) > power)
+    return F.when(cdf_of(-near - strength) < NEGLIGIBLE * power, near).otherwise(whole)
+
+
+def _as_array(table: DataFrame, names: Sequence[str] = ("source", "cases", "n")) -> Column:
+    return table.agg(F.collect_list(F.struct(*names)).alias("rows")).scalar()

@@ -131,6 +131,66 @@ SELECT variant_id, maf, source, odds_ratio,
 FROM tails"""
 
 
+def _tail(z: str) -> str:
+    """P(Z > z) for z >= 0 at full precision: a series near the centre, a continued fraction in the tail."""
+    fraction = f"list_reduce(list_prepend({z}, list_transform(range(200, 0, -1), lambda k: CAST(k AS DOUBLE))), lambda a, k: {z} + k / a)"
+    return f"CASE WHEN {z} < 2 THEN {_upper_tail(z)} ELSE exp(-{z} * {z} / 2) / sqrt(2 * pi()) / {fraction} END"
+
+
+def _bisected(name: str, start: str, keys: str, is_below: str) -> str:
+    """Recursive halving of [lo, hi] of the rows of ``start``; x holds the middle, za and zb are sizes to be set by ``is_below``."""
+    return f"""
+{name}_steps AS (
+  SELECT *, 0 AS step FROM ({start}) s
+  UNION ALL
+  SELECT {keys}, CASE WHEN below THEN x ELSE lo END AS lo, CASE WHEN below THEN hi ELSE x END AS hi, step + 1 AS step
+  FROM (SELECT *, {is_below} AS below FROM (SELECT *, (lo + hi) / 2 AS x FROM {name}_steps WHERE step < 60) m) b),
+{name} AS (SELECT {keys}, (lo + hi) / 2 AS x FROM {name}_steps WHERE step = 60)"""
+
+
+def _both_tails(strength: str, critical: str) -> str:
+    far, near = f"({critical} + {strength})", f"abs({critical} - {strength})"
+    return f"(CASE WHEN {strength} > {critical} THEN 1 - ({_tail(near)}) ELSE ({_tail(near)}) END + ({_tail(far)}))"
+
+
+def _solve() -> str:
+    designs = "SELECT a::DOUBLE AS alpha, p::DOUBLE AS power FROM (VALUES (1e-9, 0.8), (1e-9, 0.06), (0.05, 0.8), (0.05, 0.06), (5e-8, 0.9), (0.05, 0.9)) v(a, p)"
+    criticals = _bisected("criticals", f"SELECT DISTINCT alpha, 0::DOUBLE AS lo, 8::DOUBLE AS hi FROM ({designs}) d", "alpha", f"2 * ({_tail('x')}) > alpha")
+    strengths = _bisected(
+        "strengths", f"SELECT alpha, power, c.x AS c, 0::DOUBLE AS lo, c.x + 8 AS hi FROM ({designs}) d JOIN criticals c USING (alpha)",
+        "alpha, power, c", f"{_both_tails('x', 'c')} < power",
+    )
+    levels = _bisected(
+        "levels",
+        """SELECT DISTINCT maf, source, odds_ratio, abs(ln(odds_ratio)) / sqrt(2 * maf * (1 - maf)) * sqrt(CAST(cases AS DOUBLE) * (n - cases) / n) AS t,
+  0::DOUBLE AS lo, abs(ln(odds_ratio)) / sqrt(2 * maf * (1 - maf)) * sqrt(CAST(cases AS DOUBLE) * (n - cases) / n) + 2 AS hi
+  FROM fx_variants, known, (VALUES (1.01::DOUBLE), (2::DOUBLE)) r(odds_ratio)""",
+        "maf, source, odds_ratio, t", f"{_both_tails('t', 'x')} > 0.8",
+    )
+    return f"""
+WITH RECURSIVE rates AS ({_RATES}),
+known AS (SELECT source, CAST(cases AS DOUBLE) AS cases, CAST(n AS DOUBLE) AS n FROM rates WHERE cases > 0 AND cases < n),
+every AS (SELECT source, CASE WHEN cases > 0 AND cases < n THEN CAST(cases AS DOUBLE) END AS cases,
+  CASE WHEN cases > 0 AND cases < n THEN CAST(n AS DOUBLE) END AS n FROM rates),
+{criticals},
+{strengths},
+{levels},
+solved AS (
+  SELECT variant_id, maf, source, odds_ratio, alpha, power, needed AS cases, needed * n / cases AS n
+  FROM (SELECT *, pow(s.x * sqrt(2 * maf * (1 - maf)) / ln(odds_ratio), 2) * n / (n - cases) AS needed
+    FROM fx_variants, every, (VALUES (0.5::DOUBLE), (1.5::DOUBLE)) r(odds_ratio), (VALUES (1e-9::DOUBLE, 0.8::DOUBLE), (1e-9, 0.06), (0.05, 0.8), (0.05, 0.06)) d(alpha, power)
+    JOIN strengths s USING (alpha, power)) q
+  UNION ALL
+  SELECT variant_id, maf, source, exp(s.x * sqrt(2 * maf * (1 - maf)) / sqrt(cases * (n - cases) / n)), alpha, power, cases, n
+  FROM fx_variants, every, (VALUES (5e-8::DOUBLE, 0.9::DOUBLE), (0.05, 0.9)) d(alpha, power) JOIN strengths s USING (alpha, power)
+  UNION ALL
+  SELECT variant_id, v.maf, e.source, r.odds_ratio, 2 * ({_tail("l.x")}), 0.8, cases, n
+  FROM fx_variants v CROSS JOIN every e CROSS JOIN (VALUES (1.01::DOUBLE), (2::DOUBLE)) r(odds_ratio)
+  LEFT JOIN levels l ON l.maf = v.maf AND l.source = e.source AND l.odds_ratio = r.odds_ratio)
+SELECT variant_id, maf, source, round(odds_ratio, 6) AS odds_ratio, round(alpha, 9) AS alpha, round(power, 6) AS power,
+  round(cases, 3) AS cases, round(n, 3) AS n FROM solved"""
+
+
 _CALLS = """
 SELECT g.eid, g.chrom, g.pos, s.weight,
   CASE WHEN s.effect_allele = g.allele1 THEN g.allele1_count ELSE 2 - g.allele1_count END AS calls
@@ -263,6 +323,7 @@ FROM ({_CALLS}) c WHERE calls IS NOT NULL GROUP BY eid""",
     # The quantiles are those of alpha = 1e-9 and 0.05, two-sided.
     "association_power": _power([1.5, 2, 3], 6.109410204869, "/"),
     "association_power_multiplied": _power([0.5, 1.2, 4], 1.959963984540054, "*"),
+    "association_solve": _solve(),
     "extract_fields": "SELECT eid, "
     + ", ".join(f'{name} AS "Title of {name}"' for name in [*_ILLNESS, *_TREATMENT])
     + " FROM fx_selfreport_participant",

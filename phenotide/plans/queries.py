@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,6 +168,21 @@ def association_power_multiplied(t: Tables) -> DataFrame:
     return grid.withColumn("power", F.round("power", 6))
 
 
+def association_solve(t: Tables) -> DataFrame:
+    """The cases, the odds ratio and the level that a test needs, one after the other."""
+    sources = source_case_rates(t).drop("case_rate")
+    solved = reduce(
+        DataFrame.unionByName,
+        [
+            power.association_solve(t.variants, sources, "cases", odds_ratios=(0.5, 1.5), alphas=(1e-9, 0.05), powers=(0.8, 0.06)),
+            power.association_solve(t.variants, sources, "odds_ratio", alphas=(5e-8, 0.05), powers=(0.9,)),
+            power.association_solve(t.variants, sources, "alpha", odds_ratios=(1.01, 2.0), powers=(0.8,)),
+        ],
+    )
+    digits = {"odds_ratio": 6, "alpha": 9, "power": 6, "cases": 3, "n": 3}
+    return solved.withColumns({name: F.round(name, n) for name, n in digits.items()})
+
+
 def extract_fields(t: Tables) -> DataFrame:
     dictionary = t.field_dictionary.withColumn("title", F.concat(F.lit("Title of "), "name"))
     return fields.extract_fields(
@@ -226,6 +242,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         source_case_rates,
         association_power,
         association_power_multiplied,
+        association_solve,
         extract_fields,
         append_fields,
         fields_for_id,
