@@ -7,7 +7,6 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +74,15 @@ class ByteBpe:
 
         self._pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self._hash = PerfectHash(list(ranks))
-        self._id_at = [ranks[k] if k is not None else -1 for k in self._hash.key_at]
-        self._ranks = ranks
-        self._pieces = Remembering(self._encode_pieces)
+        self._packed_at = [struct.pack("<I", ranks[k]) if k is not None else b"" for k in self._hash.key_at]
+        self._byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # The rank of two neighbouring parts by their ids: every way to cut an entry into two entries.
+        self._joined: list[dict[int, int]] = [{} for _ in range(max(ranks.values(), default=0) + 1)]
+        for k, r in ranks.items():
+            for i in range(1, len(k)):
+                if (left := ranks.get(k[:i])) is not None and (right := ranks.get(k[i:])) is not None:
+                    self._joined[left][right] = r
+        self._merged = Remembering(self._encode_pieces)
         self._bare = Remembering(self._encode_chunks)
         self._spaced = Remembering(lambda chunks: self._encode_chunks([x if x[:1] == "\n" else " " + x for x in chunks]))
         top = max(ranks.values(), default=-1) + 1
@@ -88,48 +93,63 @@ class ByteBpe:
         self._starts = np.concatenate([[0], np.cumsum(self._lengths)])
         self._all = np.frombuffer(b"".join(self._bytes), np.uint8)
 
-    def rank(self, piece: bytes) -> int:
-        s = self._hash.slot(piece)
-        return -1 if s < 0 else self._id_at[s]
-
     def merge(self, piece: bytes) -> list[int]:
-        """Join the pair of lowest rank, the leftmost of equals, until no pair has a rank."""
-        n, rank = len(piece), self._ranks.get
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # end of the part that starts here; start of the part before it
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        """Join the pair of lowest rank, the leftmost of equals, until no pair has a rank.
+
+        Parts are linked by their starts and hold their ids, which are the ranks of their bytes. The heap
+        holds a pair as its rank and start; it is stale unless `now` still has that rank for that start.
+        """
+        n, joined = len(piece), self._joined
+        part = [self._byte_ids[b] for b in piece]
+        now = [joined[a].get(b, -1) for a, b in zip(part, part[1:])]
+        now.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        shift = n.bit_length()
+        start_of = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(now) if r >= 0]
         heapify(heap)
         while heap:
-            _, i, stop = heappop(heap)
-            middle = end[i]
-            if not 0 < middle < n or end[middle] != stop:  # parts that are gone have end 0
+            top = heappop(heap)
+            i = top & start_of
+            r = top >> shift
+            if now[i] != r:
                 continue
-            end[i], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = i
-                last = end[stop]
-                if (r := rank(piece[i:last])) is not None:
-                    heappush(heap, (r, i, last))
-            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
-                heappush(heap, (r, p, stop))
+            j = after[i]
+            after[i] = k = after[j]
+            now[j] = now[i] = -1
+            part[i] = r
+            if k < n:
+                before[k] = i
+                if (q := joined[r].get(part[k], -1)) >= 0:
+                    now[i] = q
+                    heappush(heap, q << shift | i)
+            if i and (h := before[i]) >= 0:
+                now[h] = q = joined[part[h]].get(r, -1)
+                if q >= 0:
+                    heappush(heap, q << shift | h)
         out, i = [], 0
         while i < n:
-            out.append(rank(piece[i : end[i]]))
-            i = end[i]
+            out.append(part[i])
+            i = after[i]
         return out
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that are no whole entries of the vocabulary."""
         out = []
-        for piece in map(str.encode, pieces):
-            i = self.rank(piece)
-            ids = [i] if i >= 0 else self.merge(piece)
+        for piece in pieces:
+            ids = self.merge(piece.encode())
             out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The matches of all chunks at once, each distinct one encoded once."""
+        """The matches of all chunks at once: those the hash knows, then the others, each distinct one merged once."""
         split = [self._pattern.findall(x) for x in chunks]
-        values = self._pieces.values([x for pieces in split for x in pieces])
-        return [b"".join(islice(values, len(pieces))) for pieces in split]
+        whole, slot = {}, self._hash.slot
+        for piece in {x for pieces in split for x in pieces}:
+            if (s := slot(piece.encode())) >= 0:
+                whole[piece] = self._packed_at[s]
+        merged = self._merged.values([x for pieces in split for x in pieces if x not in whole])
+        return [b"".join([whole[x] if x in whole else next(merged) for x in pieces]) for pieces in split]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -17,6 +17,9 @@ from phenotide.llm.tokens import flat, lists, tokenizer
 #: Bytes of a row group and of a page. Small pages make the page index selective.
 ROW_GROUP = 32 << 20
 PAGE = 64 << 10
+#: Rows that go to a Python worker at a time: whole texts wait beside sorters and writers.
+BATCH = 512
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _encoder(path: str, end_id: int):
@@ -68,7 +71,12 @@ def write_tokens(
     writer = tokens.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true")
     for column in delta:
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
-    writer.option("parquet.block.size", row_group).option("parquet.page.size", page).parquet(folder)
+    spark, usual = docs.sparkSession, docs.sparkSession.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(BATCH))
+    try:
+        writer.option("parquet.block.size", row_group).option("parquet.page.size", page).parquet(folder)
+    finally:
+        spark.conf.set(_BATCH_CONF, usual)
 
 
 def read_tokens(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("shard", "doc_id", "shard_start", "n_tokens", "ids")) -> DataFrame:

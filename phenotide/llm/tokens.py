@@ -10,16 +10,17 @@ import os
 import re
 import struct
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker remembers; beyond, it forgets the later half. Longer chunks are not remembered.
-REMEMBERED = 700_000
-#: Of a word tokenizer, which remembers words with and without the marks behind them.
-REMEMBERED_WORDS = 250_000
+#: Bytes of the chunks that a worker remembers of a kind, with their values, about. Longer chunks are not remembered.
+REMEMBERED = 160 << 20
 LONGEST = 64
+#: Of a word tokenizer, which remembers words with and without the marks behind them.
+REMEMBERED_WORDS = 80 << 20
+#: What an entry takes besides its characters and its value.
+ENTRY = 200
 
 _ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -40,22 +41,36 @@ def spaced_chunks(text: str) -> tuple[str, list[str]]:
 
 
 class Remembering:
-    """Maps chunks to values and remembers the values of short ones."""
+    """Maps chunks to values and remembers the values of short ones.
 
-    def __init__(self, compute, most: int = REMEMBERED) -> None:
-        self._compute, self._most = compute, most
-        self.known: dict[str, object] = {}
+    There are two generations, each of half the room. A chunk that is met again moves to the young one; when
+    that is full it becomes the old one, and what was not met since goes.
+    """
+
+    def __init__(self, compute, room: int = REMEMBERED) -> None:
+        self._compute, self._most = compute, room // 2
+        self.known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        self._held = 0
 
     def values(self, chunks: list[str]):
         """The value of each chunk, in order."""
-        if len(self.known) > self._most:  # those met first are the frequent ones
-            self.known = dict(islice(self.known.items(), self._most // 2))
-        known = self.known
-        new = [x for x in set(chunks).difference(known)]
+        if self._held > self._most:
+            self._before, self.known, self._held = self.known, {}, 0
+        known, before = self.known, self._before
+        new = set(chunks).difference(known)
+        if not new:
+            return map(known.__getitem__, chunks)
+        if before and (again := [x for x in new if x in before]):
+            new.difference_update(again)
+            known.update((x, before[x]) for x in again)
+            self._held += ENTRY * len(again)
         if not new:
             return map(known.__getitem__, chunks)
         short = [x for x in new if len(x) <= LONGEST]
-        known.update(zip(short, self._compute(short)))
+        values = self._compute(short)
+        known.update(zip(short, values))
+        self._held += ENTRY * len(short) + sum(map(len, values))
         if len(short) == len(new):
             return map(known.__getitem__, chunks)
         long = [x for x in new if len(x) > LONGEST]
@@ -81,7 +96,7 @@ class Tokenizer:
         self._bare = Remembering(self._ids_of, REMEMBERED_WORDS)
         self._spaced = Remembering(lambda chunks: self._ids_of([x if x[:1] == "\n" else " " + x for x in chunks]))
         self._cores = Remembering(self._core_ids, REMEMBERED_WORDS)
-        self._tails = Remembering(self._whole, REMEMBERED_WORDS)
+        self._tails = Remembering(self._whole, REMEMBERED_WORDS // 8)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
@@ -115,14 +130,17 @@ class Tokenizer:
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self._added is not None and self._added.search(text):
-            return self._whole([text])[0]
+        lowered = text
         if self.drops_space:
             try:
                 text.encode("latin-1")
-                text = text.lower()  # here as the library does, which puts upper case into lower case itself
+                lowered = text.lower()  # here as the library does, which puts upper case into lower case itself
             except UnicodeEncodeError:
                 pass
+        if self._added is not None and self._added.search(lowered):  # an added token, or what would become one
+            return self._whole([text])[0]
+        if self.drops_space:
+            text = lowered
             return b"".join(self._bare.values(text.replace("\n", " ").split(" ")))
         first, rest = spaced_chunks(text)
         return b"".join(self._bare.values([first])) + b"".join(self._spaced.values(rest))

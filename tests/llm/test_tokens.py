@@ -11,10 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from phenotide.llm.byte_bpe import PerfectHash, coder, read_ranks
-from phenotide.llm.tokens import tokenizer
+from phenotide.llm.tokens import ENTRY, Remembering, tokenizer
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
-PIECES = ["a", "The", "don't", "we'll", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "​", ".", "...", ",", "'s", "'S", "é", "é", "Über", "ß", "ΣΑΣ", "12", "3", "½", "日本", "🙂", "_", "<|endoftext|>", "<|startoftext|>", "heonanin", "THERE!!", "﻿", "İ"]
+PIECES = ["a", "The", "don't", "we'll", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "​", ".", "...", ",", "'s", "'S", "é", "é", "Über", "ß", "ΣΑΣ", "12", "3", "½", "日本", "🙂", "_", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartofText|>x", "<|endoftext", "|>", "heonanin", "THERE!!", "﻿", "İ"]
 mixed = st.lists(st.sampled_from(PIECES) | st.text(max_size=4), max_size=30).map("".join)
 
 
@@ -57,3 +57,23 @@ def test_perfect_hash_is_minimal_and_knows_its_keys():
     assert sorted(found.slot(k) for k in keys) == list(range(5000))
     assert found.slot(b"none") == -1
     assert PerfectHash([]).slot(b"x") == -1
+
+
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "É <|Startoftext|>É", "日 <|ENDOFTEXT|>", "<|endoftext|> <|ENDOFTEXT|>"])
+def test_special_strings_in_capitals_are_text(reference, text):
+    for name, library_ in reference.items():
+        assert tokenizer(P.path(name)).ids(text).tolist() == library_.encode(text, add_special_tokens=False).ids
+
+
+def test_remembering_keeps_to_its_room_and_what_is_met_again():
+    computed = []
+
+    def compute(chunks):
+        computed.extend(chunks)
+        return [x.encode() for x in chunks]
+
+    own = Remembering(compute, room=40 * (ENTRY + 4))
+    for i in range(300):
+        assert list(own.values(["often", f"w{i}", "often", "x" * 100])) == [b"often", f"w{i}".encode(), b"often", b"x" * 100]
+        assert len(own.known) + len(own._before) <= 42
+    assert computed.count("often") == 1 and computed.count("w7") == 1
