@@ -42,8 +42,7 @@ def op1_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORDS, end_id=1)
-    crc = token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32")
-    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
