@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import cache
 from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenotide.functions.names import literal_col
+
 #: Rows that a Python worker turns into Python objects at a time.
 ROWS_AT_ONCE = 256
 
@@ -21,15 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary one is set.
+    Where the session names none, a session on one machine takes a temporary one, as in tests; on a cluster
+    that is an error, as each executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='llm-')}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: cut lineage that outlives executors."""
     path = shared_folder(df.sparkSession, name)
@@ -48,11 +58,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(at, rows)
 
 
-def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """docs with every column but the needed ones under a working name, and the way back to their columns.
 
-    An operator between the two cannot clash with the names of columns that are none of its business.
+    An operator between the two cannot clash with the names of columns that are none of its business. The
+    way back takes the names of the columns that the operator added; of docs it replaces those of these names.
     """
     working = {c: c if c in needed else f"_own_{i}" for i, c in enumerate(docs.columns)}
-    apart = docs.select(*(F.col(f"`{c}`").alias(w) for c, w in working.items()))
-    return apart, lambda found: found.select(*(F.col(w).alias(c) for c, w in working.items()))
+    apart = docs.select(*(literal_col(c).alias(w) for c, w in working.items()))
+
+    def back(found: DataFrame, *added: str) -> DataFrame:
+        own = [literal_col(w).alias(c) for c, w in working.items() if c not in added]
+        return found.select(*own, *(literal_col(c) for c in added))
+
+    return apart, back

@@ -49,8 +49,8 @@ class Remembering:
 
     def __init__(self, compute, room: int = REMEMBERED) -> None:
         self._compute, self._most = compute, room // 2
-        self.known: dict[str, bytes] = {}
-        self._before: dict[str, bytes] = {}
+        self.known: dict[str, object] = {}
+        self._before: dict[str, object] = {}
         self._held = 0
 
     def values(self, chunks: list[str]):
@@ -70,7 +70,7 @@ class Remembering:
         short = [x for x in new if len(x) <= LONGEST]
         values = self._compute(short)
         known.update(zip(short, values))
-        self._held += ENTRY * len(short) + sum(map(len, values))
+        self._held += ENTRY * len(short) + sum(len(x) for x in values if isinstance(x, bytes))
         if len(short) == len(new):
             return map(known.__getitem__, chunks)
         long = [x for x in new if len(x) > LONGEST]
@@ -91,6 +91,7 @@ class Tokenizer:
 
         self._library = Library.from_file(path)
         self.drops_space = self._library.model.end_of_word_suffix is not None
+        self.normalizer = self._library.normalizer
         added = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._bare = Remembering(self._ids_of, REMEMBERED_WORDS)
@@ -145,6 +146,13 @@ class Tokenizer:
         first, rest = spaced_chunks(text)
         return b"".join(self._bare.values([first])) + b"".join(self._spaced.values(rest))
 
+    def normal_form(self, text: str) -> str:
+        """What the normaliser makes of a text, if that has the same tokens; see token_counts.normal_form."""
+        made = self.normalizer.normalize_str(text)
+        if self._added is not None and (self._added.search(text) or self._added.search(made)):
+            return text
+        return made if self.normalizer.normalize_str(made) == made else text
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), "<u4")
 
