@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenotide.llm.common import ROWS_AT_ONCE, text_of
+from phenotide.llm.common import ROWS_AT_ONCE, set_aside, text_of
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -84,5 +84,6 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     lines with a word that equal an earlier line; n_repeat_words words in an eight-word window that
     occurs twice or more.
     """
-    counted = docs.drop(*COUNTS, "_statistics").withColumn("_statistics", _statistics(text_of(text)))
-    return counted.select(*[c for c in counted.columns if c != "_statistics"], "_statistics.*")
+    rows, back = set_aside(docs, text)
+    counted = rows.withColumn("_statistics", _statistics(text_of(text))).select("*", "_statistics.*")
+    return back(counted, *COUNTS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenotide.llm.common import ROWS_AT_ONCE, text_of
+from phenotide.llm.common import ROWS_AT_ONCE, set_aside, text_of
 from phenotide.llm.tokens import Remembering
 
 BUCKETS = 1 << 22
@@ -106,15 +106,14 @@ class Features:
 
 
 class _Rows:
-    """The buckets that occur in more than one row."""
+    """Features with the buckets in use numbered from 0."""
 
     def __init__(self, features: Features) -> None:
         self.n = len(features.ends) - 1
-        used = np.bincount(features.ids, minlength=BUCKETS) > 1
-        self.buckets = np.flatnonzero(used)
-        kept = used[features.ids]
-        self.rows, self.values = features.rows()[kept], features.values[kept]
-        self.columns = np.searchsorted(self.buckets, features.ids[kept]).astype(np.int32)
+        number = np.zeros(BUCKETS, np.int32)
+        self.buckets = np.flatnonzero(np.bincount(features.ids, minlength=BUCKETS))
+        number[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
+        self.rows, self.values, self.columns = features.rows(), features.values, number[features.ids]
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.values * weights[self.columns], self.n)
@@ -159,11 +158,12 @@ def _settled(thresholds: np.ndarray, scores: np.ndarray, grades: np.ndarray) ->
     return thresholds
 
 
-def fit(features: Features, grades: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> Model:
+def fit(features: Features, grades: np.ndarray, penalty: float = 1e-4, rounds: int = 400, tolerance: float = 1e-4) -> Model:
     """Proximal gradient steps with momentum on the mean negative log-likelihood; grades are 0, 1, 2 and so on.
 
     Thresholds are solved for at each step, whatever the share of each grade. With fewer than two grades
-    there is nothing to tell apart: the model has no thresholds and gives 0.
+    there is nothing to tell apart: the model has no thresholds and gives 0. Every feature takes part;
+    the penalty decides which weigh. Steps end when no weight moves by `tolerance`, or after `rounds`.
     """
     top = int(grades.max(initial=0))
     if not top or not len(grades[grades < top]):
@@ -185,24 +185,35 @@ def fit(features: Features, grades: np.ndarray, penalty: float = 1e-4, rounds: i
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
         following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         ahead = new + (momentum - 1) / following * (new - weights)
+        moved_by = np.abs(new - weights).max(initial=0)
         weights, momentum = new, following
+        if moved_by < tolerance:
+            break
     thresholds = _settled(thresholds, x.scores(weights), grades)
     some = np.flatnonzero(weights)
     return Model(thresholds.tolist(), dict(zip(x.buckets[some].tolist(), weights[some].tolist())))
 
 
 def grades_from_flags(features: Features, flags: np.ndarray, grades: int = 3) -> np.ndarray:
-    """Grades of texts that are only flagged: 0 without the flag; flagged ones in `grades` equal parts by how much of them are features typical of flagged texts."""
+    """Grades of texts that are only flagged: 0 without the flag; flagged ones in `grades` parts by rank of their load.
+
+    The load adds up what features say for the flag: their smoothed log-odds less two standard errors, where
+    that is positive, so that a rare feature says little without any limit on its count. Equal loads share
+    their middle rank, so that equal texts have equal grades, however few are flagged.
+    """
     flags = flags.astype(bool)
     if not flags.any():
         return np.zeros(len(flags), np.int64)
     rows = features.rows()
-    with_flag, without = (np.bincount(features.ids[own[rows]], minlength=BUCKETS) for own in (flags, ~flags))
-    odds = np.log((with_flag + 0.5) / (flags.sum() + 1)) - np.log((without + 0.5) / ((~flags).sum() + 1))
-    typical = (odds > 3) & (with_flag >= 5)
-    load = np.bincount(rows, features.values * typical[features.ids], len(flags))
-    cuts = np.quantile(load[flags], np.arange(1, grades) / grades)
-    return np.where(flags, 1 + np.searchsorted(cuts, load, side="right"), 0)
+    with_flag, without = (np.bincount(features.ids[own[rows]], minlength=BUCKETS) + 0.5 for own in (flags, ~flags))
+    odds = np.log(with_flag / (flags.sum() + 1)) - np.log(without / ((~flags).sum() + 1))
+    sure = np.maximum(0, odds - 2 * np.sqrt(1 / with_flag + 1 / without))
+    load = np.round(np.bincount(rows, features.values * sure[features.ids], len(flags))[flags], 9)
+    ordered = np.sort(load)
+    middle = (np.searchsorted(ordered, load, "left") + np.searchsorted(ordered, load, "right")) / 2 / len(load)
+    out = np.zeros(len(flags), np.int64)
+    out[flags] = 1 + np.minimum(grades - 1, np.floor(grades * middle)).astype(np.int64)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", flag: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -244,12 +255,15 @@ def with_severity(docs: DataFrame, model: Model, text: str = "text", reject: flo
 
     score.__annotations__ = {"column": pa.Array, "return": pa.Array}
     reached = [1 / (1 + F.exp(F.lit(t) - F.col("_score"))) for t in thresholds]
-    rows = docs.drop("expected_severity", "p_toxic", "grade", "kept")
+    rows, back = set_aside(docs, text)
     scored = rows.withColumn("_score", F.arrow_udf(score, T.DoubleType())(text_of(text)))
-    return scored.select(
-        *rows.columns,
-        sum(reached, F.lit(0.0)).alias("expected_severity"),
-        (reached[0] if reached else F.lit(0.0)).alias("p_toxic"),
-        sum([(p >= 0.5).cast("int") for p in reached], F.lit(0)).alias("grade"),
-        ((reached[0] if reached else F.lit(0.0)) < reject).alias("kept"),
+    first = reached[0] if reached else F.lit(0.0)
+    found = scored.withColumns(
+        {
+            "expected_severity": sum(reached, F.lit(0.0)),
+            "p_toxic": first,
+            "grade": sum([(p >= 0.5).cast("int") for p in reached], F.lit(0)),
+            "kept": first < reject,
+        }
     )
+    return back(found, "expected_severity", "p_toxic", "grade", "kept")
