@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenotide.llm.common import ROWS_AT_ONCE, stored, text_of
+from phenotide.llm.common import ROWS_AT_ONCE, set_aside, stored, text_of
 from phenotide.llm.components import components
 
 SEED = 42
@@ -269,7 +269,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     Rows of the same key are told apart by their text; of rows equal in both, any one stays.
     """
-    printed = stored(with_fingerprint(docs, text, width), "fingerprints")
+    apart, back = set_aside(docs, key, text)
+    printed = stored(with_fingerprint(apart, text, width), "fingerprints")
     rows = printed.select("fingerprint", F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_text"))
     counted = rows.groupBy("fingerprint", "_key", "_text").agg(F.count(F.lit(1)).alias("_n"))
     order = F.struct(F.col("_key").isNull().alias("a"), F.col("_key").alias("b"), F.col("_text").alias("c"), F.col("fingerprint").alias("d"))
@@ -278,7 +279,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     kept = _matching(printed, first, key, text)
     single = kept.where("_n = 1")
     several = kept.where("_n > 1").dropDuplicates(["fingerprint"])
-    return single.unionByName(several).select(*docs.columns)
+    return back(single.unionByName(several))
 
 
 def _matching(printed: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenotide.llm.common import slices, stored, text_of
+from phenotide.llm.common import set_aside, slices, stored, text_of
 
 LENGTH = 200
 GRAM = 48
@@ -363,9 +363,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     without the characters that lost some of their bytes.
     """
     spans = _spans(docs, text, length, gram, most).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
-    rows = docs.drop("removed", "_spans", "_key").withColumn("_key", F.unhex(F.md5(text_of(text))))
-    joined = rows.join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.withColumn("removed", _remover(as_text)(text_of(text), F.col("_spans"))).drop("_key", "_spans")
+    rows, back = set_aside(docs, text)
+    joined = rows.withColumn("_key", F.unhex(F.md5(text_of(text)))).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
+    return back(joined.withColumn("removed", _remover(as_text)(text_of(text), F.col("_spans"))), "removed")
 
 
 def repeat_groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
