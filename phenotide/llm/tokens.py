@@ -17,8 +17,6 @@ import pyarrow as pa
 #: Bytes of the chunks that a worker remembers of a kind, with their values, about. Longer chunks are not remembered.
 REMEMBERED = 160 << 20
 LONGEST = 64
-#: Of a word tokenizer, which remembers words with and without the marks behind them.
-REMEMBERED_WORDS = 80 << 20
 #: What an entry takes besides its characters and its value.
 ENTRY = 200
 
@@ -70,13 +68,25 @@ class Remembering:
         short = [x for x in new if len(x) <= LONGEST]
         values = self._compute(short)
         known.update(zip(short, values))
-        self._held += ENTRY * len(short) + sum(len(x) for x in values if isinstance(x, bytes))
+        self._held += ENTRY * len(short)
+        if values and isinstance(values[0], bytes):
+            self._held += sum(map(len, values))
         if len(short) == len(new):
             return map(known.__getitem__, chunks)
         long = [x for x in new if len(x) > LONGEST]
         extra = dict(zip(long, self._compute(long)))
         return (extra[x] if x in extra else known[x] for x in chunks)
 
+    def met(self, chunk: str):
+        """The value of a chunk, None if it is not remembered."""
+        value = self.known.get(chunk)
+        return self._before.get(chunk) if value is None else value
+
+    def remember(self, chunks: list[str], values: list) -> None:
+        """Values that were computed elsewhere."""
+        self.known.update((x, v) for x, v in zip(chunks, values) if len(x) <= LONGEST)
+        self._held += ENTRY * len(chunks)
+
 
 class Tokenizer:
     """Ids of whole texts as the library gives them, without special tokens at the ends.
@@ -94,10 +104,9 @@ class Tokenizer:
         self.normalizer = self._library.normalizer
         added = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
-        self._bare = Remembering(self._ids_of, REMEMBERED_WORDS)
+        self._bare = Remembering(self._ids_of)
         self._spaced = Remembering(lambda chunks: self._ids_of([x if x[:1] == "\n" else " " + x for x in chunks]))
-        self._cores = Remembering(self._core_ids, REMEMBERED_WORDS)
-        self._tails = Remembering(self._whole, REMEMBERED_WORDS // 8)
+        self._tails = Remembering(self._whole, REMEMBERED // 16)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,8 +134,13 @@ class Tokenizer:
                 out[i] = b""
         for i, ids in zip(odd, self._whole([chunks[i] for i in odd])):
             out[i] = ids
-        for i, core, tail in zip(at, self._cores.values(cores), self._tails.values(tails)):
-            out[i] = core + tail
+        known = {x: ids for x in set(cores) if (ids := self._bare.met(x)) is not None}
+        new = [x for x in set(cores) if x not in known]
+        values = self._core_ids(new)
+        self._bare.remember(new, values)  # a word alone is a chunk as well
+        known.update(zip(new, values))
+        for i, core, tail in zip(at, cores, self._tails.values(tails)):
+            out[i] = known[core] + tail
         return out
 
     def packed(self, text: str) -> bytes:
