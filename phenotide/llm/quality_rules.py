@@ -36,12 +36,12 @@ PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
 #: Starts of the concentration steps: quartiles without correlation, all rows, directions from the medians.
 STARTS = ("quartiles", "all", "signs")
 #: Concentration steps at most; they end sooner once no log determinant moves by SETTLED.
-STEPS = 12
-SETTLED = 1e-4
+STEPS = 8
+SETTLED = 1e-3
 #: Rows that a group needs to weigh as much as its language, and a language as the table.
 PRIOR = 50
 
-_ESTIMATE = "_group string, _start int, _size long, _mean array<double>, _scatter array<double>, _inverse array<double>, _logdet double"
+_ESTIMATE = "_group string, _start int, _size long, _mean array<double>, _scatter array<double>, _inverse array<double>, _logdet double, _moved double"
 
 
 def _chi2(x: float, dof: int) -> float:
@@ -82,7 +82,7 @@ MOMENTS = ("n", *(f"s{i}" for i in range(DIMENSIONS)), *(f"p{i}_{j}" for i, j in
 
 
 def _estimates(factor: float):
-    """From moments of core rows (_group, _start, _size): mean, scatter times factor above the floor, its inverse and log determinant."""
+    """From moments of core rows (_group, _start, _size, _old): mean, scatter times factor above the floor, its inverse, log determinant and how far that moved."""
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = np.diag(np.square(SCALES))
@@ -98,7 +98,7 @@ def _estimates(factor: float):
                 scatters.append(whole.ravel().tolist())
                 inverses.append(np.linalg.inv(whole).ravel().tolist())
                 logs.append(float(np.linalg.slogdet(whole)[1]))
-            found = {"_mean": means, "_scatter": scatters, "_inverse": inverses, "_logdet": logs}
+            found = {"_mean": means, "_scatter": scatters, "_inverse": inverses, "_logdet": logs, "_moved": np.abs(np.array(logs) - frame["_old"].to_numpy())}
             yield pd.DataFrame({"_group": frame["_group"], "_start": frame["_start"], "_size": frame["_size"], **found})
 
     return solve
@@ -113,13 +113,13 @@ def _distance():
 
 def _step(rows: DataFrame, estimates: DataFrame, core: float, factor: float) -> DataFrame:
     """The estimates from the share `core` of each group's rows that lie nearest by the old ones, for each start; whole bins, so rather more."""
-    near = rows.join(estimates.select("_group", "_start", "_mean", "_inverse"), "_group")
+    near = rows.join(estimates.select("_group", "_start", "_mean", "_inverse", F.col("_logdet").alias("_old")), "_group")
     near = near.withColumn("_bin", F.floor(BINS * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))))
     whole = Window.partitionBy("_group", "_start")
     before = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = near.groupBy("_group", "_start", "_bin").agg(*_moments())
+    bins = near.groupBy("_group", "_start", "_old", "_bin").agg(*_moments())
     bins = bins.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("_size", F.sum("n").over(whole))
-    kept = bins.where(F.col("_before") < core * F.col("_size")).groupBy("_group", "_start", "_size").agg(*(F.sum(c).alias(c) for c in MOMENTS))
+    kept = bins.where(F.col("_before") < core * F.col("_size")).groupBy("_group", "_start", "_old", "_size").agg(*(F.sum(c).alias(c) for c in MOMENTS))
     return kept.mapInPandas(_estimates(factor), _ESTIMATE)
 
 
@@ -133,14 +133,14 @@ def _starts(rows: DataFrame) -> DataFrame:
     def diagonal(values: list):
         return F.array(*(values[i] if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)))
 
-    first = quartiles.select("_group", F.lit(0).alias("_start"), "_size", middle.alias("_mean"), diagonal(spread).alias("_scatter"), diagonal([1 / s for s in spread]).alias("_inverse"), F.lit(math.inf).alias("_logdet"))
-    every = rows.groupBy("_group").agg(*_moments()).withColumns({"_start": F.lit(1), "_size": F.col("n")})
+    first = quartiles.select("_group", F.lit(0).alias("_start"), "_size", middle.alias("_mean"), diagonal(spread).alias("_scatter"), diagonal([1 / s for s in spread]).alias("_inverse"), F.lit(math.inf).alias("_logdet"), F.lit(math.inf).alias("_moved"))
+    every = rows.groupBy("_group").agg(*_moments()).withColumns({"_start": F.lit(1), "_size": F.col("n"), "_old": F.lit(math.inf)})
     # Each row as a direction of length GRID from the medians, in units of the spread, which is put back below.
     units = [(F.col(f"_x{i}") / GRID - F.col("_mean")[i]) / F.sqrt(F.col("_scatter")[(DIMENSIONS + 1) * i]) for i in range(DIMENSIONS)]
     placed = rows.join(first, "_group").select("_group", "_size", *(u.alias(f"u{i}") for i, u in enumerate(units)))
     length = F.sqrt(sum((F.pow(F.col(f"u{i}"), F.lit(2)) for i in range(DIMENSIONS)), F.lit(0.0)))
     signs = placed.withColumn("_length", length).select("_group", "_size", *(F.coalesce(F.round(GRID * F.try_divide(F.col(f"u{i}"), F.col("_length"))), F.lit(0)).cast("long").alias(f"_x{i}") for i in range(DIMENSIONS)))
-    signs = signs.groupBy("_group", "_size").agg(*_moments()).withColumn("_start", F.lit(2))
+    signs = signs.groupBy("_group", "_size").agg(*_moments()).withColumns({"_start": F.lit(2), "_old": F.lit(math.inf)})
     scattered = signs.mapInPandas(_estimates(DIMENSIONS), _ESTIMATE).select("_group", "_scatter")
     directed = first.withColumnRenamed("_scatter", "_spread").join(scattered, "_group").mapInPandas(_directed, _ESTIMATE)
     return first.unionByName(every.mapInPandas(_estimates(1.0), _ESTIMATE)).unionByName(directed)
@@ -155,7 +155,7 @@ def _directed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole = np.asarray(scatter).reshape(DIMENSIONS, DIMENSIONS) * np.outer(sides, sides)
             scatters.append(whole.ravel().tolist())
             inverses.append(np.linalg.inv(whole).ravel().tolist())
-        found = {"_mean": frame["_mean"], "_scatter": scatters, "_inverse": inverses, "_logdet": math.inf}
+        found = {"_mean": frame["_mean"], "_scatter": scatters, "_inverse": inverses, "_logdet": math.inf, "_moved": math.inf}
         yield pd.DataFrame({"_group": frame["_group"], "_start": 2, "_size": frame["_size"], **found})
 
 
@@ -164,9 +164,8 @@ def _smallest_determinants(rows: DataFrame, core: float, steps: int) -> DataFram
     factor = core / _chi2(_quantile(core, DIMENSIONS), DIMENSIONS + 2)
     now = stored(_starts(rows), "estimates")
     for _ in range(steps):
-        before, now = now, stored(_step(rows, now, core, factor), "estimates")
-        moved = now.join(before.select("_group", "_start", F.col("_logdet").alias("_old")), ["_group", "_start"])
-        if moved.where(F.abs(F.col("_logdet") - F.col("_old")) > SETTLED).isEmpty():
+        now = stored(_step(rows, now, core, factor), "estimates")
+        if now.where(F.col("_moved") > SETTLED).isEmpty():
             break
     estimate = F.struct("_size", "_mean", "_scatter")
     best = now.groupBy("_group").agg(F.min_by(estimate, F.struct(F.round("_logdet", 9), "_start")).alias("_best"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from phenotide.llm import byte_bpe, components, kd_search, lookup_sharding, packing, quality_rules, simhash, text_statistics, token_counts, token_files, toxicity
+from phenotide.llm import byte_bpe, common, components, kd_search, lookup_sharding, packing, quality_rules, simhash, suffix_dedup, text_statistics, token_counts, token_files, toxicity
 from phenotide.llm.common import shared_folder
 
 WORDS, BYTES, RANKS = (P.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))
@@ -154,49 +154,101 @@ def test_text_statistics(spark):
     assert Counter(tuple(r) for r in found) == Counter((i, *brute_counts(t)) for i, t in texts(docs))
 
 
-def brute_verdict(rows, core=0.75, steps=4, least=100, tail=1e-9):
-    """The concentration steps with sorted arrays. rows: (lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+def brute_verdict(rows, core=0.75, steps=8, tail=1e-9, prior=50):
+    """Minimum determinants with sorted arrays. rows: (lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     dims, scales = 4, np.array(quality_rules.SCALES)
-    base = [r[2] < 20 or 100 * r[6] > 30 * r[2] for r in rows]
-    half_up = lambda v: math.floor(v + 0.5)
-    vector = [[half_up(1024 * v) for v in (math.log((r[3] + 1) / max(1, r[2])), math.log1p(100 * r[4] / max(1, r[2])), math.log1p(100 * r[5] / max(1, r[2])), math.sqrt(r[6] / max(1, r[2])))] for r in rows]
-    sizes = Counter((r[0], r[1]) for r, b in zip(rows, base) if not b)
-    group = {k: (k if n >= least else (k[0], "all of the language")) for k, n in sizes.items()}
-    members = defaultdict(list)
-    for i, (r, b) in enumerate(zip(rows, base)):
-        if not b:
-            members[group[r[0], r[1]]].append(i)
+    floor = np.diag(scales**2)
+    base = np.array([r[2] < 20 or 100 * r[6] > 30 * r[2] for r in rows], bool)
+    parts = [(math.log((r[3] + 1) / max(1, r[2])), math.log1p(100 * r[4] / max(1, r[2])), math.log1p(100 * r[5] / max(1, r[2])), math.sqrt(r[6] / max(1, r[2]))) for r in rows]
+    x = np.array([[math.floor(1024 * v + 0.5) / 1024 for v in p] for p in parts]).reshape(-1, dims)
+    pools = defaultdict(list)
+    for i, r in enumerate(rows):
+        if not base[i]:
+            for name in (r[:2], r[:1], ()):
+                pools[name].append(x[i])
     q = quality_rules._quantile(core, dims)
-    factor, distance = core / quality_rules._chi2(q, dims + 2), [None] * len(rows)
-    for own in members.values():
-        if len(own) < least:
-            continue
-        x = np.array([vector[i] for i in own]) / 1024
-        mean = np.median(x, axis=0)
-        low, high = np.quantile(x, [0.25, 0.75], axis=0)
-        inverse = np.linalg.inv(np.diag(((high - low) / 1.349) ** 2 + scales**2))
-        for _ in range(steps):
-            d = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
-            bins = np.floor(48 * np.log2(1 + d))
-            near = x[np.array([(bins < b).sum() < core * len(x) for b in bins])]
-            mean, inverse = near.mean(axis=0), np.linalg.inv(factor * np.cov(near.T, bias=True) + np.diag(scales**2))
-        for i, r in enumerate(rows):
-            if group.get((r[0], r[1])) is not None and group[r[0], r[1]] in members and members[group[r[0], r[1]]] is own:
-                away = np.array(vector[i]) / 1024 - mean
-                distance[i] = away @ inverse @ away
+    factor = core / quality_rules._chi2(q, dims + 2)
+    now = {}
+    for name, own in pools.items():
+        own = pools[name] = np.array(own)
+        middle, (low, high) = np.median(own, axis=0), np.quantile(own, [0.25, 0.75], axis=0)
+        spread = ((high - low) / 1.349) ** 2 + scales**2
+        units = (own - middle) / np.sqrt(spread)
+        length = np.linalg.norm(units, axis=1, keepdims=True)
+        signs = np.divide(units, length, out=np.zeros_like(units), where=length > 0)
+        signs = np.sign(signs) * np.floor(np.abs(1024 * signs) + 0.5) / 1024
+        turned = (dims * np.cov(signs.T, bias=True) + floor) * np.outer(np.sqrt(spread), np.sqrt(spread))
+        for start, (mean, scatter) in enumerate([(middle, np.diag(spread)), (own.mean(axis=0), np.cov(own.T, bias=True) + floor), (middle, turned)]):
+            now[name, start] = mean, scatter, math.inf
+    for _ in range(steps):
+        moved = False
+        for (name, start), (mean, scatter, old) in now.items():
+            own = pools[name]
+            bins = np.floor(48 * np.log2(1 + np.maximum(0, np.einsum("ni,ij,nj->n", own - mean, np.linalg.inv(scatter), own - mean))))
+            near = own[np.array([(bins < b).sum() < core * len(own) for b in bins])]
+            scatter = factor * np.cov(near.T, bias=True) + floor
+            logdet = np.linalg.slogdet(scatter)[1]
+            moved |= abs(logdet - old) > quality_rules.SETTLED
+            now[name, start] = near.mean(axis=0), scatter, logdet
+        if not moved:
+            break
+    best = {name: min((round(now[name, s][2], 9), s) for s in range(3))[1] for name in pools}
+    distance = []
+    for i, r in enumerate(rows):
+        mean = scatter = None
+        for name in ((), r[:1], r[:2]):
+            if name in pools:
+                own_mean, own_scatter, _ = now[name, best[name]]
+                w = 1 if mean is None else len(pools[name]) / (len(pools[name]) + prior)
+                mean = own_mean if mean is None else w * own_mean + (1 - w) * mean
+                scatter = own_scatter if scatter is None else w * own_scatter + (1 - w) * scatter
+        distance.append(None if mean is None else float((x[i] - mean) @ np.linalg.inv(scatter) @ (x[i] - mean)))
     cut = quality_rules._quantile(1 - tail, dims)
-    return distance, [not b and not (d is not None and d > cut) for b, d in zip(base, distance)]
+    return distance, [not b and not (d is not None and d > cut) for b, d in zip(base.tolist(), distance)]
+
+
+def judged_rows(found):
+    return [(r.lang, r.source, *(r[c] for c in text_statistics.COUNTS)) for r in found]
 
 
 def test_quality_rules_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for least in (100, 20):
-        counted = text_statistics.with_statistics(docs).drop("text")
-        found = quality_rules.with_verdict(counted, least=least).orderBy("doc_id").collect()
-        distance, kept = brute_verdict([(r.lang, r.source, *(r[c] for c in text_statistics.COUNTS)) for r in found], least=least)
-        assert [r.kept for r in found] == kept
-        for r, d in zip(found, distance):
-            assert (r.distance is None) == (d is None) and (d is None or math.isclose(r.distance, d, rel_tol=1e-6, abs_tol=1e-9))
+    counted = text_statistics.with_statistics(docs).drop("text")
+    found = quality_rules.with_verdict(counted).orderBy("doc_id").collect()
+    distance, kept = brute_verdict(judged_rows(found))
+    assert [r.kept for r in found] == kept
+    assert all(math.isclose(r.distance, d, rel_tol=1e-6, abs_tol=1e-9) for r, d in zip(found, distance))
+    assert {r.doc_id for r in found if not r.base_failed and not r.kept}
+
+
+def test_smallest_determinant_of_the_starts(spark):
+    """Two clusters: what is kept has no larger determinant than any start's own end."""
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(0, 30, (300, 4)), rng.normal(400, 90, (120, 4))]).round().astype(int)
+    rows = spark.createDataFrame([("g", *map(int, p)) for p in points], "_group string, _x0 long, _x1 long, _x2 long, _x3 long")
+    best = quality_rules._smallest_determinants(rows, 0.6, 12).first()
+    ends = quality_rules._starts(rows)
+    factor = 0.6 / quality_rules._chi2(quality_rules._quantile(0.6, 4), 6)
+    for _ in range(12):
+        ends = common.stored(quality_rules._step(rows, ends, 0.6, factor), "ends")
+    dets = {r._start: r._logdet for r in ends.collect()}
+    assert len(dets) == 3
+    assert np.linalg.slogdet(np.array(best._scatter).reshape(4, 4))[1] == pytest.approx(min(dets.values()), abs=1e-3)
+    assert np.abs(np.array(best._mean)).max() < 0.05
+
+
+def test_judgement_does_not_jump_with_the_size_of_a_group(spark):
+    rng = np.random.default_rng(6)
+    stats = lambda r: (int(n := r.integers(80, 200)), int(n * r.uniform(4, 5)), int(r.integers(0, 3)), 0, 0)
+    large = [("en", "large", *stats(rng)) for _ in range(400)]
+    small = [("en", "small", *stats(rng)) for _ in range(104)]
+    odd = ("en", "small", 100, 800, 30, 2, 0)
+    schema = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    distances = []
+    for n in (99, 100, 101):
+        table = spark.createDataFrame([*large, *small[:n], odd], schema)
+        distances.append(next(r.distance for r in quality_rules.with_verdict(table).collect() if r.n_symbols == 30))
+    assert max(distances) / min(distances) < 1.3
 
 
 def test_quality_rules_find_planted_outliers_in_groups_with_nulls(spark):
@@ -211,37 +263,6 @@ def test_quality_rules_find_planted_outliers_in_groups_with_nulls(spark):
     assert not verdict[1] and not verdict[2]
 
 
-def brute_verdict_of_pools(rows, least=100, core=0.75, steps=4, tail=1e-9):
-    """As brute_verdict, but small groups are judged by all fine rows of their language, or of the table."""
-    dims, floor = 4, np.diag(np.square(quality_rules.SCALES))
-    base = np.array([r[2] < 20 or 100 * r[6] > 30 * r[2] for r in rows])
-    parts = [(math.log((r[3] + 1) / max(1, r[2])), math.log1p(100 * r[4] / max(1, r[2])), math.log1p(100 * r[5] / max(1, r[2])), math.sqrt(r[6] / max(1, r[2]))) for r in rows]
-    x = np.array([[math.floor(1024 * v + 0.5) / 1024 for v in p] for p in parts])
-    q = quality_rules._quantile(core, dims)
-    factor, distance = core / quality_rules._chi2(q, dims + 2), np.zeros(len(rows))
-    for key in {r[:2] for r in rows}:
-        pools = [[i for i, r in enumerate(rows) if not base[i] and r[:n] == key[:n]] for n in (2, 1, 0)]
-        fine = x[next((p for p in pools if len(p) >= least), pools[-1])]
-        mean, (low, high) = np.median(fine, axis=0), np.quantile(fine, [0.25, 0.75], axis=0)
-        inverse = np.linalg.inv(np.diag(((high - low) / 1.349) ** 2) + floor)
-        for _ in range(steps):
-            bins = np.floor(48 * np.log2(1 + np.einsum("ni,ij,nj->n", fine - mean, inverse, fine - mean)))
-            near = fine[np.array([(bins < b).sum() < core * len(fine) for b in bins])]
-            mean, inverse = near.mean(axis=0), np.linalg.inv(factor * np.cov(near.T, bias=True) + floor)
-        for i in (i for i, r in enumerate(rows) if r[:2] == key):
-            distance[i] = (x[i] - mean) @ inverse @ (x[i] - mean)
-    return distance.tolist(), [not b and d <= quality_rules._quantile(1 - tail, dims) for b, d in zip(base, distance)]
-
-
-def test_quality_rules_equal_brute_force_of_pools(spark):
-    counted = text_statistics.with_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).drop("text")
-    for least in (100, 20, 300):
-        found = quality_rules.with_verdict(counted, least=least).orderBy("doc_id").collect()
-        distance, kept = brute_verdict_of_pools([(r.lang, r.source, *(r[c] for c in text_statistics.COUNTS)) for r in found], least=least)
-        assert [r.kept for r in found] == kept
-        assert all(math.isclose(r.distance, d, rel_tol=1e-6, abs_tol=1e-9) for r, d in zip(found, distance))
-
-
 def test_quality_rules_judge_small_groups_by_language_then_table(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 8)))
@@ -254,9 +275,6 @@ def test_quality_rules_judge_small_groups_by_language_then_table(spark):
     assert Counter(r.doc_id for r in found) == Counter(r[0] for r in [*good, *junk, *short])
     assert all(r.distance is not None for r in found)
     assert {r.doc_id for r in found if not r.kept} == {4000, 4001, 4002, 4003, 5000}
-    distance = {r.doc_id: r.distance for r in found}
-    alone = {r.doc_id: r.distance for r in quality_rules.judge(spark.createDataFrame([r for r in [*good, *junk] if r[2] == "en"], SCHEMA)).collect()}
-    assert all(math.isclose(distance[i], alone[i], rel_tol=1e-9) for i in alone)  # large sources are their own group, small ones have all of the language
 
 
 def test_quality_rules_of_nothing(spark):
@@ -496,3 +514,82 @@ def test_ordinal_fit_recovers_weights_and_ordered_thresholds():
     scores = np.array([sum(model.weights.get(int(i), 0) * v for i, v in zip(a, b)) for a, b in zip(ids[2000:], values[2000:])])
     expected = model.severity(scores)
     assert np.corrcoef(expected, grades[2000:])[0, 1] > 0.85
+
+
+WORKING = ("_x0", "_mean", "_full", "_group", "_inverse", "_n", "_text", "_key", "_spans", "_score", "_digest", "_statistics", "_t", "root", "fingerprint", "kept", "n_words", "gram")
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda docs: quality_rules.judge(docs),
+        lambda docs: toxicity.with_severity(docs, toxicity.Model([0.5], {1: 1.0})),
+        lambda docs: simhash.keep_one(docs),
+        lambda docs: suffix_dedup.remove_repeats(docs),
+        lambda docs: token_counts.count_tokens(docs, shared_folder(docs.sparkSession, "cache"), BYTES),
+        lambda docs: text_statistics.with_statistics(docs),
+    ],
+    ids=["judge", "with_severity", "keep_one", "remove_repeats", "count_tokens", "with_statistics"],
+)
+def test_columns_of_any_name_stay(spark, operator):
+    names = ["doc_id", "text", "lang", "source", *WORKING, "a.b"]
+    rows = [(i, f"some words of text number {i} that goes on for a little while, and then some more words up to twenty of them", "en", "s", *(f"own {c} {i}" for c in WORKING), "dot") for i in range(3)]
+    found = operator(spark.createDataFrame(rows, names))
+    new = set(found.columns) - set(names)
+    replaced = {"kept"} if "expected_severity" in new or "distance" in new else set()
+    replaced |= {"n_words"} if "word_chars" in new else set()
+    assert len(found.columns) == len(set(found.columns))
+    for r in found.collect():
+        for c in set(WORKING) - replaced:
+            assert r[c] == f"own {c} {r['doc_id']}", c
+        assert r["a.b"] == "dot"
+
+
+@pytest.mark.parametrize("flagged", [1, 2, 3, 4, 5, 10])
+def test_grades_at_few_flagged_rows(flagged):
+    """More of what is typical of flagged texts is never a lower grade; equal texts have equal grades."""
+    bad, plain = list(range(10)), list(range(100, 160))
+    rng = np.random.default_rng(flagged)
+    ids = [sorted([*bad[: 1 + i], *rng.choice(plain, 8, replace=False).tolist()]) for i in range(flagged)] + [sorted(rng.choice(plain, 12, replace=False).tolist()) for _ in range(60)]
+    features = toxicity.Features(ids, [[1.0] * len(x) for x in ids])
+    flags = np.array([1] * flagged + [0] * 60)
+    grades = toxicity.grades_from_flags(features, flags)
+    assert set(grades[flagged:]) == {0} and all(1 <= g <= 3 for g in grades[:flagged])
+    assert len(set(grades[:flagged].tolist())) == min(3, {1: 1, 2: 2}.get(flagged, 3))
+    assert np.diff(grades[:flagged]).min(initial=0) >= 0
+    same = toxicity.Features(ids[:1] * 4 + ids[flagged:], [[1.0] * len(x) for x in ids[:1] * 4 + ids[flagged:]])
+    assert toxicity.grades_from_flags(same, np.array([1] * 4 + [0] * 60)).tolist() == [2] * 4 + [0] * 60
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Cluster, "x")
+
+
+def test_normal_forms_keep_the_count(spark):
+    odd = ["Ünï  CODE\n x", "<|ENDOFTEXT|> a", "É<|endoftext|>", "ﬁ ½ K", "a\tb", "İstanbul", "  x  "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, *(x.upper() for x in odd), *(x.lower() for x in odd)])], "doc_id long, text string")
+    cache, encode = shared_folder(spark, "cache"), library(WORDS)
+    found = token_counts.count_tokens(docs, cache, WORDS).collect()
+    assert all(r.n_tokens == len(encode(r.text)) and r.n_bytes == len(r.text.encode()) for r in found)
+    assert spark.read.parquet(cache).count() < len({r.text for r in found})
+
+
+@pytest.mark.parametrize("most_sent", [0, 10**6])
+def test_misses_are_fetched_either_way(spark, docs, most_sent):
+    cache, encode = shared_folder(spark, "cache"), library(BYTES)
+    token_counts.append_misses(docs, cache, BYTES, most_sent=most_sent)
+    stored = {r.content_digest: r.n_tokens for r in spark.read.parquet(cache).collect()}
+    assert stored == {hashlib.sha256(t.encode()).hexdigest(): len(encode(t)) for _, t in texts(docs)}
+    assert spark.read.parquet(cache).count() == len(stored)
