@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenotide.llm.common import slices, text_of
-from phenotide.llm.tokens import Remembering, flat, lists, spaced_chunks
+from phenotide.llm.tokens import REMEMBERED, Remembering, flat, lists, spaced_chunks
 
 #: Keys per bucket of the perfect hash, on average.
 BUCKET = 3
@@ -82,8 +82,8 @@ class ByteBpe:
             for i in range(1, len(k)):
                 if (left := ranks.get(k[:i])) is not None and (right := ranks.get(k[i:])) is not None:
                     self._joined[left][right] = r
-        self._merged = Remembering(self._encode_pieces)
-        self._bare = Remembering(self._encode_chunks)
+        self._merged = Remembering(self._encode_pieces, REMEMBERED // 8)
+        self._bare = Remembering(self._encode_chunks, REMEMBERED // 8)
         self._spaced = Remembering(lambda chunks: self._encode_chunks([x if x[:1] == "\n" else " " + x for x in chunks]))
         top = max(ranks.values(), default=-1) + 1
         self._bytes = [b""] * top
@@ -142,14 +142,27 @@ class ByteBpe:
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The matches of all chunks at once: those the hash knows, then the others, each distinct one merged once."""
+        """The matches of all chunks at once: those the hash knows, then those met before, then the others, each distinct one merged once.
+
+        A space and a word is what a chunk in front of a space is encoded as, so it is remembered there.
+        """
         split = [self._pattern.findall(x) for x in chunks]
-        whole, slot = {}, self._hash.slot
+        known, slot, new, words = {}, self._hash.slot, [], []
         for piece in {x for pieces in split for x in pieces}:
             if (s := slot(piece.encode())) >= 0:
-                whole[piece] = self._packed_at[s]
-        merged = self._merged.values([x for pieces in split for x in pieces if x not in whole])
-        return [b"".join([whole[x] if x in whole else next(merged) for x in pieces]) for pieces in split]
+                known[piece] = self._packed_at[s]
+                continue
+            word = piece[0] == " " and piece[1:].isalpha()
+            ids = self._spaced.met(piece[1:]) if word else self._merged.met(piece)
+            if ids is not None:
+                known[piece] = ids
+            else:
+                (words if word else new).append(piece)
+        for pieces, memory, cut in ((words, self._spaced, 1), (new, self._merged, 0)):
+            values = self._encode_pieces(pieces)
+            memory.remember([x[cut:] for x in pieces], values)
+            known.update(zip(pieces, values))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

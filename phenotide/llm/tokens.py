@@ -15,14 +15,17 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of the chunks that a worker remembers of a kind, with their values, about. Longer chunks are not remembered.
-REMEMBERED = 160 << 20
+REMEMBERED = 192 << 20
 LONGEST = 64
 #: What an entry takes besides its characters and its value.
 ENTRY = 200
 
 _ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
+#: What makes an ASCII text odd; looking for each is faster than the pattern.
+_ODD_ASCII = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "  ", "\n\n", " \n", "\n ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_CORE = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+#: A word in plain letters between ASCII marks; an apostrophe may belong to a word.
+_CORE = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 #: Byte-level vocabularies name a byte by its character if that is printable, else by one from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -31,7 +34,7 @@ _BYTE_NAMES = dict(zip((b for b in range(256) if b not in set(_PRINTABLE)), rang
 
 def spaced_chunks(text: str) -> tuple[str, list[str]]:
     """The first chunk, and the further ones; a further one that does not start with a line break follows a space."""
-    if _ODD.search(text):
+    if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ODD_ASCII) or not text.isascii() and _ODD.search(text):
         parts = _CUT.split(text)
         return parts[0], parts[1:]
     parts = text.replace("\n", " \n").split(" ")
@@ -53,8 +56,7 @@ class Remembering:
 
     def values(self, chunks: list[str]):
         """The value of each chunk, in order."""
-        if self._held > self._most:
-            self._before, self.known, self._held = self.known, {}, 0
+        self._turn()
         known, before = self.known, self._before
         new = set(chunks).difference(known)
         if not new:
@@ -77,6 +79,10 @@ class Remembering:
         extra = dict(zip(long, self._compute(long)))
         return (extra[x] if x in extra else known[x] for x in chunks)
 
+    def _turn(self) -> None:
+        if self._held > self._most:
+            self._before, self.known, self._held = self.known, {}, 0
+
     def met(self, chunk: str):
         """The value of a chunk, None if it is not remembered."""
         value = self.known.get(chunk)
@@ -84,6 +90,7 @@ class Remembering:
 
     def remember(self, chunks: list[str], values: list) -> None:
         """Values that were computed elsewhere."""
+        self._turn()
         self.known.update((x, v) for x, v in zip(chunks, values) if len(x) <= LONGEST)
         self._held += ENTRY * len(chunks)
 
@@ -106,7 +113,7 @@ class Tokenizer:
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._bare = Remembering(self._ids_of)
         self._spaced = Remembering(lambda chunks: self._ids_of([x if x[:1] == "\n" else " " + x for x in chunks]))
-        self._tails = Remembering(self._whole, REMEMBERED // 16)
+        self._marks = Remembering(self._whole, REMEMBERED // 16)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
@@ -118,15 +125,17 @@ class Tokenizer:
         return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in map(self._library.model.tokenize, named)]
 
     def _ids_of(self, chunks: list[str]) -> list[bytes]:
-        """Words in plain letters, with or without marks behind them, share the ids of the bare word."""
+        """Words in plain letters, with or without marks around them, share the ids of the bare word."""
         if not self.drops_space:
             return self._whole(chunks)
         out: list[bytes | None] = [None] * len(chunks)
-        cores, tails, at, odd = [], [], [], []
+        heads, cores, tails, at, odd = [], [], [], [], []
         for i, chunk in enumerate(chunks):
             if m := _CORE.fullmatch(chunk.lower()):
-                cores.append(m[1])
-                tails.append(m[2])
+                head, core, tail = m.groups()
+                heads.append(head)
+                cores.append(core)
+                tails.append(tail)
                 at.append(i)
             elif chunk:
                 odd.append(i)
@@ -139,8 +148,9 @@ class Tokenizer:
         values = self._core_ids(new)
         self._bare.remember(new, values)  # a word alone is a chunk as well
         known.update(zip(new, values))
-        for i, core, tail in zip(at, cores, self._tails.values(tails)):
-            out[i] = known[core] + tail
+        marks = list(self._marks.values(heads + tails))
+        for i, head, core, tail in zip(at, marks, cores, marks[len(heads) :]):
+            out[i] = head + known[core] + tail
         return out
 
     def packed(self, text: str) -> bytes:
