@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ from phenotide.functions.logic import any_of
 _PLAIN = re.compile(r"[A-Za-z0-9_/ -]+")
 
 
+class Index(Protocol):
+    """What turns the patterns for a column into a condition; see ``sources.code_index``."""
+
+    def condition(self, column: str, patterns: Sequence[str]) -> Column: ...
+
+
 def as_code_list(codes: str | Iterable[str] | None) -> list[str]:
     """``None`` and ``''`` mean no codes; a single text is one code."""
     if not codes:
@@ -77,8 +84,13 @@ def match_column(column: Column, codes: Sequence[str], match: str = "regex") ->
     raise ValueError(f"match must be 'regex', 'exact' or 'prefix', not {match!r}")
 
 
-def match_codes(columns: Sequence[str], codes: Sequence[str], match: str = "regex") -> Column:
-    """True where any of ``columns`` matches any of ``codes``; see ``match_column``."""
+def match_codes(columns: Sequence[str], codes: Sequence[str], match: str = "regex", index: Index | None = None) -> Column:
+    """True where any of ``columns`` matches any of ``codes``; see ``match_column``.
+
+    With the index of the table's codes, regular expressions become equality filters.
+    """
+    if index is not None and match == "regex":
+        return any_of(index.condition(name, codes) for name in columns)
     return any_of(match_column(F.col(name), codes, match) for name in columns)
 
 
@@ -88,11 +100,12 @@ def keep_codes(
     codes: str | Iterable[str] | None,
     match: str = "regex",
     on_empty: str = "all",
+    index: Index | None = None,
 ) -> DataFrame:
     """Rows of ``df`` that match; an empty code list keeps all rows or none (``on_empty``)."""
     codes = as_code_list(codes)
     if codes:
-        return df.where(match_codes(columns, codes, match))
+        return df.where(match_codes(columns, codes, match, index))
     return df if on_empty == "all" else df.where(F.lit(False))
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenotide.functions.logic import any_of
 from phenotide.functions.names import base_field, field_pattern, literal_col, natural_keys
 
 KEY = "eid"
+# Columns counted by one aggregate: expressions of many more take minutes to compile.
+COLUMNS_AT_ONCE = 128
 
 
 def fields_for_id(dictionary: DataFrame, field_id: str | int) -> DataFrame:
@@ -107,14 +109,13 @@ def append_fields(
 
 
 def column_null_profile(df: DataFrame) -> DataFrame:
-    """Nulls (and NaN) per column: ``column``, ``nulls``; one pass over the table.
+    """Nulls (and NaN) per column: ``column``, ``nulls``.
 
-    They are counted on columnar batches, so that the plan has the same size at any width: expressions
-    per column take minutes to compile from some thousand columns on. Columns of a table without rows
-    have 0 nulls.
+    Columns are counted in groups of bounded size, each of which reads its own columns alone. Columns of
+    a table without rows have 0 nulls. Of a stored table, ``sources.footers`` counts without reading data.
     """
-    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position int, column string")
-    return names.join(_null_counts(df), "position", "left").select("column", F.coalesce("nulls", F.lit(0)).alias("nulls"))
+    names = F.array(*[F.lit(name) for name in df.columns])
+    return _null_counts(df).select(F.get(names, "position").alias("column"), "nulls")
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
@@ -129,19 +130,21 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
 
 
 def _null_counts(df: DataFrame) -> DataFrame:
-    """For each position of a column its missing entries and all its entries; none for a table without rows."""
+    """For each position of a column its missing entries and all its entries."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    counts = plain.mapInArrow(_count_nulls, "position int, nulls long, entries long")
-    return counts.groupBy("position").agg(F.sum("nulls").alias("nulls"), F.sum("entries").alias("entries"))
-
-
-def _count_nulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per column for all batches of a task."""
-    nulls, entries = None, 0
-    for batch in batches:
-        own = [pc.sum(pc.is_null(x, nan_is_null=True)).as_py() or 0 for x in batch.columns]
-        nulls = own if nulls is None else [a + b for a, b in zip(nulls, own)]
-        entries += batch.num_rows
-    if entries:
-        columns = [pa.array(range(len(nulls)), pa.int32()), pa.array(nulls, pa.int64()), pa.array([entries] * len(nulls), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["position", "nulls", "entries"])
+    kinds = [field.dataType for field in df.schema]
+    parts = []
+    for first in range(0, len(kinds), COLUMNS_AT_ONCE):
+        own = range(first, min(first + COLUMNS_AT_ONCE, len(kinds)))
+        present = plain.agg(F.count(F.lit(1)).alias("entries"), *[F.count(_known(f"c{i}", kinds[i])).alias(f"n{i}") for i in own])
+        rows = F.array(*[F.struct(F.lit(i).alias("position"), (F.col("entries") - F.col(f"n{i}")).alias("nulls"), "entries") for i in own])
+        parts.append(present.select(F.inline(rows)))
+    empty = df.sparkSession.createDataFrame([], "position int, nulls long, entries long")
+    return reduce(DataFrame.unionByName, parts) if parts else empty
+
+
+def _known(name: str, kind: T.DataType) -> Column:
+    """The column, null where it is NaN."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.nanvl(F.col(name), F.lit(None).cast(kind))
+    return F.col(name)

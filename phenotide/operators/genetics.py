@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenotide.functions.sizes import MAX_BROADCAST_BYTES, groups_below, table_bytes
+from phenotide.functions.sizes import MAX_BROADCAST_BYTES, Slice, in_slices, position_slices
 
 # Fixed value: autosomes only.
 LAST_AUTOSOME = 22
@@ -28,26 +28,31 @@ def genetic_score(
     ``missing``    ``'impute'`` counts a missing call as the variant's mean, ``'drop'`` leaves it out
 
     A variant whose effect allele is neither allele, or whose chromosome is no number from 1 to 22, is
-    left out. The score table is measured at once and broadcast in as few sets of chromosomes as
-    keep below ``max_broadcast_bytes``, so that genotypes are not shuffled; a single chromosome above
-    that is joined by whatever Spark picks. Imputation reads the genotype table twice rather than keep
-    every call of a variant or a participant together.
+    left out. The score table is measured at once and broadcast in as few slices of positions as keep
+    below ``max_broadcast_bytes`` each, so that genotypes are never shuffled, however many variants are
+    weighted: only sums per participant and slice are. Each slice reads the genotypes of its
+    positions; of a table sorted by chromosome and position, these are a few row groups. Imputation reads
+    them twice rather than keep every call of a variant or a participant together.
     """
     if missing not in ("impute", "drop"):
         raise ValueError(f"missing must be 'impute' or 'drop', not {missing!r}")
-    weights = _autosomes(scores).select(*_VARIANT, "effect_allele", "weight")
-    sizes = {row.chrom: row.bytes for row in weights.groupBy("chrom").agg(table_bytes(weights).alias("bytes")).collect()}
-    sets = groups_below(sizes, max_broadcast_bytes)
-    calls = _effect_counts(genotypes, weights, sets)
+    weights = _autosomes(scores).select(*_VARIANT, "effect_allele", "weight").where(F.col("pos").isNotNull())
+    parts = [_sums(genotypes, weights, slices, small, missing) for slices, small in position_slices(weights, max_broadcast_bytes)]
+    sums = reduce(DataFrame.unionByName, parts or [_sums(genotypes, weights, [], True, missing)])
+    return sums.groupBy("eid").agg((F.sum("weighted") / (2 * F.sum("calls"))).alias("score"))
+
+
+def _sums(genotypes: DataFrame, weights: DataFrame, slices: list[Slice], small: bool, missing: str) -> DataFrame:
+    """Sum of weighted calls and their number, per participant in one set of slices."""
+    own = in_slices(slices) if slices else F.lit(False)
+    calls = _effect_counts(genotypes, weights, own, small)
     if missing == "drop":
         scored = calls.where(F.col("count").isNotNull())
     else:
         # One number more per row of ``weights`` at most, which the sizes allow for.
         means = calls.groupBy(*_VARIANT, "effect_allele", "weight").agg(F.avg("count").alias("mean"))
-        scored = _effect_counts(genotypes, means, sets).withColumn("count", F.coalesce("count", "mean", F.lit(0.0)))
-    return scored.groupBy("eid").agg(
-        (F.sum(F.col("weight") * F.col("count")) / (2 * F.count("*"))).alias("score")
-    )
+        scored = _effect_counts(genotypes, means, own, small).withColumn("count", F.coalesce("count", "mean", F.lit(0.0)))
+    return scored.groupBy("eid").agg(F.sum(F.col("weight") * F.col("count")).alias("weighted"), F.count("*").alias("calls"))
 
 
 def _autosomes(df: DataFrame) -> DataFrame:
@@ -55,16 +60,13 @@ def _autosomes(df: DataFrame) -> DataFrame:
     return df.withColumn("chrom", F.col("chrom").try_cast("int")).where(F.col("chrom").between(1, LAST_AUTOSOME))
 
 
-def _effect_counts(genotypes: DataFrame, weights: DataFrame, sets: list[tuple[list[int], bool]]) -> DataFrame:
-    """Genotype rows of the weighted variants with the number of effect alleles as ``count``."""
-    effect, calls = F.col("effect_allele"), _autosomes(genotypes)
-    parts = []
-    for chromosomes, small in sets or [([], True)]:
-        own = F.col("chrom").isin(chromosomes)
-        some = weights.where(own)
-        parts.append(calls.where(own).join(F.broadcast(some) if small else some, _VARIANT))
+def _effect_counts(genotypes: DataFrame, weights: DataFrame, own: Column, small: bool) -> DataFrame:
+    """Genotype rows of the weighted variants of a set with the number of effect alleles as ``count``."""
+    effect, some = F.col("effect_allele"), weights.where(own)
     return (
-        reduce(DataFrame.unionByName, parts)
+        _autosomes(genotypes)
+        .where(own)
+        .join(F.broadcast(some) if small else some, _VARIANT)
         .where(effect.isin(F.col("allele1"), F.col("allele2")))
         .withColumn(
             "count",

@@ -20,34 +20,38 @@ POWER = 0.8
 NEGLIGIBLE = 1e-18
 
 
-def source_case_rates(sources: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+def source_case_rates(sources: Mapping[str, tuple[DataFrame, DataFrame]], distinct: str = "bitmap") -> DataFrame:
     """Cases, cohort size and case rate of each source, from its (cases, cohort) frames.
 
-    Participants are made distinct per source and participant before anything is counted per
-    source, so a source that holds most rows is still spread over all tasks. A source without
-    participants has no cases, a cohort of 0 and no rate.
+    Participants are counted exactly. ``distinct='bitmap'`` marks them in bitmaps of 32,768 consecutive
+    numbers, which are combined before the shuffle, so that a source sends one bitmap (4 KB) per range of
+    numbers and task, not a row per participant: right for cohort numbers, which lie close together.
+    ``'rows'`` makes participants distinct as rows first, which is cheaper for numbers spread over the
+    whole range, such as hashes. Either way a source that holds most rows is spread over all tasks. A
+    source without participants has no cases, a cohort of 0 and no rate.
     """
+    if distinct not in ("bitmap", "rows"):
+        raise ValueError(f"distinct must be 'bitmap' or 'rows', not {distinct!r}")
     parts = []
-    for name, (cases, cohort) in sources.items():
-        for frame, flag in ((cases, "is_case"), (cohort, "in_cohort")):
-            parts.append(
-                frame.select(
-                    F.lit(name).alias("source"),
-                    F.col("eid").cast("long").alias("eid"),
-                    F.lit(int(flag == "is_case")).alias("is_case"),
-                    F.lit(int(flag == "in_cohort")).alias("in_cohort"),
-                )
-            )
-    spark = parts[0].sparkSession
-    named = spark.createDataFrame([(name, None, 0, 0) for name in sources], "source string, eid long, is_case int, in_cohort int")
-    stacked = reduce(DataFrame.unionByName, parts).where(F.col("eid").isNotNull()).unionByName(named)
-    distinct = stacked.groupBy("source", "eid").agg(
-        F.max("is_case").alias("is_case"), F.max("in_cohort").alias("in_cohort")
-    )
-    counts = distinct.groupBy("source").agg(
-        F.sum("is_case").alias("cases"), F.sum("in_cohort").alias("n")
-    )
-    return counts.withColumn("case_rate", F.try_divide("cases", "n"))
+    for name, frames in sources.items():
+        for kind, frame in zip(("cases", "n"), frames):
+            parts.append(frame.select(F.lit(name).alias("source"), F.lit(kind).alias("kind"), F.col("eid").cast("long").alias("eid")))
+    stacked = reduce(DataFrame.unionByName, parts).where(F.col("eid").isNotNull())
+    counts = (_counted_by_bitmap if distinct == "bitmap" else _counted_by_row)(stacked)
+    named = parts[0].sparkSession.createDataFrame([(name, kind, 0) for name in sources for kind in ("cases", "n")], "source string, kind string, n long")
+    sums = [F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in ("cases", "n")]
+    rates = counts.unionByName(named).groupBy("source").agg(*sums)
+    return rates.withColumn("case_rate", F.try_divide("cases", "n"))
+
+
+def _counted_by_bitmap(participants: DataFrame) -> DataFrame:
+    marked = participants.groupBy("source", "kind", F.bitmap_bucket_number("eid").alias("bucket"))
+    bitmaps = marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("eid")).alias("bitmap"))
+    return bitmaps.groupBy("source", "kind").agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
+
+
+def _counted_by_row(participants: DataFrame) -> DataFrame:
+    return participants.distinct().groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
 def association_power(

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenotide.functions.codes import keep_codes, keep_values
+from phenotide.functions.codes import Index, keep_codes, keep_values
 from phenotide.functions.dates import add_days, parse_date, parse_dates, subtract_days
 
 Codes = str | Iterable[str] | None
@@ -49,9 +49,10 @@ def opcs_records(
     filter_column: str | None = None,
     filter_values: Sequence | None = None,
     match: str = "regex",
+    index: Index | None = None,
 ) -> DataFrame:
-    """Operations whose ``oper3`` or ``oper4`` matches ``codes``."""
-    kept = keep_values(keep_codes(operations, ["oper3", "oper4"], codes, match), filter_column, filter_values)
+    """Operations whose ``oper3`` or ``oper4`` matches ``codes``; ``index``: that of the table's codes, if there is one."""
+    kept = keep_values(keep_codes(operations, ["oper3", "oper4"], codes, match, index=index), filter_column, filter_values)
     whole_numbers = ("eid", "ins_index", "arr_index", "posopdur", "preopdur")
     typed = kept.withColumns(
         {**{name: F.col(name).cast("long") for name in whole_numbers}, "opdate": parse_date(kept, "opdate")}
@@ -66,6 +67,7 @@ def icd10_records(
     filter_column: str | None = None,
     filter_values: Sequence | None = None,
     match: str = "regex",
+    index: Index | None = None,
 ) -> DataFrame:
     """Hospital diagnoses by ICD-10 code with the dates of their episode.
 
@@ -74,7 +76,7 @@ def icd10_records(
     Tables stored by ``sinks.write_bucketed`` are joined without a shuffle. Otherwise the settings of
     ``build_session`` let Spark filter large episode tables by the selected keys before it shuffles them.
     """
-    kept = keep_codes(diagnoses, ["diag_icd10"], codes, match).select(*DIAGNOSIS_COLUMNS)
+    kept = keep_codes(diagnoses, ["diag_icd10"], codes, match, index=index).select(*DIAGNOSIS_COLUMNS)
     joined = keep_values(_with_episode(kept, episodes), filter_column, filter_values)
     return _hospital_dates(joined, "HES_ICD10", exclude=False, reason="")
 
@@ -86,13 +88,14 @@ def icd9_records(
     filter_column: str | None = None,
     filter_values: Sequence | None = None,
     match: str = "regex",
+    index: Index | None = None,
 ) -> DataFrame:
     """Hospital diagnoses by ICD-9 code; rows without any episode date are marked for exclusion.
 
     The nine diagnosis columns are named by position.
     """
     named = diagnoses.toDF(*ICD9_COLUMNS).drop("diag_icd9_add", "diag_icd10_add")
-    kept = keep_codes(named, ["diag_icd9"], codes, match)
+    kept = keep_codes(named, ["diag_icd9"], codes, match, index=index)
     joined = keep_values(_with_episode(kept, episodes), filter_column, filter_values)
     return _hospital_dates(joined, "HES_ICD9", exclude=True, reason=NO_EPISODE_DATES)
 

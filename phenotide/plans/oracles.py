@@ -259,6 +259,11 @@ _PARTICIPANT_COLUMNS = [
     "p20003_i0_a0", "p20003_i1_a0", "p20004_i0_a0", "p31",
 ]
 
+_LINEITEM_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
 SQL = {
     "gp_by_codes": _GP.format(where=_FROZEN_SHOULDER),
     "gp_all": _GP.format(where="data_provider IN (1, 2)"),
@@ -266,6 +271,9 @@ SQL = {
     "opcs_by_codes": _OPCS.format(where="regexp_matches(oper3, 'W78|81') OR regexp_matches(oper4, 'W78|81')"),
     "icd10_by_codes": _icd10("regexp_matches(d.diag_icd10, 'E10|E11')"),
     "icd10_by_prefix": _icd10("d.diag_icd10 LIKE 'E113%' OR d.diag_icd10 LIKE 'M750%'"),
+    "icd10_by_code_index": _icd10("regexp_matches(d.diag_icd10, 'E1[01]|^C5.$')"),
+    "opcs_code_counts": """
+SELECT oper4 AS code, CAST(count(*) AS BIGINT) AS entries FROM fx_hesin_oper WHERE regexp_matches(oper4, 'W7[0-4]|9$') GROUP BY oper4""",
     "icd9_by_codes": _icd9("regexp_matches(d.diag_icd9, '250')"),
     "selfreport_illness": _selfreport(_ILLNESS, "1222"),
     "selfreport_no_match": _selfreport(_ILLNESS, "9999"),
@@ -320,6 +328,12 @@ FROM calls JOIN means USING (chrom, pos) GROUP BY eid""",
 SELECT eid, sum(weight * calls) / (2 * count(*)) AS score
 FROM ({_CALLS}) c WHERE calls IS NOT NULL GROUP BY eid""",
     "source_case_rates": _RATES,
+    "source_case_rates_by_row": f"""
+SELECT source, cases, n, cases / CAST(n AS DOUBLE) AS case_rate FROM (
+  SELECT 'HES' AS source, (SELECT CAST(count(DISTINCT eid) AS BIGINT) FROM ({_icd10("regexp_matches(d.diag_icd10, 'E10|E11')")}) h) AS cases,
+    (SELECT CAST(count(DISTINCT eid) AS BIGINT) FROM fx_hesin) AS n
+  UNION ALL SELECT 'GP', (SELECT CAST(count(DISTINCT eid) AS BIGINT) FROM ({_GP.format(where=_FROZEN_SHOULDER)}) g),
+    (SELECT CAST(count(DISTINCT eid) AS BIGINT) FROM fx_gp_clinical)) s""",
     # The quantiles are those of alpha = 1e-9 and 0.05, two-sided.
     "association_power": _power([1.5, 2, 3], 6.109410204869, "/"),
     "association_power_multiplied": _power([0.5, 1.2, 4], 1.959963984540054, "*"),
@@ -334,16 +348,48 @@ FROM ({_CALLS}) c WHERE calls IS NOT NULL GROUP BY eid""",
         f"SELECT '{name}' AS \"column\", CAST(count(*) - count({name}) AS BIGINT) AS nulls FROM fx_selfreport_participant"
         for name in _PARTICIPANT_COLUMNS
     ),
+    "null_profile_stored": " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", CAST(count(*) - count({name}) AS BIGINT) AS nulls FROM lineitem" for name in _LINEITEM_COLUMNS
+    ),
     "drop_all_null": """
 SELECT dnx_hesin_diag_id, eid, ins_index, arr_index, level, diag_icd9, diag_icd10 FROM fx_hesin_diag""",
 }
 
+_CLINICAL = ("eid", "data_provider", "event_dt", "read_2", "read_3", "value1", "value2", "value3")
+
+# Sources and sinks: what was written is what is read.
+SQL |= {
+    "tsv_text": f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _CLINICAL)} FROM fx_gp_clinical",
+    "tsv_typed": _GP.format(where="read_2 = '22K..' OR read_3 = '22K..'"),
+    "trait_list": "SELECT name AS Code, kind FROM fx_field_dictionary, (VALUES ('plain'), ('table')) k(kind)",
+    "csv_headerless": " UNION ALL ".join(
+        f"""
+SELECT eid, data_provider, TRY_CAST(issue_date AS DATE) AS issue_date, read_2, dmd_code, bnf_code, drug_name, quantity
+FROM fx_gp_scripts WHERE {name} IN ('3000', 'f4...')"""
+        for name in ("dmd_code", "read_2", "bnf_code")
+    ),
+    "csv_with_header": "SELECT * FROM fx_death",
+    "score_report": "SELECT eid, sum(COALESCE(allele1_count, 0)) / CAST(64 AS DOUBLE) AS score FROM fx_genotypes GROUP BY eid",
+    "score_file": f"SELECT eid, sum(weight * calls) / (2 * count(*)) AS score FROM ({_CALLS}) c WHERE calls IS NOT NULL GROUP BY eid",
+    "parquet_by_chromosome": """
+SELECT chrom, pos, CAST(count(*) AS BIGINT) AS calls, CAST(sum(allele1_count) AS BIGINT) AS alleles
+FROM fx_genotypes WHERE chrom IN (3, 4) GROUP BY chrom, pos""",
+    "column_dictionary": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, 'Title of {name}' AS title, CAST(count(*) AS BIGINT) AS rows FROM fx_selfreport_participant" for name in _PARTICIPANT_COLUMNS
+    ),
+    "write_if_absent": "SELECT coding, meaning FROM fx_coding",
+    "extended_versions": "SELECT eid, p31, p20001_i0_a0, p20001_i1_a0, p20003_i1_a0, 2 AS version FROM fx_selfreport_participant",
+    "manifest": "SELECT b.eid, b.dob, d.date_of_death FROM fx_baseline b JOIN fx_death d ON b.eid = d.eid",
+}
+
 
 def oracle(name: str) -> str:
     """The SQL of a query with the record tables it uses as leading common table expressions."""
     body = SQL[name].strip()
     used = [fixture for fixture in FIXTURES if re.search(rf"\b{fixture}\b", body)]
     tables = ",\n".join(f"{fixture} AS ({fixture_sql(fixture)})" for fixture in used)
+    if not used:
+        return body
     return f"WITH {tables}\nSELECT * FROM (\n{body}\n) result"
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from phenotide.functions.dates import years_between
 from phenotide.operators import fields, genetics, participant, power, records, registries, timeline
+from phenotide.plans import stored
 from phenotide.plans.fixtures import Tables
+from phenotide.sources import footers
+from phenotide.sources.code_index import CodeIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +48,16 @@ def icd10_by_prefix(t: Tables) -> DataFrame:
     return records.icd10_records(t.hesin_diag, t.hesin, ["E11.3", "M75.0"], match="prefix")
 
 
+def icd10_by_code_index(t: Tables) -> DataFrame:
+    """The patterns are judged on the distinct codes of the table."""
+    index = CodeIndex.of(t.hesin_diag, ["diag_icd10"])
+    return records.icd10_records(t.hesin_diag, t.hesin, ["E1[01]", "^C5.$"], index=index)
+
+
+def opcs_code_counts(t: Tables) -> DataFrame:
+    return CodeIndex.of(t.hesin_oper, ["oper3", "oper4"]).counts("oper4", ["W7[0-4]", "9$"])
+
+
 def icd9_by_codes(t: Tables) -> DataFrame:
     return records.icd9_records(t.hesin_diag, t.hesin, ["250"])
 
@@ -156,6 +169,11 @@ def source_case_rates(t: Tables) -> DataFrame:
     )
 
 
+def source_case_rates_by_row(t: Tables) -> DataFrame:
+    diabetes = records.icd10_records(t.hesin_diag, t.hesin, DIABETES_ICD10)
+    return power.source_case_rates({"HES": (diabetes, t.hesin), "GP": (records.gp_records(t.gp_clinical, FROZEN_SHOULDER_GP), t.gp_clinical)}, distinct="rows")
+
+
 def association_power(t: Tables) -> DataFrame:
     grid = power.association_power(t.variants, source_case_rates(t).drop("case_rate"))
     return grid.withColumn("power", F.round("power", 6))
@@ -208,6 +226,11 @@ def null_profile(t: Tables) -> DataFrame:
     return fields.column_null_profile(t.selfreport_participant)
 
 
+def null_profile_stored(t: Tables) -> DataFrame:
+    """Of a table as it is stored: counts from its footers, and from data for its floating-point columns."""
+    return footers.stored_null_profile(t.spark, f"{t.sf_dir}/lineitem.parquet")
+
+
 def drop_all_null(t: Tables) -> DataFrame:
     return fields.drop_all_null_columns(t.hesin_diag)
 
@@ -221,6 +244,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         opcs_by_codes,
         icd10_by_codes,
         icd10_by_prefix,
+        icd10_by_code_index,
+        opcs_code_counts,
         icd9_by_codes,
         selfreport_illness,
         selfreport_no_match,
@@ -240,6 +265,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         genetic_score,
         genetic_score_drop_missing,
         source_case_rates,
+        source_case_rates_by_row,
         association_power,
         association_power_multiplied,
         association_solve,
@@ -248,6 +274,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         fields_for_id,
         fields_by_keyword,
         null_profile,
+        null_profile_stored,
         drop_all_null,
     )
 }
@@ -255,7 +282,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 
 def registered() -> dict[str, Query]:
     """Query name -> function of (spark, folder of test tables)."""
-    return {name: _bind(query) for name, query in QUERIES.items()}
+    return {name: _bind(query) for name, query in (QUERIES | stored.QUERIES).items()}
 
 
 def _bind(query: Callable[[Tables], DataFrame]) -> Query:

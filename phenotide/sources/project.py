@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from phenotide.functions.names import literal_col
 from phenotide.operators import fields, genetics, participant, records, registries, timeline
 from phenotide.operators.records import Codes
-from phenotide.sources import sinks, text
+from phenotide.sources import commits, footers, sinks, text
+from phenotide.sources.code_index import CodeIndex, read_code_index, write_code_index
 
 
 class Project:
     """Tables of one project: Parquet under ``<root>/<data>``, column dictionaries under ``<root>/<columns>``.
 
     Every reader returns a lazy DataFrame. File names are arguments, with the usual names as defaults.
-    A table that was extended lies in a folder per version, with a table of its versions beside it.
+    A table that was extended lies in a folder per version; what counts is the last version committed.
     """
 
     def __init__(self, spark: SparkSession, root: str, data: str = "data", columns: str = "cols_in_tables"):
@@ -32,16 +34,27 @@ class Project:
 
     def version(self, name: str) -> int:
         """How often a stored table was extended under its own name."""
-        try:
-            return self.spark.read.schema("version int").parquet(f"{self.data}/{name}.versions").agg({"version": "max"}).first()[0] or 0
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return 0
-            raise
+        return self._latest(name)[0]
+
+    def _latest(self, name: str) -> tuple[int, dict]:
+        return commits.latest(self.spark, f"{self.data}/{name}.versions")
 
     def _versioned(self, folder: str, name: str) -> str:
-        version = self.version(name)
-        return f"{folder}/{name}.v{version}" if version else f"{folder}/{name}"
+        return f"{folder}/{self._latest(name)[1].get('stem', name)}"
+
+    def index_codes(self, name: str, columns: Sequence[str]) -> None:
+        """Store the distinct codes of a table's columns beside it; readers then turn patterns into equality filters.
+
+        Once the table's files change the index is left alone until it is stored again.
+        """
+        write_code_index(self.table(name), columns, f"{self.data}/{name}.codes")
+
+    def code_index(self, name: str) -> CodeIndex | None:
+        return read_code_index(self.spark, f"{self.data}/{name}.codes", self.table(name))
+
+    def null_profile(self, name: str) -> DataFrame:
+        """Nulls per column of a stored table, from its footers where these tell them."""
+        return footers.stored_null_profile(self.spark, f"{self._versioned(self.data, name)}.parquet")
 
     def coding(self, file: str) -> DataFrame:
         return text.read_tsv(self.spark, f"{self.data}/{file}").selectExpr("try_cast(coding AS int) AS coding", "meaning")
@@ -78,17 +91,23 @@ class Project:
         return records.gp_records(self.table(filename), codes, **options)
 
     def read_opcs(self, codes: Codes, filename: str = "HES_hesin_oper", **options) -> DataFrame:
-        return records.opcs_records(self.table(filename), codes, **options)
+        return records.opcs_records(self.table(filename), codes, **self._indexed(filename, options))
 
     def read_icd10(
         self, codes: Codes, diagfile: str = "HES_hesin_diag", recordfile: str = "HES_hesin", **options
     ) -> DataFrame:
-        return records.icd10_records(self.table(diagfile), self.table(recordfile), codes, **options)
+        return records.icd10_records(self.table(diagfile), self.table(recordfile), codes, **self._indexed(diagfile, options))
 
     def read_icd9(
         self, codes: Codes, diagfile: str = "HES_hesin_diag", recordfile: str = "HES_hesin", **options
     ) -> DataFrame:
-        return records.icd9_records(self.table(diagfile), self.table(recordfile), codes, **options)
+        return records.icd9_records(self.table(diagfile), self.table(recordfile), codes, **self._indexed(diagfile, options))
+
+    def _indexed(self, name: str, options: dict) -> dict:
+        """Options of a reader that matches patterns, with the index of its table if that is stored and current."""
+        if options.get("match", "regex") != "regex" or "index" in options:
+            return options
+        return {**options, "index": self.code_index(name)}
 
     def read_gp_scripts(self, codes: Codes, filename: str = "GP_gp_scripts") -> DataFrame:
         return registries.gp_scripts(self.table(filename), codes)
@@ -217,21 +236,28 @@ class Project:
             raise ValueError(f"{name!r} is stored without {lacking}; extend it with existing={name!r}")
         return stored
 
+    def extend(self, name: str, dataset: DataFrame, dictionary: DataFrame, codes: Sequence[str], use_descriptions: bool = False, file_format: str = "parquet") -> DataFrame:
+        """Add the columns of some codes that a stored table lacks, as its next version; returns what is stored."""
+        return self._extend(name, dataset, fields.resolve_fields(dictionary, dataset.columns, codes), use_descriptions, file_format)
+
     def _extend(
         self, name: str, dataset: DataFrame, wanted: dict[str, str], use_descriptions: bool, file_format: str
     ) -> DataFrame:
-        """Write the next version of a stored table, then its number; readers see the old one until then."""
+        """Write the next version of a stored table and commit it; readers see the old one until then.
+
+        A commit names table and dictionary together. Of two extensions of the same version one is
+        committed, the other raises ``VersionConflict`` and can be run again on the new version.
+        """
+        number = self.version(name) + 1
         stored = self._read(name, file_format)
         extended = fields.append_fields(stored, dataset, list(wanted), wanted if use_descriptions else None)
         if extended.columns == stored.columns:
             return stored
-        number = self.version(name) + 1
         titles = self._known_titles(name) | wanted
-        # Whatever an extraction that broke off has left there was never counted.
-        self._write(extended, f"{self.data}/{name}.v{number}.{file_format}", file_format, only_if_absent=False)
-        sinks.write_column_dictionary(self.spark, titles, f"{self.columns}/{name}.v{number}.txt")
-        versions = self.spark.createDataFrame([(number,)], "version int").coalesce(1)
-        versions.write.mode("append").parquet(f"{self.data}/{name}.versions")
+        stem = f"{name}.v{number}-{uuid4().hex[:12]}"
+        self._write(extended, f"{self.data}/{stem}.{file_format}", file_format)
+        sinks.write_column_dictionary(self.spark, titles, f"{self.columns}/{stem}.txt")
+        commits.commit(self.spark, f"{self.data}/{name}.versions", number, {"stem": stem})
         return self._read(name, file_format)
 
     def _known_titles(self, name: str) -> dict[str, str]:
@@ -243,8 +269,8 @@ class Project:
                 return {}
             raise
 
-    def _write(self, df: DataFrame, path: str, file_format: str, only_if_absent: bool = True) -> None:
-        (sinks.write_csv if file_format == "csv" else sinks.write_parquet)(df, path, only_if_absent)
+    def _write(self, df: DataFrame, path: str, file_format: str) -> None:
+        (sinks.write_csv if file_format == "csv" else sinks.write_parquet)(df, path, only_if_absent=True)
 
     def _read(self, name: str, file_format: str) -> DataFrame:
         if file_format == "csv":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: name of the code column in trait lists and column dictionaries.
@@ -43,24 +43,30 @@ def read_trait_list(spark: SparkSession, path: str) -> DataFrame:
 def read_report(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """Columns of a report with a header line and columns separated by any run of blanks.
 
-    ``columns`` maps a header name to (new name, type). Reads the header at once.
+    ``columns`` maps a header name to (new name, type). The header is read by the query itself: no job
+    runs while the plan is built, and a name that it lacks is an error when rows are read.
     """
-    header, lines = _blank_separated(spark, path)
-    return lines.select(
-        *[F.get("fields", header.index(name)).cast(kind).alias(new) for name, (new, kind) in columns.items()]
+    first = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").limit(1)
+    header = F.split(first.scalar(), r"\s+")
+    return _blank_separated(spark, path).select(
+        *[_named_field(header, name).cast(kind).alias(new) for name, (new, kind) in columns.items()]
     )
 
 
-def _blank_separated(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """The header, and the other lines split at blanks as ``fields``.
+def _named_field(header: Column, name: str) -> Column:
+    place = F.array_position(header, name)
+    absent = F.raise_error(F.lit(f"the report has no column {name!r}")).cast("string")
+    return F.when(place == 0, absent).otherwise(F.get("fields", (place - 1).cast("int")))
+
+
+def _blank_separated(spark: SparkSession, path: str) -> DataFrame:
+    """The lines but for the header, split at blanks as ``fields``.
 
     Only the first line of a file is its header; an equal line further on is data.
     """
-    header = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").first().line
     # One column that no separator splits; the reader leaves the first line out.
     lines = _table(spark, path, "value string", sep="\x01", quote="", header=True)
-    split = F.split(F.trim("value"), r"\s+")
-    return header.split(), lines.where(F.trim("value") != "").select(split.alias("fields"))
+    return lines.where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("fields"))
 
 
 def read_score_report(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +80,7 @@ def read_score_file(spark: SparkSession, path: str) -> DataFrame:
     Text that is no number, such as a chromosome X, becomes null.
     """
     types = {"chrom": "int", "pos": "long", "other_allele": "string", "effect_allele": "string", "weight": "double"}
-    _, lines = _blank_separated(spark, path)
+    lines = _blank_separated(spark, path)
     return lines.select(*[F.get("fields", i).try_cast(kind).alias(name) for i, (name, kind) in enumerate(types.items())])
 
 

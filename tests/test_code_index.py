@@ -1,0 +1,89 @@
+"""Stored codes: patterns become equality filters, with the results of the patterns."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import pytest
+
+from phenotide.functions.codes import keep_codes
+from phenotide.operators import records
+from phenotide.plans.fixtures import Tables
+from phenotide.sources.code_index import CodeIndex, read_code_index, write_code_index
+from phenotide.sources.project import Project
+
+SF_DIR = "/root/testdata/sf0.001"
+PATTERNS = ["E1[01]", "^C5.$", "50$"]
+
+
+@pytest.fixture(scope="module")
+def project(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("project")
+    tables = Tables(spark, SF_DIR)
+    tables.hesin_diag.write.parquet(f"{root}/data/HES_hesin_diag.parquet")
+    tables.hesin.write.parquet(f"{root}/data/HES_hesin.parquet")
+    tables.hesin_oper.write.parquet(f"{root}/data/HES_hesin_oper.parquet")
+    made = Project(spark, str(root))
+    made.index_codes("HES_hesin_diag", ["diag_icd10", "diag_icd9"])
+    made.index_codes("HES_hesin_oper", ["oper3", "oper4"])
+    return made
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_reach_the_scan_as_equality(spark, project):
+    df = project.read_icd10(["E1[0]", "^C5[0-1]$"])
+    pushed = re.search(r"PushedFilters: \[.*In\(diag_icd10, \[([^\]]*)\]\)", plan(df)).group(1).split(",")
+    every = [r[0] for r in project.table("HES_hesin_diag").select("diag_icd10").distinct().collect() if r[0]]
+    assert pushed == sorted(c for c in every if any(re.search(p, c) for p in ("E10", "^C5[01]$")))
+    assert "RLIKE" not in plan(df) and "rlike" not in plan(df)
+    both = plan(project.read_opcs(["^W7[1-3]1", "^81[05]"]))
+    assert re.search(r"PushedFilters: .*(In|EqualTo)\(oper4,", both) and "RLIKE" not in both
+
+
+@pytest.mark.parametrize("patterns", [PATTERNS, ["none such"], ["."], "M75.0", ["E10", "E11"]])
+def test_rows_are_those_of_the_patterns(project, patterns):
+    indexed = project.read_icd10(patterns)
+    plain = records.icd10_records(project.table("HES_hesin_diag"), project.table("HES_hesin"), patterns)
+    assert indexed.schema == plain.schema
+    assert Counter(map(tuple, indexed.collect())) == Counter(map(tuple, plain.collect()))
+    nine = project.read_icd9(patterns)
+    assert Counter(map(tuple, nine.collect())) == Counter(map(tuple, records.icd9_records(project.table("HES_hesin_diag"), project.table("HES_hesin"), patterns).collect()))
+
+
+def test_too_many_codes_stay_a_pattern(spark):
+    table = spark.createDataFrame([(f"A{i:03d}",) for i in range(50)] + [(None,)], "code string")
+    index = CodeIndex.of(table, ["code"], most=10)
+    assert index.matching("code", ["A00"]) == [f"A00{i}" for i in range(10)]
+    assert index.matching("code", ["A0"]) is None
+    assert keep_codes(table, ["code"], ["A0"], index=index).count() == 50
+    assert keep_codes(table, ["code"], ["A00"], index=index).count() == 10
+    assert keep_codes(table, ["code"], [], index=index).count() == 51
+
+
+def test_counts_come_from_the_index(spark):
+    table = spark.createDataFrame([("a", "x"), ("a", None), (None, "a"), ("b", "x")], "one string, two string")
+    index = CodeIndex.of(table, ["one", "two"])
+    assert {tuple(r) for r in index.counts("one", ["."]).collect()} == {("a", 2), ("b", 1)}
+    assert {tuple(r) for r in index.codes.collect()} == {("one", "a", 2), ("one", "b", 1), ("two", "x", 2), ("two", "a", 1)}
+
+
+def test_an_index_of_other_files_is_not_used(spark, tmp_path):
+    path, codes = f"{tmp_path}/t.parquet", f"{tmp_path}/t.codes"
+    spark.createDataFrame([("A1",)], "code string").write.parquet(path)
+    assert read_code_index(spark, codes, spark.read.parquet(path)) is None
+    write_code_index(spark.read.parquet(path), ["code"], codes)
+    assert read_code_index(spark, codes, spark.read.parquet(path)).matching("code", ["A"]) == ["A1"]
+    spark.createDataFrame([("A2",)], "code string").write.mode("append").parquet(path)
+    assert read_code_index(spark, codes, spark.read.parquet(path)) is None
+
+
+def test_an_empty_table_has_no_index(spark, tmp_path):
+    spark.createDataFrame([], "code string").write.parquet(f"{tmp_path}/t.parquet")
+    table = spark.read.parquet(f"{tmp_path}/t.parquet")
+    write_code_index(table, ["code"], f"{tmp_path}/t.codes")
+    assert read_code_index(spark, f"{tmp_path}/t.codes", table) is None
+    assert CodeIndex.of(table, ["code"]).matching("code", ["."]) == []

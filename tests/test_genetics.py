@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenotide.functions.normal import normal_cdf
-from phenotide.functions.sizes import groups_below
+from phenotide.functions.sizes import Slice, position_slices, table_bytes
 from phenotide.operators import genetics, power
 
 GENOTYPES = "eid long, chrom int, pos long, allele1 string, allele2 string, allele1_count int"
@@ -150,12 +150,72 @@ def test_lines_and_calls_of_other_chromosomes_are_left_out(spark):
     assert genetics.genetic_score(genotypes, scores.limit(0)).count() == 0
 
 
-def test_chromosomes_are_grouped_by_size():
-    assert groups_below({1: 5, 2: 5, 3: 20, 4: 3, 5: 9}, 10) == [([1, 2], True), ([3], False), ([4], True), ([5], True)]
-    assert groups_below({}, 10) == []
+def score_rows(spark, rows):
+    return spark.createDataFrame([(c, p, "A", 1.0) for c, p in rows], "chrom int, pos long, effect_allele string, weight double")
 
 
-def test_case_rates(spark):
+def test_slices_keep_below_the_limit_and_hold_every_row_once(spark):
+    rng = random.Random(5)
+    rows = [(c, p) for c, most in ((1, 300_000_000), (2, 50), (3, 10**9), (4, 10)) for p in rng.sample(range(most), min(most, 400))]
+    rows += [(3, 5_000_000 + i) for i in range(600)]  # a dense stretch
+    scores = score_rows(spark, set(rows))
+    row_bytes = scores.limit(1).agg(table_bytes(scores)).first()[0]
+    limit = 70 * row_bytes
+    sets = position_slices(scores, limit)
+    held = [[(c, p) for c, p in set(rows) if any(s.chrom == c and s.low <= p <= s.high for s in slices)] for slices, _ in sets]
+    assert sorted(x for own in held for x in own) == sorted(set(rows))
+    assert all(small and 0 < len(own) * row_bytes <= limit for (_, small), own in zip(sets, held))
+    assert len(sets) < 3 * len(set(rows)) * row_bytes / limit
+
+
+def test_small_chromosomes_share_a_set(spark):
+    scores = score_rows(spark, [(1, 5), (1, 900), (2, 7), (22, 1)])
+    assert position_slices(scores, 1 << 20) == [([Slice(1, 5, 900), Slice(2, 7, 7), Slice(22, 1, 1)], True)]
+    assert position_slices(scores.limit(0), 1 << 20) == []
+    assert [small for _, small in position_slices(scores, 1)] == [False] * 4
+
+
+@pytest.mark.parametrize("missing", ["impute", "drop"])
+def test_genotypes_are_neither_shuffled_nor_read_beyond_a_slice(spark, tmp_path, missing):
+    """A chromosome beyond the limit is sent in slices; a table sorted by position is pruned to each."""
+    positions = range(0, 40_000, 10)
+    scores = spark.createDataFrame([(1, p, "G", "A", (p % 64) / 64) for p in positions], SCORES)
+    calls = spark.range(0, 40_000, 10).selectExpr("explode(array(1L, 2L, 3L)) eid", "1 AS chrom", "id AS pos", "'A' AS allele1", "'G' AS allele2", "CAST((id DIV 10 + 1) % 3 AS INT) AS allele1_count")
+    calls.repartitionByRange(4, "chrom", "pos").sortWithinPartitions("chrom", "pos").write.parquet(f"{tmp_path}/genotypes")
+    genotypes = spark.read.parquet(f"{tmp_path}/genotypes")
+    found = genetics.genetic_score(genotypes, scores, missing, max_broadcast_bytes=100_000)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan
+    assert "GreaterThanOrEqual(pos," in plan and "LessThanOrEqual(pos," in plan and "EqualTo(chrom,1)" in plan
+    whole = genetics.genetic_score(genotypes, scores, missing).collect()
+    assert {r.eid: r.score for r in found.collect()} == {r.eid: r.score for r in whole} and len(whole) == 3
+
+
+def people_of(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "eid long")
+
+
+def test_bitmaps_count_numbers_of_any_size(spark):
+    ids = [0, 1, -1, 32768, 32769, 32767, -32768, 2**40, -(2**40), 2**62, 5, 5, None, 10**12 + 3]
+    frames = {"a": (people_of(spark, ids), people_of(spark, ids * 2)), "b": (people_of(spark, []), people_of(spark, [2**62]))}
+    for distinct in ("bitmap", "rows"):
+        assert {tuple(r) for r in power.source_case_rates(frames, distinct).collect()} == {("a", 12, 12, 1.0), ("b", 0, 1, 0.0)}
+    with pytest.raises(ValueError, match="distinct"):
+        power.source_case_rates(frames, "sketch")
+
+
+def test_only_bitmaps_are_shuffled(spark):
+    frames = {"a": (people_of(spark, range(10)), people_of(spark, range(100)))}
+    plan = power.source_case_rates(frames)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bitmap_construct_agg" in plan
+    first = plan[plan.rindex("partial_bitmap_construct_agg") :]
+    assert "Exchange" not in first  # nothing is dealt out below the partial bitmaps
+
+
+@pytest.mark.parametrize("distinct", ["bitmap", "rows"])
+def test_case_rates(spark, distinct):
     def people(*ids):
         return spark.createDataFrame([(i,) for i in ids], "eid long")
 
@@ -165,6 +225,7 @@ def test_case_rates(spark):
             "HES": (people(), people(5, None)),
             "OPCS": (people(9), people()),
             "Death": (people(), people()),
-        }
+        },
+        distinct,
     )
     assert {tuple(r) for r in rates.collect()} == {("GP", 2, 4, 0.5), ("HES", 0, 1, 0.0), ("OPCS", 1, 0, None), ("Death", 0, 0, None)}

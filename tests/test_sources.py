@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 
 from phenotide.operators import fields
-from phenotide.sources import sinks, text
+from phenotide.sources import commits, sinks, text
 from phenotide.sources.project import Project
 
 
@@ -222,3 +222,41 @@ def test_extract_equals_the_operator(spark, project, tmp_path):
     stored = project.extract(dataset, dictionary, "one.txt", use_descriptions=True)
     direct = fields.extract_fields(dataset, dictionary, ["eid", "31"], use_descriptions=True)
     assert stored.columns == direct.columns and sorted(rows(stored)) == sorted(rows(direct))
+
+
+def test_of_two_extensions_one_is_told(spark, tmp_path, monkeypatch):
+    """A second extension that begins and ends while the first is writing wins; the first is told and can try again."""
+    wide = spark.createDataFrame([(1, "a", "b", "c"), (2, "d", "e", "f")], "eid long, p1 string, p2 string, p3 string")
+    names = spark.createDataFrame([(n, n.upper()) for n in wide.columns], "name string, title string")
+    project = Project(spark, str(tmp_path))
+    for code, listed in (("base", "eid\np1"), ("more", "p2"), ("other", "p3")):
+        (tmp_path / "cols_in_tables").mkdir(exist_ok=True)
+        (tmp_path / "cols_in_tables" / f"{code}.txt").write_text(listed)
+    project.extract(wide, names, "base.txt")
+    wanted = {"p2": "P2"}
+    usual, begun = Project._write, []
+
+    def write(self, df, path, file_format):
+        usual(self, df, path, file_format)
+        if not begun:
+            begun.append(path)
+            Project(spark, str(tmp_path))._extend("base", wide, {"p3": "P3"}, False, "parquet")
+
+    monkeypatch.setattr(Project, "_write", write)
+    with pytest.raises(commits.VersionConflict):
+        project._extend("base", wide, wanted, False, "parquet")
+    assert project.version("base") == 1 and project.table("base").columns == ["eid", "p1", "p3"]
+    assert project._extend("base", wide, wanted, False, "parquet").columns == ["eid", "p1", "p3", "p2"]
+    assert project.version("base") == 2 and project.column_titles("base")["p2"] == "P2"
+    assert [tuple(r) for r in project.table("base").orderBy("eid").collect()] == [(1, "a", "c", "b"), (2, "d", "f", "e")]
+
+
+def test_commits_are_numbered_files(spark, tmp_path):
+    folder = str(tmp_path / "t.versions")
+    assert commits.latest(spark, folder) == (0, {})
+    commits.commit(spark, folder, 1, {"stem": "x"})
+    commits.commit(spark, folder, 10, {"stem": "y"})
+    with pytest.raises(commits.VersionConflict):
+        commits.commit(spark, folder, 10, {"stem": "z"})
+    assert commits.latest(spark, folder) == (10, {"stem": "y"})
+    assert sorted(x.name for x in (tmp_path / "t.versions").iterdir() if not x.name.endswith(".crc")) == ["1.json", "10.json"]
