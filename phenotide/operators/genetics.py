@@ -30,29 +30,28 @@ def genetic_score(
     A variant whose effect allele is neither allele, or whose chromosome is no number from 1 to 22, is
     left out. The score table is measured at once and broadcast in as few slices of positions as keep
     below ``max_broadcast_bytes`` each, so that genotypes are never shuffled, however many variants are
-    weighted: only sums per participant and slice are. Each slice reads the genotypes of its
+    weighted: only sums per participant are. Each slice reads the genotypes of its
     positions; of a table sorted by chromosome and position, these are a few row groups. Imputation reads
     them twice rather than keep every call of a variant or a participant together.
     """
     if missing not in ("impute", "drop"):
         raise ValueError(f"missing must be 'impute' or 'drop', not {missing!r}")
     weights = _autosomes(scores).select(*_VARIANT, "effect_allele", "weight").where(F.col("pos").isNotNull())
-    parts = [_sums(genotypes, weights, slices, small, missing) for slices, small in position_slices(weights, max_broadcast_bytes)]
-    sums = reduce(DataFrame.unionByName, parts or [_sums(genotypes, weights, [], True, missing)])
-    return sums.groupBy("eid").agg((F.sum("weighted") / (2 * F.sum("calls"))).alias("score"))
+    parts = [_scored(genotypes, weights, slices, small, missing) for slices, small in position_slices(weights, max_broadcast_bytes)]
+    scored = reduce(DataFrame.unionByName, parts or [_scored(genotypes, weights, [], True, missing)])
+    return scored.groupBy("eid").agg((F.sum(F.col("weight") * F.col("count")) / (2 * F.count("*"))).alias("score"))
 
 
-def _sums(genotypes: DataFrame, weights: DataFrame, slices: list[Slice], small: bool, missing: str) -> DataFrame:
-    """Sum of weighted calls and their number, per participant in one set of slices."""
+def _scored(genotypes: DataFrame, weights: DataFrame, slices: list[Slice], small: bool, missing: str) -> DataFrame:
+    """The calls of one set of slices that count, with their weights."""
     own = in_slices(slices) if slices else F.lit(False)
     calls = _effect_counts(genotypes, weights, own, small)
     if missing == "drop":
-        scored = calls.where(F.col("count").isNotNull())
-    else:
-        # One number more per row of ``weights`` at most, which the sizes allow for.
-        means = calls.groupBy(*_VARIANT, "effect_allele", "weight").agg(F.avg("count").alias("mean"))
-        scored = _effect_counts(genotypes, means, own, small).withColumn("count", F.coalesce("count", "mean", F.lit(0.0)))
-    return scored.groupBy("eid").agg(F.sum(F.col("weight") * F.col("count")).alias("weighted"), F.count("*").alias("calls"))
+        return calls.where(F.col("count").isNotNull()).select("eid", "weight", "count")
+    # One number more per row of ``weights`` at most, which the sizes allow for.
+    means = calls.groupBy(*_VARIANT, "effect_allele", "weight").agg(F.avg("count").alias("mean"))
+    imputed = F.coalesce("count", "mean", F.lit(0.0)).alias("count")
+    return _effect_counts(genotypes, means, own, small).select("eid", "weight", imputed)
 
 
 def _autosomes(df: DataFrame) -> DataFrame:
