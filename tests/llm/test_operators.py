@@ -226,10 +226,10 @@ def test_smallest_determinant_of_the_starts(spark):
     rng = np.random.default_rng(8)
     points = np.concatenate([rng.normal(0, 30, (300, 4)), rng.normal(400, 90, (120, 4))]).round().astype(int)
     rows = spark.createDataFrame([("g", *map(int, p)) for p in points], "_group string, _x0 long, _x1 long, _x2 long, _x3 long")
-    best = quality_rules._smallest_determinants(rows, 0.6, 12).first()
+    best = quality_rules._smallest_determinants(rows, 0.6, 8).first()
     ends = quality_rules._starts(rows)
     factor = 0.6 / quality_rules._chi2(quality_rules._quantile(0.6, 4), 6)
-    for _ in range(12):
+    for _ in range(8):
         ends = common.stored(quality_rules._step(rows, ends, 0.6, factor), "ends")
     dets = {r._start: r._logdet for r in ends.collect()}
     assert len(dets) == 3
