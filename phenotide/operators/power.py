@@ -23,35 +23,50 @@ NEGLIGIBLE = 1e-18
 def source_case_rates(sources: Mapping[str, tuple[DataFrame, DataFrame]], distinct: str = "bitmap") -> DataFrame:
     """Cases, cohort size and case rate of each source, from its (cases, cohort) frames.
 
-    Participants are counted exactly. ``distinct='bitmap'`` marks them in bitmaps of 32,768 consecutive
-    numbers, which are combined before the shuffle, so that a source sends one bitmap (4 KB) per range of
-    numbers and task, not a row per participant: right for cohort numbers, which lie close together.
-    ``'rows'`` makes participants distinct as rows first, which is cheaper for numbers spread over the
-    whole range, such as hashes. Either way a source that holds most rows is spread over all tasks. A
+    Participants are counted exactly, in one of three ways; each spreads a source that holds most rows over
+    all tasks. ``distinct='words'`` marks them in words of 64 consecutive numbers, which a task combines by
+    hashing: it holds a word per 64 numbers of its cohort, however many rows it reads, and sends as much.
+    ``'bitmap'`` marks them in bitmaps of 32,768 numbers, so that a source sends least (4 KB per range of
+    numbers and task); Spark combines bitmaps of sorted rows only, so a task sorts all it reads. ``'rows'``
+    makes participants distinct as rows first, for numbers spread over the whole range, such as hashes. A
     source without participants has no cases, a cohort of 0 and no rate.
     """
-    if distinct not in ("bitmap", "rows"):
-        raise ValueError(f"distinct must be 'bitmap' or 'rows', not {distinct!r}")
-    parts = []
-    for name, frames in sources.items():
-        for kind, frame in zip(("cases", "n"), frames):
-            parts.append(frame.select(F.lit(name).alias("source"), F.lit(kind).alias("kind"), F.col("eid").cast("long").alias("eid")))
+    if distinct not in ("bitmap", "words", "rows"):
+        raise ValueError(f"distinct must be 'bitmap', 'words' or 'rows', not {distinct!r}")
+    named = [(name, kind) for name in sources for kind in ("cases", "n")]
+    frames = [frame for pair in sources.values() for frame in pair]
+    # A participant carries the number of the frame, not two names: what a task holds stays narrow.
+    parts = [frame.select(F.lit(i).alias("frame"), F.col("eid").cast("long").alias("eid")) for i, frame in enumerate(frames)]
     stacked = reduce(DataFrame.unionByName, parts).where(F.col("eid").isNotNull())
-    counts = (_counted_by_bitmap if distinct == "bitmap" else _counted_by_row)(stacked)
-    named = parts[0].sparkSession.createDataFrame([(name, kind, 0) for name in sources for kind in ("cases", "n")], "source string, kind string, n long")
+    if distinct == "bitmap":
+        counts = _counted_by_bitmap(stacked, len(frames))
+    else:
+        counts = (_counted_by_word if distinct == "words" else _counted_by_row)(stacked)
+    empty = parts[0].sparkSession.createDataFrame([(i, 0) for i in range(len(frames))], "frame int, n long")
+    source, kind = (F.array(*map(F.lit, names))[F.col("frame")] for names in zip(*named))
+    counts = counts.unionByName(empty).select(source.alias("source"), kind.alias("kind"), "n")
     sums = [F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in ("cases", "n")]
-    rates = counts.unionByName(named).groupBy("source").agg(*sums)
+    rates = counts.groupBy("source").agg(*sums)
     return rates.withColumn("case_rate", F.try_divide("cases", "n"))
 
 
-def _counted_by_bitmap(participants: DataFrame) -> DataFrame:
-    marked = participants.groupBy("source", "kind", F.bitmap_bucket_number("eid").alias("bucket"))
+def _counted_by_bitmap(participants: DataFrame, frames: int) -> DataFrame:
+    """Range and frame make one number, as partial bitmaps are made from sorted rows: rows of two numbers, sorted by one."""
+    place = F.bitmap_bucket_number("eid") * F.lit(frames) + F.col("frame")
+    marked = participants.groupBy(place.alias("place"))
     bitmaps = marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("eid")).alias("bitmap"))
-    return bitmaps.groupBy("source", "kind").agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
+    frame = F.pmod(F.col("place"), F.lit(frames)).cast("int").alias("frame")
+    return bitmaps.groupBy(frame).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
+
+
+def _counted_by_word(participants: DataFrame) -> DataFrame:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("eid").bitwiseAND(63).cast("int"))
+    words = participants.groupBy("frame", F.shiftright("eid", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("frame").agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
 def _counted_by_row(participants: DataFrame) -> DataFrame:
-    return participants.distinct().groupBy("source", "kind").agg(F.count("*").alias("n"))
+    return participants.distinct().groupBy("frame").agg(F.count("*").alias("n"))
 
 
 def association_power(

@@ -165,7 +165,8 @@ def source_case_rates(t: Tables) -> DataFrame:
             "OPCS": (records.opcs_records(t.hesin_oper, ["W789"]), t.hesin_oper),
             "Self": (participant.selfreport_cancer(participants, ["1002"], on_no_match="empty"), participants),
             "Death": (registries.death_records(t.death_cause, t.death, t.baseline, ["E10"]), t.death),
-        }
+        },
+        distinct="words",
     )
 
 

@@ -214,6 +214,20 @@ def test_only_bitmaps_are_shuffled(spark):
     assert "Exchange" not in first  # nothing is dealt out below the partial bitmaps
 
 
+def test_words_count_numbers_of_any_size(spark):
+    ids = [0, 1, -1, 63, 64, 65, -63, -64, -65, 2**40, -(2**40), 2**62, 2**63 - 1, -(2**63), 5, 5, None, 10**12 + 3]
+    frames = {"a": (people_of(spark, ids), people_of(spark, ids * 2)), "b": (people_of(spark, []), people_of(spark, [2**62])), "c": (people_of(spark, []),) * 2}
+    found = power.source_case_rates(frames, "words").collect()
+    assert {tuple(r) for r in found} == {("a", 16, 16, 1.0), ("b", 0, 1, 0.0), ("c", 0, 0, None)} and len(found) == 3
+
+
+def test_words_are_hashed_where_rows_are_read(spark):
+    frames = {"a": (people_of(spark, range(10)), people_of(spark, range(100)))}
+    plan = power.source_case_rates(frames, "words")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan  # a task holds no row, only words
+    assert "Exchange" not in plan[plan.rindex("partial_bit_or") :]
+
+
 @pytest.mark.parametrize("distinct", ["bitmap", "rows"])
 def test_case_rates(spark, distinct):
     def people(*ids):
