@@ -68,18 +68,19 @@ def first_record(records: DataFrame, baseline: DataFrame | None = None) -> DataF
 
     The minimum of a row struct is combined before the shuffle, so a participant with very many
     records sends one row per input partition. Rows are sorted by participant for that, on both
-    sides; select the columns you need beforehand.
+    sides; select the columns you need beforehand. Records of nothing but participant and
+    ``diag_date`` are hashed instead, so that a task holds its participants, not its rows.
     """
     if "diag_date" not in records.columns:
         records = with_diag_date(records)
     order = ["diag_date", *[name for name in TIE_BREAK if name in records.columns]]
     order += [name for name in records.columns if name not in order and name != "eid"]
+    least = F.min(F.struct(*[literal_col(name) for name in order]))
+    if order == ["diag_date"]:
+        least = F.struct(F.when(F.bool_and(F.col("diag_date").isNotNull()), F.min("diag_date")).alias("diag_date"))
     first = (
         records.groupBy("eid")
-        .agg(
-            F.min(F.struct(*[literal_col(name) for name in order])).alias("first"),
-            F.min("diag_date").alias("min_diag_date"),
-        )
+        .agg(least.alias("first"), F.min("diag_date").alias("min_diag_date"))
         .select("eid", "first.*", "min_diag_date")
         .drop("date")
     )

@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Code lists of the queries.
 FROZEN_SHOULDER_GP = ["N210.", "XE1FL", "XE1Hm"]
 DIABETES_ICD10 = ["E10", "E11"]
+# What an age at the first record is computed from; only these columns of merged records are read and shuffled.
+AGED_BY = ("eid", "diag_date")
 # What the tests' selections rename: titles without blanks, so that they read well in SQL.
 NAMES = {"eid": "participant", "p31": "segment", "p20002_i0_a0": "illness_0_0"}
 
@@ -133,8 +135,8 @@ def age_groups(t: Tables) -> DataFrame:
 
 
 def diagnosis_age_groups(t: Tables) -> DataFrame:
-    diabetes = records.icd10_records(t.hesin_diag, t.hesin, DIABETES_ICD10)
-    return timeline.age_group_counts(timeline.first_record(diabetes, t.baseline), bin_size=5)
+    diabetes = timeline.with_diag_date(records.icd10_records(t.hesin_diag, t.hesin, DIABETES_ICD10))
+    return timeline.age_group_counts(timeline.first_record(diabetes.select(*AGED_BY), t.baseline), bin_size=5)
 
 
 def timeline_age_groups(t: Tables) -> DataFrame:
@@ -144,7 +146,7 @@ def timeline_age_groups(t: Tables) -> DataFrame:
         records.icd10_records(t.hesin_diag, t.hesin, ["M750"]),
         sort=False,
     )
-    return timeline.age_group_counts(timeline.first_record(merged, t.baseline))
+    return timeline.age_group_counts(timeline.first_record(merged.select(*AGED_BY), t.baseline))
 
 
 def genetic_score(t: Tables) -> DataFrame:

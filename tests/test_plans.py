@@ -80,6 +80,15 @@ def test_first_record_combines_before_its_only_shuffle(tables):
     assert "partial_min(struct(" in text
 
 
+def test_case_rates_and_ages_sort_no_rows_for_their_aggregates(spark, tables):
+    """Beside the joins nothing holds the rows of a task, and only what an age needs is merged."""
+    names = ("source_case_rates", "association_power", "association_power_multiplied", "association_solve", "timeline_age_groups", "diagnosis_age_groups")
+    for name in names:
+        assert "SortAggregate" not in plan(queries.QUERIES[name](tables)), name
+    text = plan(queries.timeline_age_groups(tables))
+    assert "read_2 AS" not in text and "l_partkey % 9" not in text
+
+
 def test_first_occurrence_uses_hash_aggregation_and_one_shuffle(tables):
     gp, scripts = records.gp_records(tables.gp_clinical), tables.gp_scripts
     frames = {"GP": gp, "scripts": scripts.withColumnRenamed("issue_date", "date")}

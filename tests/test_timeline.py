@@ -139,6 +139,15 @@ def test_first_record_is_the_minimum_of_each_participant(spark, rows):
     assert found == {e: (day(d) if has else None, v) for e, (has, d, v) in expected.items()}
 
 
+def test_first_record_of_dates_alone_is_the_minimum_with_undated_ones_first(spark, baseline):
+    rows = [(1, day(5)), (1, day(3)), (2, day(4)), (2, None), (3, None), (None, day(1)), (1, day(3))]
+    dates = spark.createDataFrame(rows, "eid long, diag_date date")
+    alone = timeline.first_record(dates, baseline)
+    beside = timeline.first_record(dates.withColumn("source", F.lit("a")), baseline).drop("source")
+    assert alone.columns == beside.columns and Counter(map(tuple, alone.collect())) == Counter(map(tuple, beside.collect()))
+    assert {r.eid: (r.diag_date, r.min_diag_date) for r in alone.collect()} == {1: (day(3), day(3)), 2: (None, day(4)), 3: (None, None), None: (day(1), day(1))}
+
+
 def test_first_occurrence(spark):
     gp = frame(spark, [(1, day(2)), (1, day(5)), (2, None), (3, day(1))], "eid long, event_dt date")
     opcs = frame(spark, [(1, day(2)), (3, day(0)), (4, day(9))], "eid long, opdate date")
