@@ -44,6 +44,10 @@ def normal_form(path: str, text: Column) -> Column:
     return F.arrow_udf(normalised, T.StringType())(text)
 
 
+def _normalises(path: str) -> bool:
+    return tokenizer(path).normalizer is not None
+
+
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = tokenizer(path).count
@@ -69,9 +73,12 @@ def append_misses(docs: DataFrame, cache: str, path: str, text: str = "text", mo
     sent to the texts if they are few, and otherwise copies of a text are dropped before texts are shuffled.
     """
     version = tokenizer_digest(path)
-    texts = docs.select(text_of(text).alias("_raw")).select(normal_form(path, F.col("_raw")).alias("_text"))
-    texts = texts.select(F.sha2("_text", 256).alias("_digest"), "_text")
+    texts = docs.select(text_of(text).alias("_raw"))
     known = read_cache(docs.sparkSession, cache).where(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("_digest"))
+    if _normalises(path):
+        texts = texts.join(known.withColumnRenamed("_digest", "_own"), F.sha2("_raw", 256) == F.col("_own"), "left_anti")
+    texts = texts.select(normal_form(path, F.col("_raw")).alias("_text"))
+    texts = texts.select(F.sha2("_text", 256).alias("_digest"), "_text")
     misses = stored(texts.select("_digest").distinct().join(known, "_digest", "left_anti"), "misses")
     if misses.count() <= most_sent:
         fetched = texts.join(F.broadcast(misses), "_digest", "left_semi").dropDuplicates(["_digest"])
@@ -85,7 +92,8 @@ def count_tokens(docs: DataFrame, cache: str, path: str, text: str = "text", lim
     """Every row of docs with n_bytes, n_tokens and over_limit (more than limit tokens).
 
     cache: folder of a Parquet table that all executors reach; it gets the counts of texts it lacks, by
-    the digests of their normal forms and of the tokenizer. A null text counts as the empty one, which has
+    the digests of their normal forms and of the tokenizer; a count that is stored for a text as it is
+    is taken as well, and before that of its normal form. A null text counts as the empty one, which has
     no bytes and no tokens; n_bytes is that of the text as it is. Repeated texts are encoded once, rows are
     never merged. Columns of docs called n_bytes, n_tokens or over_limit are replaced, others stay.
     """
@@ -97,6 +105,9 @@ def count_tokens(docs: DataFrame, cache: str, path: str, text: str = "text", lim
         rows.withColumn("_digest", F.sha2(normal_form(path, text_of(text)), 256))
         .withColumn("n_bytes", F.octet_length(text_of(text)).cast("long"))
         .join(counts, "_digest", "left")
-        .withColumn("over_limit", F.col("n_tokens") > limit)
     )
+    if _normalises(path):
+        own = counts.select(F.col("_digest").alias("_own"), F.col("n_tokens").alias("_own_tokens"))
+        counted = counted.join(own, F.sha2(text_of(text), 256) == F.col("_own"), "left").withColumn("n_tokens", F.coalesce("_own_tokens", "n_tokens"))
+    counted = counted.withColumn("over_limit", F.col("n_tokens") > limit)
     return back(counted, "n_bytes", "n_tokens", "over_limit")
