@@ -15,6 +15,8 @@ from phenotide.functions.names import literal_col
 
 #: Rows that a Python worker turns into Python objects at a time.
 ROWS_AT_ONCE = 256
+#: Rows of a table of known size that go to a file.
+ROWS_PER_FILE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +42,15 @@ def _own_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='llm-')}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: cut lineage that outlives executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows written to the shared folder and read again: cut lineage that outlives executors.
+
+    rows: how many the last step takes, at most, where that is known; it is done in as few tasks as that
+    calls for, so that a small table is not dealt out over as many files as there are shuffle partitions.
+    """
     path = shared_folder(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

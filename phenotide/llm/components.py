@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.where("u != v").select(high, low).distinct(), "links")
     before, now = None, _state(links)
     while now != before:
-        links = stored(_small_star(_large_star(links)), "links")
+        # Each link is moved or gives a node its smallest neighbour, or both.
+        links = stored(_small_star(_large_star(links)), "links", rows=2 * now[0])
         before, now = now, _state(links)
     return links

@@ -33,6 +33,8 @@ BINS = 48
 SCALES = (0.05, 0.3, 0.35, 0.15)
 DIMENSIONS = len(SCALES)
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
+#: Bins of a group and start, about: distances of up to 2 ** 16.
+MOST_BINS = 16 * BINS
 #: Starts of the concentration steps: quartiles without correlation, all rows, directions from the medians.
 STARTS = ("quartiles", "all", "signs")
 #: Concentration steps at most; they end sooner once no log determinant moves by SETTLED.
@@ -163,13 +165,14 @@ def _smallest_determinants(rows: DataFrame, core: float, steps: int) -> DataFram
     """The estimates of each group of rows from the start that ends with the smallest determinant."""
     factor = core / _chi2(_quantile(core, DIMENSIONS), DIMENSIONS + 2)
     now = stored(_starts(rows), "estimates")
+    several = now.count()
     for _ in range(steps):
-        now = stored(_step(rows, now, core, factor), "estimates")
+        now = stored(_step(rows, now, core, factor), "estimates", rows=several * MOST_BINS)
         if now.where(F.col("_moved") > SETTLED).isEmpty():
             break
     estimate = F.struct("_size", "_mean", "_scatter")
     best = now.groupBy("_group").agg(F.min_by(estimate, F.struct(F.round("_logdet", 9), "_start")).alias("_best"))
-    return stored(best.select("_group", "_best.*"), "best")
+    return stored(best.select("_group", "_best.*"), "best", rows=several)
 
 
 def _name(*columns: str):

@@ -354,6 +354,27 @@ def test_keep_one(spark, docs):
     assert Counter(r.doc_id for r in found) == Counter(None if n else i for n, i in kept.values())
 
 
+def test_small_tables_are_not_dealt_out_over_all_shuffle_partitions(spark, monkeypatch):
+    """Each file costs a task and, on a local disk, several processes; rounds of known size go to as few as they call for."""
+    written = []
+    monkeypatch.setattr(quality_rules, "stored", lambda *a, f=common.stored, **b: written.append((a[1], f(*a, **b))) or written[-1][1])
+    links = spark.range(500).selectExpr("id AS u", "id + 1 AS v")
+    counted = spark.range(4000).selectExpr("50 + id % 7 AS n_words", "250 + id % 11 AS word_chars", "id % 3 AS n_symbols", "id % 2 AS n_dup_lines", "0L AS n_repeat_words", "concat('l', id % 40) AS lang", "'s' AS source")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        found = components.components(links)
+        assert quality_rules.with_verdict(counted).count() == 4000
+    finally:
+        spark.conf.set(key, "true")
+    assert found.count() == 500 and len(found.inputFiles()) == 1
+    assert all(len(df.inputFiles()) <= 2 for name, df in [x for x in written if x[0] in ("estimates", "best")][1:])
+    rows = spark.range(1000).repartition(8)
+    for bound, files in ((10, 1), (3 * common.ROWS_PER_FILE, 3), (10**9, 8), (None, 8)):
+        kept = common.stored(rows, "rows", bound)
+        assert len(kept.inputFiles()) == files and kept.agg(F.sum("id")).first()[0] == 499_500
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = np.random.default_rng(3)
     chain = [(i, i + 1) for i in range(100, 160)]
