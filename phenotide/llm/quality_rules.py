@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenotide.functions.names import literal_col
-from phenotide.llm.common import set_aside, stored
+from phenotide.llm.common import ROWS_PER_FILE, set_aside, stored
 from phenotide.llm.text_statistics import COUNTS, with_statistics
 
 #: Steps of a statistic per unit.
@@ -111,8 +111,16 @@ def _distance():
     return sum(terms[1:], terms[0])
 
 
-def _step(rows: DataFrame, estimates: DataFrame, core: float, factor: float) -> DataFrame:
-    """The estimates from the share `core` of each group's rows that lie nearest by the old ones, for each start; whole bins, so rather more."""
+def _few(groups: DataFrame, rows: int) -> DataFrame:
+    """A small table of at most so many rows in as few partitions as that calls for; what made it keeps its own tasks."""
+    return groups.repartition(max(1, -(-rows // ROWS_PER_FILE)))
+
+
+def _step(rows: DataFrame, estimates: DataFrame, core: float, factor: float, most: int = ROWS_PER_FILE) -> DataFrame:
+    """The estimates from the share `core` of each group's rows that lie nearest by the old ones, for each start; whole bins, so rather more.
+
+    There are `most` estimates at most.
+    """
     near = rows.join(estimates.select("_group", "_start", "_mean", "_inverse", F.col("_logdet").alias("_old")), "_group")
     near = near.withColumn("_bin", F.floor(BINS * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))))
     whole = Window.partitionBy("_group", "_start")
@@ -120,13 +128,13 @@ def _step(rows: DataFrame, estimates: DataFrame, core: float, factor: float) ->
     bins = near.groupBy("_group", "_start", "_old", "_bin").agg(*_moments())
     bins = bins.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("_size", F.sum("n").over(whole))
     kept = bins.where(F.col("_before") < core * F.col("_size")).groupBy("_group", "_start", "_old", "_size").agg(*(F.sum(c).alias(c) for c in MOMENTS))
-    return kept.mapInPandas(_estimates(factor), _ESTIMATE)
+    return _few(kept, most).mapInPandas(_estimates(factor), _ESTIMATE)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """The starting estimates of each group, by number of the start."""
+def _starts(rows: DataFrame, most: int = ROWS_PER_FILE) -> DataFrame:
+    """The starting estimates of each group, by number of the start; `most` groups at most."""
     quartiles = rows.groupBy("_group").agg(*(F.percentile(f"_x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(DIMENSIONS)), F.count(F.lit(1)).alias("_size"))
-    quartiles = stored(quartiles, "quartiles")
+    quartiles = stored(_few(quartiles, most), "quartiles")
     spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * GRID), F.lit(2)) + SCALES[i] ** 2 for i in range(DIMENSIONS)]
     middle = F.array(*(F.col(f"q{i}")[1] / GRID for i in range(DIMENSIONS)))
 
@@ -141,9 +149,9 @@ def _starts(rows: DataFrame) -> DataFrame:
     length = F.sqrt(sum((F.pow(F.col(f"u{i}"), F.lit(2)) for i in range(DIMENSIONS)), F.lit(0.0)))
     signs = placed.withColumn("_length", length).select("_group", "_size", *(F.coalesce(F.round(GRID * F.try_divide(F.col(f"u{i}"), F.col("_length"))), F.lit(0)).cast("long").alias(f"_x{i}") for i in range(DIMENSIONS)))
     signs = signs.groupBy("_group", "_size").agg(*_moments()).withColumns({"_start": F.lit(2), "_old": F.lit(math.inf)})
-    scattered = signs.mapInPandas(_estimates(DIMENSIONS), _ESTIMATE).select("_group", "_scatter")
+    scattered = _few(signs, most).mapInPandas(_estimates(DIMENSIONS), _ESTIMATE).select("_group", "_scatter")
     directed = first.withColumnRenamed("_scatter", "_spread").join(scattered, "_group").mapInPandas(_directed, _ESTIMATE)
-    return first.unionByName(every.mapInPandas(_estimates(1.0), _ESTIMATE)).unionByName(directed)
+    return first.unionByName(_few(every, most).mapInPandas(_estimates(1.0), _ESTIMATE)).unionByName(directed)
 
 
 def _directed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,13 +167,13 @@ def _directed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_group": frame["_group"], "_start": 2, "_size": frame["_size"], **found})
 
 
-def _smallest_determinants(rows: DataFrame, core: float, steps: int) -> DataFrame:
-    """The estimates of each group of rows from the start that ends with the smallest determinant."""
+def _smallest_determinants(rows: DataFrame, core: float, steps: int, most: int = ROWS_PER_FILE) -> DataFrame:
+    """The estimates of each group of rows, `most` at most, from the start that ends with the smallest determinant."""
     factor = core / _chi2(_quantile(core, DIMENSIONS), DIMENSIONS + 2)
-    now = stored(_starts(rows), "estimates")
+    now = stored(_starts(rows, most), "estimates")
     several = now.count()
     for _ in range(steps):
-        now = stored(_step(rows, now, core, factor), "estimates")
+        now = stored(_step(rows, now, core, factor, several), "estimates")
         if now.where(F.col("_moved") > SETTLED).isEmpty():
             break
     estimate = F.struct("_size", "_mean", "_scatter")
@@ -227,9 +235,10 @@ def with_verdict(counted: DataFrame, language: str = "lang", source: str = "sour
     vector = [f"_x{i}" for i in range(DIMENSIONS)]
     pools = F.explode(F.array("_full", "_language", F.lit(""))).alias("_group")
     fine = rows.where(~F.col("base_failed")).select(pools, *vector)
-    best = _smallest_determinants(fine, core, steps)
-    groups = stored(rows.select("_full", "_language").distinct(), "groups")
-    judged = rows.join(stored(_drawn(groups, best, prior), "drawn"), "_full", "left").withColumn("distance", _distance())
+    groups = rows.select("_full", "_language").distinct()
+    known = groups.count()
+    best = _smallest_determinants(fine, core, steps, most=2 * known + 1)  # each with its language, and the table
+    judged = rows.join(stored(_drawn(_few(groups, known), best, prior), "drawn"), "_full", "left").withColumn("distance", _distance())
     far = F.coalesce(F.col("distance") > _quantile(1 - tail, DIMENSIONS), F.lit(False))
     return back(judged.withColumn("kept", ~F.col("base_failed") & ~far), "base_failed", "distance", "kept")
 

@@ -277,6 +277,31 @@ def test_quality_rules_judge_small_groups_by_language_then_table(spark):
     assert {r.doc_id for r in found if not r.kept} == {4000, 4001, 4002, 4003, 5000}
 
 
+def test_estimates_lie_in_few_files(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) for _ in range(120)]
+    docs = spark.createDataFrame([row(i, x, f"l{i % 5}", f"s{i % 3}") for i, x in enumerate(texts)], SCHEMA)
+    files = Counter()
+
+    def counted(df, name, rows=None):
+        made = common.stored(df, name, rows)
+        files[name] = max(files[name], len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(quality_rules, "stored", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = quality_rules.judge(docs).select("doc_id", "kept").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == len(texts) and all(r.kept for r in found)
+    assert files.pop("statistics") and max(files.values()) <= 3 and set(files) >= {"quartiles", "estimates", "best", "drawn"}
+
+
 def test_quality_rules_of_nothing(spark):
     assert quality_rules.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
