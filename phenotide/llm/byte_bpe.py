@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,11 @@ from phenotide.llm.tokens import REMEMBERED, Remembering, flat, lists, spaced_ch
 #: Keys per bucket of the perfect hash, on average.
 BUCKET = 3
 
+#: Patterns that try contractions, then a run of letters, of digits and of other marks, each with a space before it or not.
+_WORDS_THEN_MARKS = re.compile(r"(?:'\w+\|)*" + re.escape(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"))
+#: A word in letters of Latin-1 and ASCII marks behind it; an apostrophe may begin a contraction.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
 
 class PerfectHash:
     """Minimal perfect hash by hashing and displacing: a bucket of keys has the first displacement that sends all to free slots, a lone key any free slot."""
@@ -62,7 +68,7 @@ class PerfectHash:
         """The slot of the key, or -1 if it is none of the keys."""
         h = xxhash.xxh64_intdigest(key)
         d = self.shift[(h >> 32) % self.buckets]
-        s = self._slot(h, d) if d >= 0 else ~d
+        s = ((h ^ d * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 >> 24 & 0xFFFFFFFFFF) % self.n if d >= 0 else ~d  # _slot, without a call
         return s if self.key_at[s] == key else -1
 
 
@@ -84,7 +90,9 @@ class ByteBpe:
                     self._joined[left][right] = r
         self._merged = Remembering(self._encode_pieces, REMEMBERED // 8)
         self._bare = Remembering(self._encode_chunks, REMEMBERED // 8)
-        self._spaced = Remembering(lambda chunks: self._encode_chunks([x if x[:1] == "\n" else " " + x for x in chunks]))
+        self._spaced = Remembering(self._encode_spaced)
+        # Whether a word is one match with the space before it, and the marks behind it are another.
+        self._plain_words = bool(_WORDS_THEN_MARKS.match(pattern))
         top = max(ranks.values(), default=-1) + 1
         self._bytes = [b""] * top
         for k, i in ranks.items():
@@ -109,21 +117,27 @@ class ByteBpe:
         heap = [r << shift | i for i, r in enumerate(now) if r >= 0]
         heapify(heap)
         while heap:
-            top = heappop(heap)
+            top = heap[0]
             i = top & start_of
-            r = top >> shift
-            if now[i] != r:
+            r = now[i]
+            if top >> shift != r:
+                heappop(heap)
                 continue
             j = after[i]
             after[i] = k = after[j]
             now[j] = now[i] = -1
             part[i] = r
+            q = -1
             if k < n:
                 before[k] = i
-                if (q := joined[r].get(part[k], -1)) >= 0:
-                    now[i] = q
-                    heappush(heap, q << shift | i)
-            if i and (h := before[i]) >= 0:
+                q = joined[r].get(part[k], -1)
+            if q >= 0:
+                now[i] = q
+                heapreplace(heap, q << shift | i)
+            else:
+                heappop(heap)
+            if i:
+                h = before[i]
                 now[h] = q = joined[part[h]].get(r, -1)
                 if q >= 0:
                     heappush(heap, q << shift | h)
@@ -141,6 +155,34 @@ class ByteBpe:
             out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
+    def _encode_words(self, words: set[str], chunks: dict) -> dict[str, bytes]:
+        """Words with a space before them, each of them one match. Those that are chunks as well are remembered by the caller."""
+        known, slot, new = {}, self._hash.slot, []
+        for word in words:
+            if (s := slot(b" " + word.encode())) >= 0:
+                known[word] = self._packed_at[s]
+            elif (ids := self._spaced.met(word)) is not None:
+                known[word] = ids
+            else:
+                new.append(word)
+        known.update(zip(new, self._encode_pieces([" " + x for x in new])))
+        within = [x for x in new if x not in chunks]
+        self._spaced.remember(within, [known[x] for x in within])
+        return known
+
+    def _encode_spaced(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that follow a space or start with a line break. Words, with or without marks behind them, need no search for matches."""
+        out, rest = {}, chunks
+        if self._plain_words:
+            parts = {x: m.groups() for x in chunks if (m := _WORD.fullmatch(x))}
+            words = self._encode_words({word for word, _ in parts.values()}, parts)
+            distinct = list({marks for _, marks in parts.values()})
+            ends = dict(zip(distinct, self._bare.values(distinct)))
+            out = {x: words[word] + ends[marks] for x, (word, marks) in parts.items()}
+            rest = [x for x in chunks if x not in out]
+        out.update(zip(rest, self._encode_chunks([x if x[:1] == "\n" else " " + x for x in rest])))
+        return list(map(out.__getitem__, chunks))
+
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """The matches of all chunks at once: those the hash knows, then those met before, then the others, each distinct one merged once.
 

@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from phenotide.llm.byte_bpe import PerfectHash, coder, read_ranks
+from phenotide.llm.byte_bpe import ByteBpe, PerfectHash, coder, read_ranks
 from phenotide.llm.tokens import ENTRY, Remembering, tokenizer
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
@@ -51,6 +51,32 @@ def test_very_long_pre_token():
     assert np.frombuffer(coder(MULTI, P.PATTERN).encode(text), "<u4").tolist() == library().encode_ordinary(text)
 
 
+def test_words_with_marks_behind_them_need_no_search_for_matches():
+    own = ByteBpe(read_ranks(MULTI), P.PATTERN)
+    searched = []
+    own._pattern = type("Counting", (), {"findall": lambda self, x, f=own._pattern.findall: searched.append(x) or f(x)})()
+    text = "Start qwzürk, qwzürk qwzürk!! ÀÉx_ a`b| Zzqwx... don't 'tis x'"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library().encode_ordinary(text)
+    assert not any("qw" in x for x in searched)
+    assert own._spaced.met("qwzürk") and " don't" in searched
+
+
+@settings(max_examples=60, deadline=None)
+@given(text=mixed)
+def test_other_patterns_are_searched_for(text):
+    pattern = r" ?\p{L}{1,3}|'s| ?\p{N}+| ?[^\s\p{L}\p{N}]|\s+(?!\S)|\s+"
+    made = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(MULTI), special_tokens={})
+    assert np.frombuffer(coder(MULTI, pattern).encode(text), "<u4").tolist() == made.encode_ordinary(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(chunks=st.lists(st.lists(st.sampled_from(["a", "b", "c" * 100, "d" * 70, "", "e", "f"]), max_size=8), max_size=12))
+def test_remembered_values_are_those_computed(chunks):
+    memory = Remembering(lambda new: [x.encode() * 2 for x in new], 4 * ENTRY)  # so small that words are forgotten
+    for own in chunks:
+        assert list(memory.values(own)) == [x.encode() * 2 for x in own]
+
+
 def test_perfect_hash_is_minimal_and_knows_its_keys():
     keys = [f"k{i}".encode() for i in range(5000)]
     found = PerfectHash(keys)
