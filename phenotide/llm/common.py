@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from phenotide.functions.names import literal_col
 
 #: Rows that a Python worker turns into Python objects at a time.
 ROWS_AT_ONCE = 256
+#: Bytes of text that a worker takes at a time to encode their distinct words once: more repeat in more text.
+TEXT_AT_ONCE = 16 << 20
 #: Rows of a table of known size that go to a file.
 ROWS_PER_FILE = 100_000
 
@@ -66,6 +70,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(at, rows)
 
 
+def slices_of_text(batches: Iterator[pa.RecordBatch], column: str = "_text", most: int = TEXT_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of about that many bytes of a text column without nulls, each of a row at least."""
+    for batch in batches:
+        lengths = np.asarray(pc.binary_length(batch.column(column))).astype(np.int64)
+        part = (np.cumsum(lengths) - lengths) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            if end > at:
+                yield batch.slice(at, end - at)
+
+
 def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """docs with every column but the needed ones under a working name, and the way back to their columns.
 

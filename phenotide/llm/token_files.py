@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,29 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenotide.llm.common import slices, text_of
+from phenotide.llm.common import TEXT_AT_ONCE, slices, slices_of_text, text_of
 from phenotide.llm.tokens import flat, lists, tokenizer
 
 #: Bytes of a row group and of a page. Small pages make the page index selective.
 ROW_GROUP = 32 << 20
 PAGE = 64 << 10
-#: Rows that go to a Python worker at a time: whole texts wait beside sorters and writers.
-BATCH = 512
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What goes to a Python worker at a time, by rows and by bytes: whole texts wait beside sorters and writers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(8192), "spark.sql.execution.arrow.maxBytesPerBatch": str(TEXT_AT_ONCE)}
 
 
 def _encoder(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, total = tokenizer(path).packed, 0
-        for batch in slices(batches):
-            ids = [packed(x) + end for x in batch.column("_text").to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            starts = total + np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-            total += int(n.sum())
-            columns = [batch.column("_key"), batch.column("_shard"), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), lists(ids)]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "shard", "shard_start", "n_tokens", "ids"])
+        packed_all, total = tokenizer(path).packed_all, 0
+        for texts in slices_of_text(batches):
+            encoded = iter(packed_all(texts.column("_text").to_pylist()))
+            for batch in slices([texts]):
+                ids = [x + end for x in islice(encoded, batch.num_rows)]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                starts = total + np.cumsum(n) - n
+                total += int(n.sum())
+                columns = [batch.column("_key"), batch.column("_shard"), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), lists(ids)]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "shard", "shard_start", "n_tokens", "ids"])
 
     return encode
 
@@ -71,12 +73,15 @@ def write_tokens(
     writer = tokens.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true")
     for column in delta:
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
-    spark, usual = docs.sparkSession, docs.sparkSession.conf.get(_BATCH_CONF)
-    spark.conf.set(_BATCH_CONF, str(BATCH))
+    spark = docs.sparkSession
+    usual = {name: spark.conf.get(name) for name in BATCH}
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     try:
         writer.option("parquet.block.size", row_group).option("parquet.page.size", page).parquet(folder)
     finally:
-        spark.conf.set(_BATCH_CONF, usual)
+        for name, value in usual.items():
+            spark.conf.set(name, value)
 
 
 def read_tokens(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("shard", "doc_id", "shard_start", "n_tokens", "ids")) -> DataFrame:
@@ -87,15 +92,15 @@ def read_tokens(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("s
 def with_start(tokens: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """The rows with start, the number of ids of all documents before: the sum of earlier shards and shard_start.
 
-    The totals come from the number columns alone. There is one total per shard, so that their running
-    sum is small; Spark decides from its size whether to broadcast it.
+    The totals come from the number columns alone. There is one total per shard, which is a file of texts
+    sorted in one task, so that their running sum is small and is broadcast: the ids are not shuffled for it.
     """
     from pyspark.sql import Window
 
     totals = spark.read.parquet(folder).groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    joined = tokens.join(bases, F.col("shard") == F.col("_shard"))
+    joined = tokens.join(F.broadcast(bases), F.col("shard") == F.col("_shard"))
     return joined.withColumn("start", F.col("_base") + F.col("shard_start")).drop("_shard", "_base", "_n")
 
 

@@ -1,11 +1,13 @@
-"""Token ids of whole texts by the tokenizers library, each distinct chunk of text encoded once per worker.
+"""Token ids of whole texts by the tokenizers library, each distinct chunk of text encoded once.
 
 A text may be cut before a space between two other visible characters without changing its ids: both
-kinds of tokenizers used here start a new pre-token there. Chunks repeat, so that most are looked up.
+kinds of tokenizers used here start a new pre-token there. A word tokenizer encodes the distinct words of
+a few MB of texts at a time; of a byte-level one a worker remembers the chunks, so that most are looked up.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -13,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of the chunks that a worker remembers of a kind, with their values, about. Longer chunks are not remembered.
 REMEMBERED = 192 << 20
@@ -24,12 +27,37 @@ ENTRY = 200
 _ODD_ASCII = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "  ", "\n\n", " \n", "\n ")
 _ODD_OTHERS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A word in plain letters between ASCII marks; an apostrophe may belong to a word.
-_CORE = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words in plain lower-case letters, which are one pre-token each, and how many go to the library at a time.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+WORDS_AT_ONCE = 4096
 
-#: Byte-level vocabularies name a byte by its character if that is printable, else by one from 256 on.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_NAMES = dict(zip((b for b in range(256) if b not in set(_PRINTABLE)), range(256, 512)))
+
+def _kinds(code_points: int) -> np.ndarray:
+    """2: letters and digits, 1: ASCII marks but for the apostrophe, 0: the rest, all that is beyond the code points included."""
+    table = np.zeros(256, np.uint8)
+    table[[x for x in range(code_points) if chr(x).isalnum()]] = 2
+    table[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = 1
+    return table
+
+
+#: By encoding. A byte of UTF-8 is a character only if it is ASCII.
+_KINDS = {"latin-1": _kinds(256), "utf-8": _kinds(128)}
+
+#: Byte-level vocabularies name a byte by its character if that is printable, else by one from 256 on. Spaces stay, between words.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512))) | {32: 32}
+_BYTE_NAMES = "".join(chr(_OTHERS.get(b, b)) for b in range(256))
+
+
+def marks_apart(texts: list[str], encoding: str) -> list[str]:
+    """Texts without line breaks, with a space wherever a letter or digit meets an ASCII mark other than an apostrophe.
+
+    A word tokenizer starts a pre-token at each such place anyway, and no normal form joins the two.
+    """
+    raw = np.frombuffer("\n".join(texts).encode(encoding), np.uint8)
+    kind = _KINDS[encoding][raw]
+    at = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+    return np.insert(raw, at, ord(" ")).tobytes().decode(encoding).split("\n")
 
 
 def spaced_chunks(text: str) -> tuple[str, list[str]]:
@@ -106,70 +134,90 @@ class Tokenizer:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self._library = Library.from_file(path)
         self.drops_space = self._library.model.end_of_word_suffix is not None
         self.normalizer = self._library.normalizer
         added = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
-        self._bare = Remembering(self._ids_of)
-        self._spaced = Remembering(lambda chunks: self._ids_of([x if x[:1] == "\n" else " " + x for x in chunks]))
-        self._marks = Remembering(self._whole, REMEMBERED // 16)
+        self._bare = Remembering(self._whole)
+        self._spaced = Remembering(lambda chunks: self._whole([x if x[:1] == "\n" else " " + x for x in chunks]))
+        if self.drops_space:
+            self._words = Library(self._library.model)
+            self._words.pre_tokenizer = WhitespaceSplit()
+            vocabulary = self._words.get_vocab()
+            self._is_end = np.zeros(1 + max(vocabulary.values()), bool)
+            self._is_end[[i for token, i in vocabulary.items() if token.endswith(self._library.model.end_of_word_suffix)]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
-    def _core_ids(self, cores: list[str]) -> list[bytes]:
-        """A lower-case word is one pre-token, which goes to the library's model at once."""
-        named = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_NAMES) for x in cores]
-        return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in map(self._library.model.tokenize, named)]
-
-    def _ids_of(self, chunks: list[str]) -> list[bytes]:
-        """Words in plain letters, with or without marks around them, share the ids of the bare word."""
-        if not self.drops_space:
-            return self._whole(chunks)
-        out: list[bytes | None] = [None] * len(chunks)
-        heads, cores, tails, at, odd = [], [], [], [], []
-        for i, chunk in enumerate(chunks):
-            if m := _CORE.fullmatch(chunk.lower()):
-                head, core, tail = m.groups()
-                heads.append(head)
-                cores.append(core)
-                tails.append(tail)
-                at.append(i)
-            elif chunk:
-                odd.append(i)
-            else:
-                out[i] = b""
-        for i, ids in zip(odd, self._whole([chunks[i] for i in odd])):
-            out[i] = ids
-        known = {x: ids for x in set(cores) if (ids := self._bare.met(x)) is not None}
-        new = [x for x in set(cores) if x not in known]
-        values = self._core_ids(new)
-        self._bare.remember(new, values)  # a word alone is a chunk as well
-        known.update(zip(new, values))
-        marks = list(self._marks.values(heads + tails))
-        for i, head, core, tail in zip(at, marks, cores, marks[len(heads) :]):
-            out[i] = head + known[core] + tail
-        return out
+    def _plain_ids(self, words: list[str]) -> pa.ListArray:
+        """Ids of words that are one pre-token: the library's model takes many at once, the token at a word's end says so."""
+        named = codecs.charmap_decode(" ".join(words).encode(), "strict", _BYTE_NAMES)[0]
+        ids = np.array(self._words.encode_batch_fast([named], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self._is_end[ids]) + 1
+        if len(ends) != len(words):  # characters that the vocabulary lacks
+            return lists(self._whole(words))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+
+    def _distinct_ids(self, words: list[str]) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids of different words, and the row of each word among them."""
+        plain = [i for i, x in enumerate(words) if x.isalpha() and _PLAIN.fullmatch(x)]
+        others = np.ones(len(words), bool)
+        others[plain] = False
+        others = np.flatnonzero(others).tolist()
+        parts = [self._plain_ids([words[i] for i in plain[at : at + WORDS_AT_ONCE]]) for at in range(0, len(plain), WORDS_AT_ONCE)]
+        parts.append(lists(self._whole([words[i] for i in others])))
+        row = np.empty(len(words), np.int64)
+        row[plain + others] = np.arange(len(words))
+        return pa.concat_arrays(parts), row
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        lowered = text
+        return self.packed_all([text])[0]
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """packed of each text. A word tokenizer encodes each distinct word of the texts once."""
         if self.drops_space:
+            return self._by_words(texts)
+        return [self._whole([x])[0] if self._added is not None and self._added.search(x) else self._by_chunks(x) for x in texts]
+
+    def _by_chunks(self, text: str) -> bytes:
+        first, rest = spaced_chunks(text)
+        return b"".join(self._bare.values([first])) + b"".join(self._spaced.values(rest))
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        rows: dict[str, list[int]] = {x: [] for x in _KINDS}
+        spread: dict[str, list[str]] = {x: [] for x in _KINDS}
+        for i, text in enumerate(texts):
+            lowered, encoding = text, "utf-8"
             try:
                 text.encode("latin-1")
-                lowered = text.lower()  # here as the library does, which puts upper case into lower case itself
+                lowered, encoding = text.lower(), "latin-1"  # here as the library does, which puts upper case into lower case itself
             except UnicodeEncodeError:
                 pass
-        if self._added is not None and self._added.search(lowered):  # an added token, or what would become one
-            return self._whole([text])[0]
-        if self.drops_space:
-            text = lowered
-            return b"".join(self._bare.values(text.replace("\n", " ").split(" ")))
-        first, rest = spaced_chunks(text)
-        return b"".join(self._bare.values([first])) + b"".join(self._spaced.values(rest))
+            if self._added is not None and self._added.search(lowered):  # an added token, or what would become one
+                out[i] = self._whole([text])[0]
+            else:
+                rows[encoding].append(i)
+                spread[encoding].append(lowered.replace("\n", " "))
+        at = [i for own in rows.values() for i in own]
+        if not at:
+            return out
+        apart = [x for encoding, own in spread.items() if own for x in marks_apart(own, encoding)]
+        words = pc.split_pattern(pa.array(apart, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        ids, row = self._distinct_ids(pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))
+        ends, found = flat(ids.take(pa.array(row[coded.indices.to_numpy()])))
+        ends = ends[words.offsets.to_numpy()].tolist()
+        for i, start, end in zip(at, ends, ends[1:]):
+            out[i] = found[start:end].tobytes()
+        return out
 
     def normal_form(self, text: str) -> str:
         """What the normaliser makes of a text, if that has the same tokens; see token_counts.normal_form."""

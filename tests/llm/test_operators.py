@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -129,6 +130,27 @@ def test_token_files_have_the_chosen_layout(spark):
     assert "ids" not in narrow._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_starts_are_added_without_a_shuffle_of_ids(spark):
+    folder, limit = shared_folder(spark, "files"), "spark.sql.autoBroadcastJoinThreshold"
+    token_files.write_tokens(spark.createDataFrame([row(i, f"text {i}") for i in range(50)], SCHEMA), folder, WORDS, end_id=2)
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        found = token_files.with_start(token_files.read_tokens(spark, folder), spark, folder)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, usual)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_slices_of_text_keep_every_row_and_to_their_size():
+    column = pa.array(["", "a" * 5, "", "b" * 30, "c", "", "d" * 4, "e" * 9])
+    batch = pa.RecordBatch.from_arrays([column, pa.array(range(8))], ["_text", "row"])
+    found = list(common.slices_of_text([batch, batch.slice(0, 0), batch.slice(3, 2)], most=10))
+    assert [x for s in found for x in s.column("row").to_pylist()] == [*range(8), 3, 4]
+    assert len(found) > 3 and all(sum(map(len, s.column("_text").to_pylist()[:-1])) < 10 for s in found)
+
+
 def test_two_tier_encoding(docs):
     made = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     found = byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)

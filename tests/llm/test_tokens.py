@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from phenotide.llm.byte_bpe import ByteBpe, PerfectHash, coder, read_ranks
-from phenotide.llm.tokens import ENTRY, Remembering, tokenizer
+from phenotide.llm.tokens import ENTRY, Remembering, Tokenizer, tokenizer
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
 PIECES = ["a", "The", "don't", "we'll", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "​", ".", "...", ",", "'s", "'S", "é", "é", "Über", "ß", "ΣΑΣ", "12", "3", "½", "日本", "🙂", "_", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartofText|>x", "<|endoftext", "|>", "heonanin", "THERE!!", "﻿", "İ"]
@@ -37,6 +37,31 @@ def test_ids_equal_the_librarys_on_the_whole_text(reference, name, text):
     assert tokenizer(P.path(name)).ids(text).tolist() == reference[name].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(mixed | st.text("aZé'\u2019,.=_-3²ªµ«\u0301\u0338 \n", max_size=12), max_size=6))
+def test_ids_of_many_texts_equal_the_librarys(reference, name, texts):
+    found = [np.frombuffer(x, "<u4").tolist() for x in tokenizer(P.path(name)).packed_all(texts)]
+    assert found == [reference[name].encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_of_many_texts_are_encoded_once(monkeypatch):
+    own, met = Tokenizer(P.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(own, "_plain_ids", lambda words, f=own._plain_ids: met.extend(words) or f(words))
+    texts = ["Qwzu, qwzu (qwzu) blé...", "blé qwzu; blé!", "“qwzu” QWZU. naïve\nqwzu"]
+    assert [len(x) > 0 for x in own.packed_all(texts)] == [True] * 3
+    assert sorted(x for x in met if x == "qwzu" or x == "blé") == ["blé", "qwzu"]
+
+
+def test_a_vocabulary_that_lacks_characters_is_asked_word_by_word():
+    from tokenizers import Tokenizer as Library
+
+    own = Tokenizer(P.path("word_bpe_49k.json"))
+    own._is_end = np.zeros_like(own._is_end)  # no word ends are found
+    text = "plain words, and more words"
+    assert own.ids(text).tolist() == Library.from_file(P.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(text=mixed)
 def test_two_tier_ids_equal_the_librarys_and_decode_to_the_text(text):
