@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenotide.llm.common import slices, slices_of_text, text_of
-from phenotide.llm.tokens import lists, tokenizer
+from phenotide.llm.common import text_of
+from phenotide.llm.tokens import encoded_slices, lists
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -20,21 +20,11 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """A few rows at a time, with the ids of their texts; words are encoded once for many rows."""
-    for texts in slices_of_text(batches):
-        encoded = tokenizer(path).packed_all(texts.column("_text").to_pylist())
-        at = 0
-        for batch in slices([texts], 64):
-            yield batch, encoded[at : at + batch.num_rows]
-            at += batch.num_rows
-
-
 def _cutter(path: str, end_id: int, longest: int, key_type: pa.DataType):
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, encoded in _encoded(batches, path):
+        for batch, encoded in encoded_slices(batches, path, rows=64):
             source, starts, lengths, pieces, sums, totals = [], [], [], [], [], []
             for row, ids in enumerate(encoded):
                 ids += end

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenotide.llm.common import TEXT_AT_ONCE, slices, slices_of_text, text_of
-from phenotide.llm.tokens import flat, lists, tokenizer
+from phenotide.llm.common import TEXT_AT_ONCE, text_of
+from phenotide.llm.tokens import encoded_slices, flat, lists
 
 #: Bytes of a row group and of a page. Small pages make the page index selective.
 ROW_GROUP = 32 << 20
@@ -26,16 +25,14 @@ def _encoder(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed_all, total = tokenizer(path).packed_all, 0
-        for texts in slices_of_text(batches):
-            encoded = iter(packed_all(texts.column("_text").to_pylist()))
-            for batch in slices([texts]):
-                ids = [x + end for x in islice(encoded, batch.num_rows)]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = total + np.cumsum(n) - n
-                total += int(n.sum())
-                columns = [batch.column("_key"), batch.column("_shard"), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), lists(ids)]
-                yield pa.RecordBatch.from_arrays(columns, ["_key", "shard", "shard_start", "n_tokens", "ids"])
+        total = 0
+        for batch, encoded in encoded_slices(batches, path):
+            ids = [x + end for x in encoded]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            starts = total + np.cumsum(n) - n
+            total += int(n.sum())
+            columns = [batch.column("_key"), batch.column("_shard"), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), lists(ids)]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "shard", "shard_start", "n_tokens", "ids"])
 
     return encode
 

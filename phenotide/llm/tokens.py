@@ -2,7 +2,8 @@
 
 A text may be cut before a space between two other visible characters without changing its ids: both
 kinds of tokenizers used here start a new pre-token there. A word tokenizer encodes the distinct words of
-a few MB of texts at a time; of a byte-level one a worker remembers the chunks, so that most are looked up.
+a few MB of texts at a time, and goes through these texts in small parts, before and after: what it needs besides
+their words is that of a part. Of a byte-level one a worker remembers the chunks, so that most are looked up.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ import codecs
 import os
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from phenotide.llm.common import ROWS_AT_ONCE, slices, slices_of_text
+
 #: Bytes of the chunks that a worker remembers of a kind, with their values, about. Longer chunks are not remembered.
 REMEMBERED = 192 << 20
 LONGEST = 64
@@ -30,6 +35,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words in plain lower-case letters, which are one pre-token each, and how many go to the library at a time.
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 WORDS_AT_ONCE = 4096
+#: Bytes of the texts that are split into words, or put together from their ids, at a time.
+PART = 1 << 20
 
 
 def _kinds(code_points: int) -> np.ndarray:
@@ -170,7 +177,7 @@ class Tokenizer:
         others[plain] = False
         others = np.flatnonzero(others).tolist()
         parts = [self._plain_ids([words[i] for i in plain[at : at + WORDS_AT_ONCE]]) for at in range(0, len(plain), WORDS_AT_ONCE)]
-        parts.append(lists(self._whole([words[i] for i in others])))
+        parts += [lists(self._whole([words[i] for i in others[at : at + WORDS_AT_ONCE]])) for at in range(0, len(others), WORDS_AT_ONCE)]
         row = np.empty(len(words), np.int64)
         row[plain + others] = np.arange(len(words))
         return pa.concat_arrays(parts), row
@@ -180,17 +187,30 @@ class Tokenizer:
         return self.packed_all([text])[0]
 
     def packed_all(self, texts: list[str]) -> list[bytes]:
-        """packed of each text. A word tokenizer encodes each distinct word of the texts once."""
+        """packed of each text."""
+        return list(chain.from_iterable(self.packed_parts(pa.array(texts, pa.large_string()))))
+
+    def packed_parts(self, column: pa.Array) -> Iterator[list[bytes]]:
+        """packed of each text of a column without nulls, in order, for a part of the texts at a time.
+
+        A word tokenizer encodes each distinct word of the whole column once.
+        """
+        parts = [x.column(0) for x in slices_of_text([pa.RecordBatch.from_arrays([column], ["_text"])], most=PART)]
         if self.drops_space:
-            return self._by_words(texts)
-        return [self._whole([x])[0] if self._added is not None and self._added.search(x) else self._by_chunks(x) for x in texts]
+            yield from self._by_words(parts)
+            return
+        for part in parts:
+            yield [self._whole([x])[0] if self._added is not None and self._added.search(x) else self._by_chunks(x) for x in part.to_pylist()]
 
     def _by_chunks(self, text: str) -> bytes:
         first, rest = spaced_chunks(text)
         return b"".join(self._bare.values([first])) + b"".join(self._spaced.values(rest))
 
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+    def _split(self, texts: list[str]) -> tuple[list[int], np.ndarray, pa.DictionaryArray]:
+        """The texts that words can be encoded of, by their places, where the words of each begin and end, and all words.
+
+        The others have an added token in them, or what would become one.
+        """
         rows: dict[str, list[int]] = {x: [] for x in _KINDS}
         spread: dict[str, list[str]] = {x: [] for x in _KINDS}
         for i, text in enumerate(texts):
@@ -200,24 +220,30 @@ class Tokenizer:
                 lowered, encoding = text.lower(), "latin-1"  # here as the library does, which puts upper case into lower case itself
             except UnicodeEncodeError:
                 pass
-            if self._added is not None and self._added.search(lowered):  # an added token, or what would become one
-                out[i] = self._whole([text])[0]
-            else:
+            if self._added is None or not self._added.search(lowered):
                 rows[encoding].append(i)
                 spread[encoding].append(lowered.replace("\n", " "))
-        at = [i for own in rows.values() for i in own]
-        if not at:
-            return out
         apart = [x for encoding, own in spread.items() if own for x in marks_apart(own, encoding)]
         words = pc.split_pattern(pa.array(apart, pa.large_string()), " ")
-        coded = words.flatten().dictionary_encode()
-        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
-        ids, row = self._distinct_ids(pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))
-        ends, found = flat(ids.take(pa.array(row[coded.indices.to_numpy()])))
-        ends = ends[words.offsets.to_numpy()].tolist()
-        for i, start, end in zip(at, ends, ends[1:]):
-            out[i] = found[start:end].tobytes()
-        return out
+        return [i for own in rows.values() for i in own], words.offsets.to_numpy(), words.flatten().dictionary_encode()
+
+    def _by_words(self, parts: list[pa.Array]) -> Iterator[list[bytes]]:
+        split = [self._split(x.to_pylist()) for x in parts]
+        words = pa.chunked_array([coded for _, _, coded in split], pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries()
+        split = [(at, ends, coded.indices) for (at, ends, _), coded in zip(split, words.chunks)]
+        known = words.chunk(0).dictionary if split else []
+        del words
+        if len(known):
+            distinct = pa.ListArray.from_arrays([0, len(known)], known)
+            ids, row = self._distinct_ids(pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))
+        for part, (at, ends, indices) in zip(parts, split):
+            out: list[bytes | None] = [None] * len(part)
+            if at:
+                ends_of_words, found = flat(ids.take(pa.array(row[indices.to_numpy()])))
+                ends = ends_of_words[ends].tolist()
+                for i, start, end in zip(at, ends, ends[1:]):
+                    out[i] = found[start:end].tobytes()
+            yield [self._whole([part[i].as_py()])[0] if x is None else x for i, x in enumerate(out)]
 
     def normal_form(self, text: str) -> str:
         """What the normaliser makes of a text, if that has the same tokens; see token_counts.normal_form."""
@@ -239,6 +265,17 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def encoded_slices(batches: Iterator[pa.RecordBatch], path: str, rows: int = ROWS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A few rows at a time, with the ids of their texts; words are encoded once for many rows."""
+    for texts in slices_of_text(batches):
+        at = 0
+        for part in tokenizer(path).packed_parts(texts.column("_text")):
+            encoded = iter(part)
+            for batch in slices([texts.slice(at, len(part))], rows):
+                yield batch, list(islice(encoded, batch.num_rows))
+            at += len(part)
+
+
 def lists(packed: list[bytes]) -> pa.ListArray:
     """Packed ids as a column of integer lists."""
     ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)

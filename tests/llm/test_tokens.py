@@ -1,15 +1,18 @@
 """Chunked encoding and the two-tier coder against the libraries."""
 
 import random
+import tracemalloc
 from functools import cache
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from phenotide.llm import packing, token_files, tokens
 from phenotide.llm.byte_bpe import ByteBpe, PerfectHash, coder, read_ranks
 from phenotide.llm.tokens import ENTRY, Remembering, Tokenizer, tokenizer
 
@@ -53,6 +56,34 @@ def test_words_of_many_texts_are_encoded_once(monkeypatch):
     assert sorted(x for x in met if x == "qwzu" or x == "blé") == ["blé", "qwzu"]
 
 
+def test_words_are_encoded_once_across_parts(reference, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 20)
+    own, met = Tokenizer(P.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(own, "_plain_ids", lambda words, f=own._plain_ids: met.extend(words) or f(words))
+    texts = ["qwzu " * 9, "", "<|endoftext|> qwzu", "日 qwzu, blé", "Blé", "", "qwzu!\nqwzu"]
+    parts = list(own.packed_parts(pa.array(texts)))
+    assert len(parts) > 2 and sorted(met) == sorted({*met}) and "qwzu" in met
+    found = [np.frombuffer(x, "<u4").tolist() for part in parts for x in part]
+    assert found == [reference["word_bpe_49k.json"].encode(x, add_special_tokens=False).ids for x in texts]
+    assert list(own.packed_parts(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("encode", ["packing", "token_files"])
+def test_encoding_many_texts_takes_little_more_than_the_texts(encode):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([0] * 2000), pa.array([" ".join(rng.choices(words, k=600)) for _ in range(2000)])], ["_key", "_shard", "_text"])
+    path = P.path("word_bpe_49k.json")
+    run = packing._cutter(path, 1, 2048, pa.int64()) if encode == "packing" else token_files._encoder(path, 1)
+    list(run(iter([batch.slice(0, 2)])))  # the tokenizer stays
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in run(iter([batch]))) >= 2000
+        assert tracemalloc.get_traced_memory()[1] < 3 * batch.column("_text").nbytes
+    finally:
+        tracemalloc.stop()
+
+
 def test_a_vocabulary_that_lacks_characters_is_asked_word_by_word():
     from tokenizers import Tokenizer as Library
 
