@@ -5,12 +5,16 @@ the median of the widest side, tight boxes, leaves of some hundred vectors. Quer
 too. A query goes through a tree best first, by the greatest score that a box allows, and stops at a
 box that cannot reach the k-th score known so far. First each block meets a single tree; the k-th scores
 found there go with the block to all trees, and within a task on from tree to tree.
+
+Groups of trees and groups of blocks, of bounded size, form a grid, and a task takes its cells one by one.
+So a tree is sent once per group of blocks, a block once per group of trees, and no pair of the two. Trees
+and blocks are shuffled, never broadcast: their files are small, they are not.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable
 from heapq import heappop, heappush, heapreplace
 
 import numpy as np
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenotide.llm.common import slices, stored
+from phenotide.llm.common import stored
 
 SHARD = 8192
 BLOCK = 1024
@@ -27,8 +31,10 @@ LEAF = 256
 #: Whole numbers up to here are exact as doubles.
 EXACT = 2**53
 _LONG = 2**63 - 1
-#: Blocks whose k-th scores a task remembers.
-REMEMBERED = 256
+#: Numbers of vectors on either side of a cell of the grid.
+HELD = 2**23
+#: Groups of trees that there are at least, if there are as many trees.
+SPREAD = 48
 
 
 def scaled(vector, factor: int = 256):
@@ -91,8 +97,10 @@ class Tree:
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
+    """The vectors as rows, in the smallest type whose numbers can change sign."""
     rows = np.stack([np.asarray(x, np.int64) for x in vectors])
-    return rows.astype(np.int32) if rows.shape[1] and np.abs(rows).max() < 2**31 else rows
+    kinds = [x for x in (np.int16, np.int32) if rows.size and rows.min() > np.iinfo(x).min and rows.max() <= np.iinfo(x).max]
+    return rows.astype(kinds[0]) if kinds else rows
 
 
 def _grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -101,43 +109,70 @@ def _grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """A block: ids, numbers of the rows, vectors."""
-    rows = (frame["vec_id"].to_numpy(np.int64), frame["row"].to_numpy(np.int64), _matrix(frame["vector"]))
+    """A block: ids, numbers of the rows, vectors, k-th scores as far as they are known."""
+    rows = (frame["vec_id"].to_numpy(np.int64), frame["row"].to_numpy(np.int64), _matrix(frame["vector"]), None)
     return pd.DataFrame({"dimension": [key[0]], "block": [key[1]], "queries": [pickle.dumps(rows)]})
 
 
-def _search(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict[tuple[int, int], dict[int, int]] = {}
-        for pair in slices(batches, 1):
-            dimension, block, shard, tree, queries, known = (pair.column(c)[0].as_py() for c in ("dimension", "block", "shard", "tree", "queries", "known"))
-            ids, numbers, rows = pickle.loads(queries)
-            floors = remembered.pop((dimension, block), None)
-            if floors is None:
-                floors = {x["row"]: x["floor"] for x in known or ()}
-            if len(remembered) >= REMEMBERED:
-                remembered.pop(next(iter(remembered)))
-            remembered[dimension, block] = floors
-            best = [[(floors[n], -_LONG - 1)] * k if n in floors else [] for n in numbers.tolist()]
-            pickle.loads(tree).search(ids, rows, k, best)
-            out = []
-            for query, number, own in zip(ids.tolist(), numbers.tolist(), best):
-                out += [(block, query, number, shard, max(-_LONG, min(_LONG, s)), -v) for s, v in own if v >= -_LONG]
-                if len(own) == k:
-                    floors[number] = own[0][0]
-            columns = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 6, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "query_id", "row", "shard", "score", "vec_id"])
+def _begin(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The blocks of a cell of one tree, or of none, with the k-th score of each query that finds as many there."""
+
+    def begin(trees: pa.Table, blocks: pa.Table) -> pa.Table:
+        begun = []
+        for asked in blocks["queries"]:
+            ids, numbers, rows, _ = pickle.loads(asked.as_py())
+            best: list[list[tuple[int, int]]] = [[] for _ in ids]
+            for pickled in trees["tree"]:
+                pickle.loads(pickled.as_py()).search(ids, rows, k, best)
+            begun.append(pickle.dumps((ids, numbers, rows, [own[0][0] if len(own) == k else None for own in best])))
+        return pa.table([blocks["dimension"], blocks["block"], pa.array(begun, pa.binary())], ["dimension", "block", "queries"])
+
+    return begin
+
+
+def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What the queries of a cell find in all of its trees: at most k rows each, none below their known k-th score."""
+
+    def search(trees: pa.Table, blocks: pa.Table) -> pa.Table:
+        found = [_FOUND.empty_table()]
+        for asked in blocks["queries"]:
+            ids, numbers, rows, floors = pickle.loads(asked.as_py())
+            best = [[] if x is None else [(x, -_LONG - 1)] * k for x in floors]
+            for pickled in trees["tree"]:
+                pickle.loads(pickled.as_py()).search(ids, rows, k, best)
+            out = [(query, number, max(-_LONG, min(_LONG, s)), -v) for query, number, own in zip(ids.tolist(), numbers.tolist(), best) for s, v in own if v >= -_LONG]
+            found.append(pa.table([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 4, _FOUND))
+        return pa.concat_tables(found)
 
     return search
 
 
-_FOUND = "block int, query_id long, row long, shard int, score long, vec_id long"
+_FOUND = pa.schema([(x, pa.int64()) for x in ("query_id", "row", "score", "vec_id")])
+_BLOCK = "dimension int, block int, queries binary"
+
+
+def _cells(trees: DataFrame, blocks: DataFrame, shard: int, block: int) -> DataFrame:
+    """A row per dimension that has both: how many trees and blocks, how many groups of them, and blocks per group."""
+    counts = [x.groupBy("dimension").agg((F.max(n) + 1).alias(f"{n}s")) for x, n in ((trees, "shard"), (blocks, "block"))]
+    held = [F.greatest(F.lit(1), F.floor(HELD / (F.greatest(F.lit(1), F.col("dimension")) * size))) for size in (shard, block)]
+    return counts[0].join(counts[1], "dimension").select(
+        "*",
+        F.greatest(F.ceil(F.col("shards") / held[0]), F.least(F.col("shards"), F.lit(SPREAD))).alias("tree_groups"),
+        F.ceil(F.col("blocks") / held[1]).alias("block_groups"),
+        held[1].alias("per_group"),
+    )
+
+
+def _meet(trees: DataFrame, blocks: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """meet(trees, blocks) of each cell: a dimension, a group of trees and one of blocks."""
+    trees, blocks = (x.groupBy("dimension", "tree_group", "block_group") for x in (trees, blocks))
+    return trees.cogroup(blocks).applyInArrow(meet, schema)
 
 
 def _parts(rows: DataFrame, size: int, name: str) -> DataFrame:
     """Rows with their dimension and a part of about `size` rows of it, by a hash of the row."""
     counts = rows.groupBy("dimension").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
-    return rows.join(counts, "dimension").withColumn(name, F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int"))
+    return rows.join(F.broadcast(counts), "dimension").withColumn(name, F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "vector", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -152,15 +187,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     shards = _parts(stored(rows[0].withColumn("dimension", F.size("vector")), "vectors"), shard, "shard")
     trees = stored(shards.groupBy("dimension", "shard").applyInPandas(_grow, "dimension int, shard int, tree binary"), "trees")
     asked = rows[1].dropDuplicates().withColumn("dimension", F.size("vector")).withColumn("row", F.xxhash64("vec_id", "vector"))
-    blocks = _parts(stored(asked, "queries"), block, "block").groupBy("dimension", "block").applyInPandas(_gather, "dimension int, block int, queries binary")
-    counts = trees.groupBy("dimension").agg((F.max("shard") + 1).alias("trees"))
-    blocks = stored(blocks.join(counts, "dimension"), "blocks")
-    nothing = F.lit(None).cast("array<struct<row: bigint, floor: bigint>>").alias("known")
-    first = blocks.withColumn("shard", F.pmod("block", "trees")).select("*", nothing).join(trees, ["dimension", "shard"])
-    enough = first.mapInArrow(_search(k), _FOUND).groupBy("block", "query_id", "row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
-    floors = enough.where(F.col("n") >= k).groupBy("block").agg(F.collect_list(F.struct("row", "floor")).alias("known"))
-    every = blocks.join(floors, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    found = every.join(trees, ["dimension", "shard"]).mapInArrow(_search(k), _FOUND)
+    blocks = _parts(stored(asked, "queries"), block, "block").groupBy("dimension", "block").applyInPandas(_gather, _BLOCK)
+    blocks = stored(blocks, "blocks")
+    # One row per length of vector; the joins send nothing else to the driver.
+    cells = F.broadcast(stored(_cells(trees, blocks, shard, block), "cells"))
+    once = trees.join(cells, "dimension").where("shard < blocks")
+    once = once.selectExpr("dimension", "bigint(shard) AS tree_group", "explode(sequence(0L, floor((blocks - 1) / shards / per_group))) AS block_group", "tree")
+    at_once = blocks.join(cells, "dimension")
+    at_once = at_once.selectExpr("dimension", "bigint(block % shards) AS tree_group", "floor(floor(block / shards) / per_group) AS block_group", "block", "queries")
+    begun = _meet(once, at_once, _begin(k), _BLOCK)
+    spread = trees.join(cells, "dimension")
+    spread = spread.selectExpr("dimension", "shard % tree_groups AS tree_group", "explode(sequence(0L, block_groups - 1)) AS block_group", "tree")
+    asking = begun.join(cells, "dimension")
+    asking = asking.selectExpr("dimension", "explode(sequence(0L, tree_groups - 1)) AS tree_group", "block % block_groups AS block_group", "queries")
+    found = _meet(spread, asking, _search(k), "query_id long, row long, score long, vec_id long")
     best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -497,6 +497,41 @@ def test_search_of_nothing(spark):
     assert kd_search.top_k(some, none).count() == kd_search.top_k(none, some).count() == kd_search.top_k(some, some).count() == 0
 
 
+@pytest.mark.parametrize("n, asked", [(120, 700), (700, 120)])
+def test_search_in_cells_of_several_trees_and_blocks(spark, monkeypatch, n, asked):
+    monkeypatch.setattr(kd_search, "HELD", 600)
+    monkeypatch.setattr(kd_search, "SPREAD", 2)
+    rng = np.random.default_rng(n)
+    vectors, queries = ([(int(i), rng.integers(-9, 10, 6).tolist()) for i in range(x)] for x in (n, asked))
+    frames = [spark.createDataFrame(x, "vec_id long, vector array<long>") for x in (vectors, queries)]
+    found = kd_search.top_k(*frames, k=4, shard=50, block=7).collect()
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute_search(vectors, queries, 4)
+
+
+def test_search_among_scores_below_a_long(spark):
+    vectors, queries = [(i, [-(2**62)] * 3) for i in range(60)], [(100, [2**62] * 3)]
+    frames = [spark.createDataFrame(x, "vec_id long, vector array<long>") for x in (vectors, queries)]
+    found = kd_search.top_k(*frames, k=3, shard=10).collect()
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute_search(vectors, queries, 3)
+
+
+def test_search_broadcasts_neither_trees_nor_blocks(spark):
+    """Of repeated vectors even the files of trees are far below the size up to which Spark broadcasts."""
+    vectors = spark.range(4000).selectExpr("id AS vec_id", "transform(sequence(0, 15), x -> (id % 40) * x - 100) AS vector")
+    found = kd_search.top_k(vectors, vectors.where("vec_id % 10 = 0"), shard=200, block=50)
+    assert found.count() == 2000 and len(found.collect()) == 2000
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    sent = re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*)\]", found._jdf.queryExecution().explainString(mode))
+    assert sent and not [x for x in sent if re.search("tree#|queries#", x)]
+
+
+def test_vectors_of_a_length_are_dealt_by_shard(spark):
+    rows = spark.createDataFrame([(i, [i], 1) for i in range(90)], "vec_id long, vector array<long>, dimension int")
+    plan = kd_search._parts(rows, 10, "shard").groupBy("dimension", "shard").count()._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(dimension#\d+, shard#\d+", plan)
+    assert plan.count("hashpartitioning(dimension#") == 2
+
+
 def test_scaling(spark):
     rows = [(1, [0.5, -0.001]), (2, None), (3, [1.0, None]), (4, [float("nan")]), (5, [float("inf")]), (6, []), (7, [1e300])]
     found = spark.createDataFrame(rows, "i int, v array<double>").select("i", kd_search.scaled(F.col("v")).alias("s")).collect()
